@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, bwt, debruijn, prefixtree
 from .runtime import attach
 
 
@@ -14,14 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.digest_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtree.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_debruijn_dedup": op3_debruijn_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_bwt_dedup": op6_bwt_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
