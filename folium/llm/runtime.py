@@ -177,3 +177,32 @@ def spread(lens: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lens) - lens
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - first, lens)
+
+
+#: Bytes that end a word: blank and \x09 to \x0D; and A-Z in lower case.
+WHITE = np.array([i == 0x20 or 0x09 <= i <= 0x0D for i in range(256)])
+LOWER = np.array([i + 32 if 0x41 <= i <= 0x5A else i for i in range(256)], np.uint8)
+
+
+def words_of(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All words of all documents as one Arrow column, and len + 1 places where each document's begin."""
+    if not len(data):
+        return pa.array([], pa.binary()), np.zeros(len(off), np.int64)
+    solid = ~WHITE[data]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    doc = off[:-1][off[1:] > off[:-1]]
+    begin[doc] = solid[doc]
+    at = np.flatnonzero(begin)
+    text = data[solid]
+    place = np.cumsum(solid)[at] - 1
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(place, len(text)).astype(np.int32)), pa.py_buffer(text)])
+    return words, np.searchsorted(at, off)
+
+
+def hash_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of every word, each distinct word hashed once, and where each document's begin."""
+    words, ptr = words_of(data, off)
+    d = words.dictionary_encode()
+    h = xxhash.xxh3_64_intdigest
+    return np.fromiter(map(h, d.dictionary.to_pylist()), U64, len(d.dictionary))[d.indices.to_numpy(zero_copy_only=False)], ptr
