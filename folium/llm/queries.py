@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bwt, debruijn, prefixtree
+from . import bpe, bwt, debruijn, fertility, mixing, postings, prefixtree, rff, warc, wrappers
 from .runtime import attach
 
 
@@ -14,14 +14,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(table(spark, sf_dir, "documents"), tuple(map(tokenizer, fertility.VOCABULARIES)))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.digest_repeats(table(spark, sf_dir, "documents"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +61,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_wrappers": op2_wrappers,
     "op3_debruijn_dedup": op3_debruijn_dedup,
+    "op4_fertility": op4_fertility,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_bwt_dedup": op6_bwt_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
