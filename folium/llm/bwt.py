@@ -131,11 +131,11 @@ def _send_regions(length: int, n: int) -> Callable:
     return send
 
 
-def bounded_suffix_order(text: np.ndarray, region: np.ndarray, depth: int) -> np.ndarray:
-    """Places of text in order of the suffixes' first `depth` symbols or more.
+def bounded_suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of text in order of the suffixes' first `depth` symbols or more, and the rows that differ
+    from the row above in the first FIRST symbols.
 
-    text: bytes + 1, with a 0 at the end of each region; region: the region of each place. The ends of
-    different regions differ, in the order of the regions.
+    text: bytes + 1, with a 0 at the end of each region. Ends of different regions differ, in the order of the regions.
     """
     n = len(text)
     padded = np.r_[text, np.zeros(FIRST, text.dtype)].astype(np.int64)
@@ -143,15 +143,15 @@ def bounded_suffix_order(text: np.ndarray, region: np.ndarray, depth: int) -> np
     for i in range(FIRST):
         key = (key << 9) | np.where(live, padded[i : i + n], 0)
         live &= padded[i : i + n] != 0
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable")  # ends keep the order of the regions everywhere
     k, ended = key[order], ~live[order]
     new = np.r_[True, (k[1:] != k[:-1]) | ended[1:]]
-    have = FIRST
+    early, have = new.copy(), FIRST
     while True:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
         if have >= depth or new.all():
-            return order
+            return order, early
         group = np.cumsum(new) - 1
         lone = new & np.r_[new[1:], True]
         rest = np.flatnonzero(~lone)
@@ -163,19 +163,22 @@ def bounded_suffix_order(text: np.ndarray, region: np.ndarray, depth: int) -> np
         have *= 2
 
 
-def long_common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Rows of the suffix order that share at least `length` symbols with the row above."""
+def long_common_prefixes(text: np.ndarray, order: np.ndarray, early: np.ndarray, length: int) -> np.ndarray:
+    """Rows of the suffix order that share at least `length` symbols with the row above.
+
+    The search begins with the intervals of all words of FIRST symbols, whose ends the first sort found.
+    """
     n = len(text)
     row = np.empty(n, np.int64)
     row[order] = np.arange(n)
     back = row[order - 1]  # the row of the suffix one symbol longer; at place 0 it wraps to the last end mark
     letter = text[order - 1].astype(np.int64)  # the Burrows-Wheeler transform
     letter = np.where(letter == 0, 257 + np.arange(n), letter)  # every end mark is a symbol of its own
-    open_rows = np.ones(n + 1, bool)
-    open_rows[[0, n]] = False
+    open_rows = np.append(~early, False)
     mark = np.full(n + 2, -1, np.int64)
-    lo, hi, span = np.zeros(1, np.int64), np.full(1, n, np.int64), 257 + n
-    for _ in range(length):
+    lo, span = np.flatnonzero(early), 257 + n
+    hi = np.append(lo[1:], n)
+    for _ in range(FIRST, length):
         size = hi - lo
         at = R.spread(size, lo)
         if not len(at):
@@ -202,9 +205,8 @@ def repeated_windows(texts: list[bytes], several: np.ndarray, length: int) -> li
     start = np.cumsum(size) - size
     text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 1
     text[start + size - 1] = 0
-    region = np.repeat(np.arange(len(texts)), size)
-    order = bounded_suffix_order(text, region, length)
-    rows = long_common_prefixes(text, order, length)
+    order, early = bounded_suffix_order(text, length)
+    rows = long_common_prefixes(text, order, early, length)
     hit = np.zeros(len(text), bool)
     hit[order[rows]] = True
     hit[order[rows - 1]] = True
