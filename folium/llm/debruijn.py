@@ -209,7 +209,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, row: Callable = spa
     known = P.repeated_keys(chunks, _minimizer_keys(window), n)
     edges = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_send_edges(window, n), P.ROWS)
     sources = edges.groupBy("bucket").applyInArrow(join_edges, P.ANSWERS)
-    shape = {"long": pa.int64(), "string": pa.string()}
+    shape = {"long": pa.int64(), "string": pa.string()}  # and the list of spans
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source_doc_id", pa.int64()), ("source_start", pa.int32())]))
     arrow = pa.schema([(x.split(" ", 1)[0], shape.get(x.split(" ", 1)[1], span)) for x in schema.replace(", ", "\n").split("\n")])
     return chunks.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(_compact(window, row, arrow), schema)

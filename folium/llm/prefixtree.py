@@ -38,7 +38,7 @@ from . import runtime as R
 from .components import connected_components
 
 SHINGLE, PERCENT = 4, 85
-GROUP_ITEMS = 1 << 17
+GROUP_ITEMS = 1 << 20
 MET = "doc_id long, n_shingles long, f1 long, f2 long, link long"
 
 _hashes = R.WordHashes()
