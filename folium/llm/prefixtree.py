@@ -39,6 +39,8 @@ from .components import connected_components
 
 SHINGLE, PERCENT = 4, 85
 GROUP_ITEMS = 1 << 20
+#: Entries of a tree's labels as bit sets, before they are packed.
+MAX_BITS = 1 << 27
 MET = "doc_id long, n_shingles long, f1 long, f2 long, link long"
 
 _hashes = R.WordHashes()
@@ -176,93 +178,129 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else pa.table({x: pa.array([], pa.int64()) for x in ("doc_id", "n_shingles", "f1", "f2", "link")})
 
 
-class Links:
-    """Union-find over the numbers of a group's sets; the smaller number is the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-
-class Node:
-    __slots__ = ("items", "below", "ends", "low", "high", "one")
-
-    def __init__(self, items: np.ndarray, low: int, high: int, one: int):
-        self.items, self.below, self.ends, self.low, self.high, self.one = items, {}, [], low, high, one
-
-
 class PrefixTree:
-    """Sorted sets in a compressed trie; `one` is a set below a node if all of those are linked, else -1."""
-
-    def __init__(self, percent: int, links: Links):
-        self.top, self.percent, self.links, self.sizes = Node(np.zeros(0, np.uint64), 1 << 62, 0, -1), percent, links, {}
-
-    def insert(self, s: np.ndarray, number: int) -> None:
-        n, at, node, root = len(s), 0, self.top, self.links.root
-        self.sizes[number] = n
-        while True:
-            node.low, node.high = min(node.low, n), max(node.high, n)
-            if node.one >= 0 and root(node.one) != root(number):
-                node.one = -1
-            if at == n:
-                node.ends.append(number)
-                return
-            child = node.below.get(int(s[at]))
-            if child is None:
-                leaf = node.below[int(s[at])] = Node(s[at:], n, n, number)
-                leaf.ends.append(number)
-                return
-            m = min(len(child.items), n - at)
-            differ = np.flatnonzero(child.items[:m] != s[at : at + m])
-            m = int(differ[0]) if len(differ) else m
-            if m < len(child.items):
-                upper = Node(child.items[:m], child.low, child.high, child.one)
-                child.items = child.items[m:]
-                upper.below[int(child.items[0])] = child
-                node.below[int(s[at])] = child = upper
-            node, at = child, at + m
-
-    def link(self, s: np.ndarray, number: int) -> None:
-        """Joins `number` with every stored set that it links to."""
-        n, p, root, join = len(s), self.percent, self.links.root, self.links.join
-        stack = [(x, 0, 0, 0) for x in self.top.below.values()]
-        while stack:
-            node, shared, passed, depth = stack.pop()
-            if node.one >= 0 and root(node.one) == root(number):
-                continue
-            if (100 + p) * (shared + min(n - passed, node.high - depth)) < p * (n + node.low):
-                continue
-            items = node.items
-            place = np.searchsorted(s, items)
-            shared += int((s[np.minimum(place, n - 1)] == items).sum())
-            depth += len(items)
-            passed = int(np.searchsorted(s, items[-1], "right"))
-            for other in node.ends:
-                if (100 + p) * shared >= p * (n + self.sizes[other]):
-                    join(number, other)
-            if node.below and (100 + p) * (shared + min(n - passed, node.high - depth)) >= p * (n + node.low):
-                stack += [(x, shared, passed, depth) for x in node.below.values()]
+    """Sorted sets as paths of a compressed trie, its nodes in arrays so that a probe visits many at once.
+
+    Items are numbers in the global order. A node's label is flat[at : at + size], its sets are those of the
+    places lo .. hi - 1 in the lexicographic order, and low and high are the smallest and largest of their sizes.
+    Where they are small enough, labels are also kept as bit sets, to count what they share with a probe.
+    """
+
+    def __init__(self, sets: list[np.ndarray], keep: np.ndarray):
+        """keep: which items several sets have; the others never count as shared."""
+        keys = [s.astype(">u4").tobytes() for s in sets]
+        self.order = np.array(sorted(range(len(sets)), key=keys.__getitem__), np.int64)
+        rows = [sets[i] for i in self.order]
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.flat = np.concatenate(rows)
+        base = np.cumsum(self.size) - self.size
+        shared = [0, *map(self.common, rows[:-1], rows[1:]), 0]
+        nodes, below = [], []  # (depth, lo, hi), and the nodes below each
+
+        def add(depth: int, lo: int, hi: int, children: list[int]) -> int:
+            nodes.append((depth, lo, hi))
+            below.append(children)
+            return len(nodes) - 1
+
+        stack: list[tuple[int, int, list[int]]] = [(0, 0, [])]
+        for i in range(len(rows)):
+            after = shared[i + 1]
+            if after > stack[-1][0]:
+                stack.append((after, i, []))
+            stack[-1][2].append(add(len(rows[i]), i, i + 1, []))
+            while stack[-1][0] > after:
+                depth, lo, children = stack.pop()
+                node = add(depth, lo, i + 1, children)
+                if stack[-1][0] >= after:
+                    stack[-1][2].append(node)
+                else:
+                    stack.append((after, lo, [node]))
+        self.first = np.array(stack[0][2], np.int64)
+        depth, self.lo, self.hi = np.array(nodes, np.int64).T
+        start = np.zeros(len(nodes), np.int64)
+        for i, children in enumerate(below):
+            start[children] = depth[i]
+        self.start, self.label, self.at = start, depth - start, base[self.lo] + start
+        self.low, self.high = (np.array([f(self.size[i:j]) for i, j in zip(self.lo, self.hi, strict=True)]) for f in (np.min, np.max))
+        self.bits = self.as_bits(keep) if len(nodes) * int(keep.sum()) <= MAX_BITS else None
+
+    def as_bits(self, keep: np.ndarray) -> np.ndarray:
+        self.keep, self.column = keep, np.cumsum(keep) - 1
+        item = self.flat[R.spread(self.label, self.at)]
+        row = np.repeat(np.arange(len(self.label)), self.label)
+        dense = np.zeros((len(self.label), -(-max(1, int(keep.sum())) // 64) * 64), bool)
+        dense[row[keep[item]], self.column[item[keep[item]]]] = True
+        return np.packbits(dense, axis=1).view(np.uint64)
+
+    def counts(self, nodes: np.ndarray, member: np.ndarray, probe: np.ndarray) -> np.ndarray:
+        """How many items of each node's label the probe has."""
+        size = self.label[nodes]
+        if self.bits is None:
+            total = np.r_[0, np.cumsum(member[self.flat[R.spread(size, self.at[nodes])]])]
+            end = np.cumsum(size)
+            return total[end] - total[end - size]
+        row = np.zeros(self.bits.shape[1] * 64, bool)
+        row[self.column[probe[self.keep[probe]]]] = True
+        return np.bitwise_count(self.bits[nodes] & np.packbits(row).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+    @staticmethod
+    def common(a: np.ndarray, b: np.ndarray) -> int:
+        """How many items two sets have alike from the start."""
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        return int(differ[0]) if len(differ) else n
+
+    def linked(self, probe: np.ndarray, percent: int, group: np.ndarray, own: int, universe: int) -> np.ndarray:
+        """Places of the sets that the probe links to, without those of subtrees that are all of its group already.
+
+        group: a number for each place, equal where sets are known to be connected.
+        """
+        n, member = len(probe), np.zeros(universe, bool)
+        member[probe] = True
+        known = group == group[own]
+        # The top of each subtree: left where its sets are all linked already, or where what is shared so
+        # far and the shorter of what remains, in the probe and below, can't reach the threshold.
+        top = self.first
+        before = np.searchsorted(probe, self.flat[self.at[top] + np.maximum(self.label[top] - 1, 0)], "right")
+        more = np.minimum(n, self.high[top])
+        ok = (100 + percent) * more >= percent * (n + self.low[top])
+        top, before = top[ok], before[ok]
+        more = self.counts(top, member, probe) + np.minimum(n - before, self.high[top] - self.label[top])
+        top = top[(100 + percent) * more >= percent * (n + self.low[top])]
+        alive = np.zeros(len(known) + 1, np.int64)
+        np.add.at(alive, self.lo[top], 1)
+        np.add.at(alive, self.hi[top], -1)
+        open_ = (np.cumsum(alive[:-1]) > 0) & ~known
+        below = np.r_[0, np.cumsum(open_)]
+        live = np.flatnonzero((below[self.hi] > below[self.lo]) & ((100 + percent) * np.minimum(n, self.high) >= percent * (n + self.low)))
+        if not len(live):
+            return live
+        # Each label is counted once, for all sets below it; a set shares what the labels on its path share.
+        count = self.counts(live, member, probe)
+        change = np.bincount(self.lo[live], count, len(known) + 1) - np.bincount(self.hi[live], count, len(known) + 1)
+        shared = np.cumsum(change)[:-1].astype(np.int64)
+        return np.flatnonzero(open_ & ((100 + percent) * shared >= percent * (n + self.size)))
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
     """For each of the sets the smallest id that links reach within this group."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    links = Links(len(ids))
-    tree = PrefixTree(percent, links)
-    rank = {i: r for r, i in enumerate(order)}
-    for i in sorted(order, key=lambda i: (len(sets[i]), ids[i])):
-        tree.link(sets[i], rank[i])
-        tree.insert(sets[i], rank[i])
-    return [ids[order[links.root(rank[i])]] for i in range(len(ids))]
+    if len(sets) < 2:
+        return list(ids)
+    items, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    cuts = np.cumsum([len(s) for s in sets])[:-1]
+    numbered = np.split(flat, cuts)
+    tree = PrefixTree(numbered, count > 1)
+    group = np.arange(len(sets))
+    for place, i in enumerate(tree.order.tolist()):
+        hit = np.unique(group[tree.linked(numbered[i], percent, group, place, len(items))])
+        hit = hit[hit != group[place]]
+        if len(hit):
+            group[np.isin(group, hit)] = group[place]
+    low = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(low, group, np.array(ids, np.int64)[tree.order])
+    out = np.empty(len(sets), np.int64)
+    out[tree.order] = low[group]
+    return out.tolist()
 
 
 def _with_sets(shingle: int) -> Callable:
