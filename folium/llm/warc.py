@@ -67,7 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes,
     revisit = refers_to is not None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", page_uri(page_id)), ("WARC-Date", date)]
-    head += [("WARC-Target-URI", header_text(url))] * (url is not None)
+    head += [("WARC-Target-URI", header_text(url))] if url is not None else []
     head += [("WARC-Refers-To", page_uri(refers_to)), ("WARC-Profile", REVISIT_PROFILE)] * revisit
     head += [("WARC-Payload-Digest", f"sha1:{base64.b32encode(digest).decode()}"), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
