@@ -30,7 +30,7 @@ from . import runtime as R
 
 K, EVERY = 5, 50
 FIT_ROWS, MAX_LISTS, LIST_ROWS, NEAR, ENTRIES = 1 << 16, 4096, 512, 16, 8
-BOUNDARY, RATIO = 1.02, 1.3
+BOUNDARY, RATIO = 1.02, 1.4
 FOUND = "query_id long, vec_id long, score double"
 
 
