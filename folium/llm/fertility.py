@@ -7,7 +7,7 @@ Public vocabularies cut each word into tokens. Of every document, for each vocab
 * evenness: the entropy of its tokens over the largest that as many tokens can have.
 
 Prose of a language keeps within a band of each; noise, symbols and lists fall outside. Bands hold for a
-language (where there is none, for the script of most letters) and for documents of like length, as
+language (where there is none, for the script of most letters) and for documents of like length in words, as
 evenness falls with length. They are taken over all documents: from `spread` times the distance of the
 quartiles below the first quartile to as much above the third. Quartiles come from counts of values in
 fixed bins, which add up exactly in any order. A document is kept if the base rules hold and all its
@@ -181,7 +181,7 @@ def bands(rows: DataFrame, spread: float = SPREAD, least_group: int = LEAST_GROU
 
 def judged(docs: DataFrame, paths: tuple[str, ...], *, spread: float = SPREAD, least_tokens: int = LEAST_TOKENS, least_group: int = LEAST_GROUP) -> DataFrame:
     """doc_id, COLUMNS, base_failed, kept, lang and measures for every row of docs (doc_id, text, lang)."""
-    rows = R.checkpointed(measured(docs, paths).withColumn("length", F.round(F.log2(F.greatest("n_tokens", F.lit(1))) * LENGTHS).cast("int")))
+    rows = R.checkpointed(measured(docs, paths).withColumn("length", F.round(F.log2(F.greatest("n_words", F.lit(1))) * LENGTHS).cast("int")))
     found = R.checkpointed(bands(rows.where(F.col("n_tokens") >= least_tokens), spread, least_group))
     side = F.broadcast(found) if found.count() <= BROADCAST_BANDS else found
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
