@@ -139,24 +139,28 @@ def bounded_suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.n
     """
     n = len(text)
     padded = np.r_[text, np.zeros(FIRST, text.dtype)].astype(np.int64)
-    key, live = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(FIRST):
-        key = (key << 9) | np.where(live, padded[i : i + n], 0)
-        live &= padded[i : i + n] != 0
-    order = np.argsort(key, kind="stable")  # ends keep the order of the regions everywhere
-    k, ended = key[order], ~live[order]
+    key = padded[:n].copy()
+    for i in range(1, FIRST):
+        key <<= 9
+        key |= padded[i : i + n]
+    ended, ends, before = np.zeros(n, bool), np.flatnonzero(text == 0), np.r_[-1, np.flatnonzero(text == 0)[:-1]]
+    for i in range(FIRST):  # words that reach an end have nothing after it
+        at = ends[ends - i > before] - i
+        key[at] &= -1 << 9 * (FIRST - 1 - i)
+        ended[at] = True
+    order = np.argsort(key, kind="stable").astype(np.int32)  # ends keep the order of the regions everywhere
+    k, ended = key[order], ended[order]
     new = np.r_[True, (k[1:] != k[:-1]) | ended[1:]]
     early, have = new.copy(), FIRST
+    rank = np.empty(n, np.int32)
     while True:
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
         if have >= depth or new.all():
             return order, early
-        group = np.cumsum(new) - 1
-        lone = new & np.r_[new[1:], True]
-        rest = np.flatnonzero(~lone)
+        group = np.cumsum(new, dtype=np.int32)
+        rank[order] = group
+        rest = np.flatnonzero(~(new & np.r_[new[1:], True]))
         at = order[rest]
-        key = group[rest] * (n + 1) + np.where(at + have < n, rank[np.minimum(at + have, n - 1)], 0)
+        key = group[rest] * np.int64(n + 2) + rank[np.minimum(at + have, n - 1)]
         by = np.argsort(key)
         order[rest], key = at[by], key[by]
         new[rest] |= np.r_[True, key[1:] != key[:-1]]
@@ -169,8 +173,8 @@ def long_common_prefixes(text: np.ndarray, order: np.ndarray, early: np.ndarray,
     The search begins with the intervals of all words of FIRST symbols, whose ends the first sort found.
     """
     n = len(text)
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
     back = row[order - 1]  # the row of the suffix one symbol longer; at place 0 it wraps to the last end mark
     letter = text[order - 1].astype(np.int64)  # the Burrows-Wheeler transform
     letter = np.where(letter == 0, 257 + np.arange(n), letter)  # every end mark is a symbol of its own
