@@ -35,12 +35,10 @@ WINDOW, PART = 13, 5
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 SPANS = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int,source_doc_id:long,source_start:int>>"
 
-_hashes = R.WordHashes()
-
 
 def word_hashes(data: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all documents, and len + 1 places where documents begin."""
-    parts = [_hashes.of(data[i:j].split()) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    parts = [R.WORD_HASHES.of(data[i:j].split()) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
 
 

@@ -43,13 +43,12 @@ GROUP_ITEMS = 1 << 20
 MAX_BITS = 1 << 27
 MET = "doc_id long, n_shingles long, f1 long, f2 long, link long"
 
-_hashes = R.WordHashes()
 SHORT = np.uint64(0xA0761D6478BD642F)
 
 
 def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
     """The sorted hashes of the distinct shingles; of the whole sequence, if it is shorter."""
-    h = _hashes.of(text.lower().split())
+    h = R.WORD_HASHES.of(text.lower().split())
     if len(h) >= k:
         return np.unique(R.rolling(h, k))
     return R.mix(R.rolling(h, len(h)) ^ SHORT) if len(h) else np.zeros(0, np.uint64)

@@ -28,8 +28,6 @@ from .mixing import word_counts
 FEATURES = ("words", "word_length", "letters", "digits", "capitals", "marks", "symbols", "bars", "other", "repeated_words", "doubled_pairs", "line_words", "repeated_lines", "entropy", "long_words", "stops")
 D, RIDGE, GAMMA, BINS, SEED = 192, 1e-3, 1 / 32, 1024, 11
 
-_hashes = R.WordHashes()
-
 
 def _table(kind: Callable[[str], bool]) -> np.ndarray:
     return np.array([i < 128 and kind(chr(i)) for i in range(256)])
@@ -64,7 +62,7 @@ def repeats(text: bytes) -> tuple[float, ...]:
     n = len(words)
     if not n:
         return (0.0,) * 5
-    h = _hashes.of(words)
+    h = R.WORD_HASHES.of(words)
     pairs = R.rolling(h, 2)
     lines = [x for x in text.split(b"\n") if x.strip()]
     long = sum(len(x) > 14 for x in words)

@@ -143,9 +143,9 @@ def chunk_ids() -> Iterator[int]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for words that come again; bounded."""
+    """64-bit hashes of words, kept for words that come again; bounded, as a worker keeps it for its life."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -157,6 +157,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
+#: One for all operators, since a worker may run several after each other.
+WORD_HASHES = WordHashes()
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k consecutive entries that start at each place; len(h) - k + 1 of them."""
     if len(h) < k:
@@ -179,9 +183,8 @@ def spread(lens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - first, lens)
 
 
-#: Bytes that end a word: blank and \x09 to \x0D; and A-Z in lower case.
+#: Bytes that end a word: blank and \x09 to \x0D.
 WHITE = np.array([i == 0x20 or 0x09 <= i <= 0x0D for i in range(256)])
-LOWER = np.array([i + 32 if 0x41 <= i <= 0x5A else i for i in range(256)], np.uint8)
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -198,11 +201,3 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     place = np.cumsum(solid)[at] - 1
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(place, len(text)).astype(np.int32)), pa.py_buffer(text)])
     return words, np.searchsorted(at, off)
-
-
-def hash_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of every word, each distinct word hashed once, and where each document's begin."""
-    words, ptr = words_of(data, off)
-    d = words.dictionary_encode()
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(h, d.dictionary.to_pylist()), U64, len(d.dictionary))[d.indices.to_numpy(zero_copy_only=False)], ptr
