@@ -64,13 +64,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[:n], head[w - 1 : w - 1 + n])
 
 
-def window_minimizers(data: bytes, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows inside documents, and the minimizer of each."""
+def window_minimizers(data: bytes, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows inside documents, the minimizer of each, and the hashes of all parts."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    m = sliding_min(part_hashes(data), length - PART + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = part_hashes(data)
+    m = sliding_min(h, length - PART + 1)
     at = R.spread(np.maximum(np.diff(off) - length + 1, 0), off[:-1])
-    return at, m[at]
+    return at, m[at], h
 
 
 def runs(at: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -80,26 +81,41 @@ def runs(at: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def _anchor_keys(length: int) -> Callable:
     def keys(chunk: tuple) -> np.ndarray:
-        at, m = window_minimizers(chunk[2], chunk[1], length)
+        at, m, _ = window_minimizers(chunk[2], chunk[1], length)
         return np.unique(m[runs(at, m)])
 
     return keys
 
 
-def _own_repeats(m: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
-    """Minimizers that occur twice in one chunk: in two runs, or in a run longer than one occurrence can make."""
+def _overlapping(at: np.ndarray, m: np.ndarray, h: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Which runs may hold two equal windows, that is, overlapping ones.
+
+    If windows i and i + d of a run are equal, the parts from i on have period d. So the minimizer is the first
+    part of one of the windows i to i + d - 1, and the last part of one of the windows i + 1 to i + d: at
+    two different places, unless d is over length - PART, which makes the run longer than one place can.
+    """
+    out = size > length - PART + 1
+    head, tail = np.flatnonzero(h[at] == m), np.flatnonzero(h[at + length - PART] == m)
+    a, b = np.searchsorted(head, first), np.searchsorted(tail, first + size) - 1
+    both = np.flatnonzero((a < np.searchsorted(head, first + size)) & (b >= np.searchsorted(tail, first)))
+    out[both] |= at[head[a[both]]] < at[tail[b[both]]] + length - PART
+    return out
+
+
+def _own_repeats(at: np.ndarray, m: np.ndarray, h: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Minimizers that occur twice in one chunk: in two runs, or at two places of one run."""
     v, n = np.unique(m[first], return_counts=True)
-    return np.union1d(v[n > 1], m[first[size > length - PART + 1]])
+    return np.union1d(v[n > 1], m[first[_overlapping(at, m, h, first, size, length)]])
 
 
-def regions(at: np.ndarray, m: np.ndarray, off: np.ndarray, known: np.ndarray, length: int, n: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def regions(at: np.ndarray, m: np.ndarray, h: np.ndarray, off: np.ndarray, known: np.ndarray, length: int, n: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(bucket, starts, stops) of the stretches whose windows have a repeated minimizer of that bucket.
 
     Stretches of one bucket share fewer than `length` bytes, so that no window is in two of them.
     """
     first = runs(at, m)
     size = np.diff(np.r_[first, len(at)])
-    ok = P.within(m[first], known) | P.within(m[first], _own_repeats(m, first, size, length))
+    ok = P.within(m[first], known) | P.within(m[first], _own_repeats(at, m, h, first, size, length))
     first, size = first[ok], size[ok]
     start, stop, to = at[first], at[first] + size - 1 + length, P.bucket_of(m[first], n)
     doc = np.searchsorted(off, start, "right")
@@ -119,8 +135,8 @@ def _send_regions(length: int, n: int) -> Callable:
         known, out = P.answered(right), []
         for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload"), strict=True):
             _, off, data = P.unpack_texts(payload)
-            at, m = window_minimizers(data, off, length)
-            for bucket, start, stop in regions(at, m, off, known, length, n):
+            at, m, h = window_minimizers(data, off, length)
+            for bucket, start, stop in regions(at, m, h, off, known, length, n):
                 places: dict[bytes, list[int]] = {}
                 for i, j in zip(start.tolist(), stop.tolist(), strict=True):
                     places.setdefault(data[i:j], []).append(i)

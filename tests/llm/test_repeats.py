@@ -38,6 +38,19 @@ def test_bwt(docs, documents):
     assert rows(bwt.digest_repeats(docs)) == key(brute.op6(documents))
 
 
+def test_bwt_overlapping_repeats(spark):
+    """Periodic stretches of 390 to 850 bytes, each alone in its document and of its own pattern."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    units = ["a", "=", "| --- ", "to and fro. ", *(noise(n) for n in (2, 3, 7, 20, 31, 33, 64, 100, 199, 200, 201, 300, 368, 369, 370, 399, 400, 401))]
+    texts = [noise(int(rng.integers(0, 600))) + (u * 850)[:n] + noise(int(rng.integers(0, 600))) for u, n in zip(units, [500, 450, 600, 401, *rng.integers(390, 851, len(units)).tolist()], strict=False)]
+    texts += [noise(300) + (u * 850)[:n] + noise(300) for k in range(1, 400, 9) for u, n in [(noise(k), 400 + k), (noise(k), 399 + k)]]
+    pairs = list(enumerate(texts))
+    want = key(brute.op6(pairs))
+    assert sum(r[2] > 0 for r in want) > 50
+    assert rows(bwt.digest_repeats(spark.createDataFrame(pairs, "doc_id long, text string").coalesce(1))) == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repeated_windows(seed):
     rng = np.random.default_rng(seed)
