@@ -73,7 +73,7 @@ def _minimizer_keys(k: int) -> Callable:
 
 def _own_repeats(m: np.ndarray, at: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Sorted minimizers that several documents of one chunk have."""
-    first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+    first = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (at[1:] != at[:-1] + 1)])
     doc = np.searchsorted(ptr, at[first], "right")
     v = m[first]
     order = np.argsort(v, kind="stable")

@@ -19,6 +19,20 @@ def test_debruijn(docs, documents):
     assert rows(debruijn.digest_repeats(docs)) == key(brute.op3(documents))
 
 
+def test_debruijn_adjacent_copies(spark):
+    """Short copies next to each other in one chunk, and passages that end one document and open the next."""
+    rng = np.random.default_rng(3)
+    make = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    texts = [t for n in range(13, 23) for t in [make(n)] * (2 + n % 2)]
+    for n in range(13, 23):
+        passage = make(n)
+        texts += [f"{make(30)} {passage}", f"{passage} {make(30)}"]
+    pairs = list(enumerate(texts))
+    want = key(brute.op3(pairs))
+    assert sum(r[2] > 0 for r in want) == 25
+    assert rows(debruijn.digest_repeats(spark.createDataFrame(pairs, "doc_id long, text string").coalesce(1))) == want
+
+
 def test_debruijn_spans(docs, documents):
     import re
 
