@@ -20,6 +20,8 @@ from folium.llm.runtime import attach, shared_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of a shard that one task sorts, as a share of the shard.
 SLICES = 16
+#: Near duplicates: the least similarity of their sets of windows, and the words of a window. Query op7 has values of its own.
+NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    found = prefixtree.jaccard_components(docs)
+    """One document, that of the smallest id, of each group of near duplicates: 80 % of their windows of five words in common."""
+    found = prefixtree.jaccard_components(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE)
     groups = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")).where("doc_id is null or component_id = doc_id")
     groups = groups.select(F.col("doc_id").alias("first_id"), (F.col("doc_id").isNotNull() & (F.col("rows") > 1)).alias("again"))
     kept = docs.select(COLUMNS).join(groups, F.col("doc_id").eqNullSafe(F.col("first_id"))).drop("first_id")

@@ -198,5 +198,17 @@ def test_pipeline(spark, tmp_path):
         docs = out
 
 
+def test_pipeline_near_duplicates(spark):
+    """Copies with about a fifth appended, on both sides of the threshold."""
+    rng = random.Random(8)
+    make = lambda n: " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(n))
+    rows = [(i, make(100)) for i in range(30)]
+    rows += [(100 + i, f"{t} {make(12 + i // 2)}") for i, t in rows] + [(200, "one Two three"), (201, "one two three"), (202, rows[0][1].replace(" ", "\n"))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    low = {i: x for i, _, x in brute.op7(rows, percent=80, k=5)}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted(set(low.values()))
+    assert set(low.values()) < {x for _, _, x in brute.op7(rows)}
+
+
 def brute_components(pairs):
     return [(i, low) for i, _, low in brute.op7(pairs)]
