@@ -74,6 +74,28 @@ def test_fertility_bands(spark):
     assert not any(got[1000 + i] for i in range(4)) and sum(got[i] for i in range(120)) >= 114
 
 
+def prose(rng, n):
+    return " ".join(rng.choice("the of and people water history because between language government children number".split()) + str(rng.randint(0, 99)) * (rng.random() < 0.1) for _ in range(n))
+
+
+def noise(rng, n):
+    return " ".join("".join(rng.choice("#%&*$|") for _ in range(6)) for _ in range(n))
+
+
+def kept(spark, rows):
+    return {r.doc_id: r.kept for r in fertility.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARIES).collect()}
+
+
+def test_fertility_judges_small_groups(spark):
+    """Noise of a rare length, in a small table and in a rare language."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 120), "en") for i in range(80)] + [(100, noise(rng, 120), "xx"), (101, noise(rng, 500), "en"), (102, noise(rng, 40), None), (103, prose(rng, 180), "en"), (104, prose(rng, 90), "en")]
+    got = kept(spark, rows)
+    assert not got[100] and not got[101] and not got[102] and got[103] and got[104]
+    few = kept(spark, [(i, "".join(rng.choice("abcdefghi ") for _ in range(700)), "en") for i in range(3)] + [(9, noise(rng, 120), "en"), (10, "Rivers carry water, sand and small stones from the mountains down to the sea. In spring, when the snow melts, they rise above their banks; in late summer some of them nearly run dry. People who live beside them have always watched the level closely, because fields, mills and boats depend upon it.", "en")])
+    assert not few[9] and few[10]
+
+
 def test_measures_by_hand():
     codes, ptr = np.array([0, 1, 0, 2]), np.array([0, 3, 3, 4])
     size, flat, odd = np.array([1, 2, 2]), np.array([5, 6, 7, 5, 5]), np.zeros(9, bool)
