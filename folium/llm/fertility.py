@@ -8,11 +8,11 @@ Public vocabularies cut each word into tokens. Of every document, for each vocab
 
 Prose of a language keeps within a band of each; noise, symbols and lists fall outside. Bands hold for a
 language (where there is none, for the script of most letters) and for documents of like length in words, as
-evenness falls with length. They are taken over all documents: from `spread` times the distance of the
+evenness falls with length. They are taken over all distinct texts, so that copies don't narrow them: from `spread` times the distance of the
 quartiles below the first quartile to as much above the third. Quartiles come from counts of values in
 fixed bins, which add up exactly in any order. A document is kept if the base rules hold and all its
 measures are in their bands. Every document of `least_tokens` tokens is judged: a length of fewer than
-`least_group` documents takes in the neighbouring lengths, at last the whole language; a language of fewer
+`least_group` texts takes in the neighbouring lengths, at last the whole language; a language of fewer
 than that has FIXED_BANDS. Documents of fewer tokens are too short to judge and pass.
 
 Only words are cut, each distinct word of a chunk once.
@@ -180,6 +180,8 @@ def key_bands(length: np.ndarray, value: np.ndarray, count: np.ndarray, slope: f
     """(length, low, high) of one measure of one language; nothing where all its lengths together are too few.
 
     A length of too few texts takes in its neighbours, ever farther ones, moved along the slope to that length.
+    No band is narrower than the distance of the quartiles that is usual in the language, which falls with the
+    root of the length, asks for.
     """
     levels, out = np.unique(length), []
     total = np.array([count[length == x].sum() for x in levels])
@@ -193,7 +195,9 @@ def key_bands(length: np.ndarray, value: np.ndarray, count: np.ndarray, slope: f
         order = np.argsort(v, kind="stable")
         upto = np.cumsum(count[near][order])
         out.append([x, *(float(v[order][np.searchsorted(upto, q * upto[-1])]) for q in (0.25, 0.5, 0.75))])
-    width = [spread * max(q3 - q1, 0.02 * q2, 2 / BINS) for _, q1, q2, q3 in out]
+    x, q1, q2, q3 = np.array(out).T
+    usual = np.median((q3 - q1) * 2 ** ((x - x[:, None]) / (2 * LENGTHS)), axis=1)  # of all lengths, scaled to each one
+    width = spread * np.maximum.reduce([q3 - q1, usual, 0.02 * q2, np.full(len(x), 2 / BINS)])
     return [(x, q1 - w, q3 + w) for (x, q1, _, q3), w in zip(out, width, strict=True)]
 
 
@@ -209,7 +213,8 @@ def _bands(spread: float, least_group: int) -> Callable:
 
 def bands(rows: DataFrame, spread: float = SPREAD, least_group: int = LEAST_GROUP) -> DataFrame:
     """lang, length, bands: the band of each measure, for each language that has `least_group` texts to judge."""
-    bins = rows.select("lang", "length", F.posexplode("measures").alias("i", "value")).groupBy("lang", "length", "i", F.round(F.col("value") * BINS).cast("long").alias("bin")).count()
+    texts = rows.select("lang", "length", "text_hash", F.transform("measures", lambda m: F.round(m * BINS).cast("long")).alias("bins")).distinct()
+    bins = texts.select("lang", "length", F.posexplode("bins").alias("i", "bin")).groupBy("lang", "length", "i", "bin").count()
     found = bins.groupBy("lang", "i").applyInArrow(_bands(spread, least_group), "lang string, length int, i int, low double, high double")
     return found.groupBy("lang", "length").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("bands"))
 

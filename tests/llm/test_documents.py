@@ -96,6 +96,25 @@ def test_fertility_judges_small_groups(spark):
     assert not few[9] and few[10]
 
 
+@pytest.mark.parametrize("copied", [prose, noise])
+def test_fertility_of_many_copies(spark, copied):
+    """Many copies of a text, clean or junk, don't make the band of their length."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, n), "en") for i, n in enumerate([120] * 60 + [60] * 60 + [240] * 60)]
+    text = copied(rng, 120)
+    got = kept(spark, rows + [(1000 + i, text, "en") for i in range(400)])
+    assert sum(got[i] for i in range(180)) >= 171 and all(got[1000 + i] == (copied is prose) for i in range(400))
+
+
+def test_fertility_width_floor():
+    """Near copies in one length: its band is as wide as is usual in the language."""
+    rng = np.random.default_rng(1)
+    length, value = np.repeat([14, 15, 16], 400), rng.normal(2.0, 0.05, 1200)
+    value[400:700] = 2.0
+    bands = {x: (low, high) for x, low, high in fertility.key_bands(length, value, np.ones(1200, np.int64), 0.0, 2.25, 32)}
+    assert np.mean((value[700:800] >= bands[15][0]) & (value[700:800] <= bands[15][1])) > 0.97
+
+
 def test_measures_by_hand():
     codes, ptr = np.array([0, 1, 0, 2]), np.array([0, 3, 3, 4])
     size, flat, odd = np.array([1, 2, 2]), np.array([5, 6, 7, 5, 5]), np.zeros(9, bool)
