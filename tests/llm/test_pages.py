@@ -73,6 +73,22 @@ def test_wrappers_without_article_elements(spark):
     assert "(<p>#</>)+" in shape and "?" in shape
 
 
+def test_text_beside_the_heaviest_element(spark):
+    """Headings, leads and second containers stay; slogans and lists of links that all pages have go."""
+    story = lambda i, n: f"<p>{' '.join(f'word{chr(97 + i)}{chr(97 + k % 26)}' for k in range(n))}</p>"
+    single = f'<body><h1>T</h1><p>lead</p>loose<div class="story">{story(0, 65)}</div><div class="more">{story(1, 30)}</div></body>'
+    got = wrappers.extract(single, wrappers.content_of(wrappers.wrapper_of(wrappers.read(single)))).split("\n")
+    assert got[:3] == ["T", "lead", "loose"] and [len(x.split()) for x in got[3:]] == [65, 30]
+    page = '<body><div class="slogan"><p>We know it all</p></div><div class="more-links"><a href="/1">Other</a> <a href="/2">Page</a></div><h1>Head {0}</h1><p>lead {0}</p><div class="story">{1}</div><div class="rest">{2}</div></body>'
+    rows = [(i, f"http://h/{i}", page.format(chr(97 + i), story(i, 65), story(i + 7, 30))) for i in range(5)]
+    rows.append((9, "http://h/9", f"<body><h1>Only</h1><div class='other'>{story(20, 40)}</div><div class='story'><p>short</p></div></body>"))
+    texts = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        lines = texts[i].split("\n")
+        assert lines[:2] == [f"Head {chr(97 + i)}", f"lead {chr(97 + i)}"] and [len(x.split()) for x in lines[2:]] == [65, 30]
+    assert [len(x.split()) for x in texts[9].split("\n")] == [1, 40, 1]
+
+
 def test_union_free_groups():
     page = lambda n: wrappers.wrapper_of(wrappers.read("<body>" + "<h2>a</h2><p>b</p>" * n + "</body>"))
     assert wrappers.expression(wrappers.merged(page(3), page(2))) == "<#page><body>(<h2>#</> <p>#</>)+</></>"
