@@ -89,6 +89,16 @@ def test_text_beside_the_heaviest_element(spark):
     assert [len(x.split()) for x in texts[9].split("\n")] == [1, 40, 1]
 
 
+def test_doubtful_hints_inside_articles(spark):
+    """An article's own sections, references and formulas stay; what all pages of the host repeat goes."""
+    word = lambda i: f"w{chr(97 + i)}"
+    page = '<main><ul class="tabs"><li><a href="/a">Read</a></li><li><a href="/b">Edit</a></li></ul><h1>T {0}</h1><p class="legal">law {0}</p><section id="discussion"><h2 class="section-header">Seen {0}</h2><p>found {0}</p></section><h2 id="related-work">Others {0}</h2><p>let <math><mi>x{0}</mi></math> be</p><ol class="refs"><li><a href="/{0}">Paper {0}</a></li></ol><div class="notice"><p>All rights reserved</p></div><div class="related"><a href="/{0}">More {0}</a></div><div id="comments"><p>nice {0}</p></div></main>'
+    rows = [(i, f"http://h/{i}", page.format(word(i))) for i in range(5)]
+    for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        x = word(r.page_id)
+        assert r.text.split("\n") == [f"T {x}", f"law {x}", f"Seen {x}", f"found {x}", f"Others {x}", f"let x{x} be", f"Paper {x}"]
+
+
 def test_union_free_groups():
     page = lambda n: wrappers.wrapper_of(wrappers.read("<body>" + "<h2>a</h2><p>b</p>" * n + "</body>"))
     assert wrappers.expression(wrappers.merged(page(3), page(2))) == "<#page><body>(<h2>#</> <p>#</>)+</></>"
