@@ -8,10 +8,11 @@ removed where its edge also starts in a document of smaller id. Three steps, eac
 2. *Edges.* The edges with a repeated minimizer are joined across chunks by hash: each edge gets its
    source coordinate, the smallest (doc_id, word position) where it starts. An edge costs a chunk one
    entry however often it occurs there, so hot passages are aggregated before the shuffle.
-3. *Paths.* The sources are joined back to the chunks. Where neighbouring edges of a document have
-   neighbouring source coordinates, they form a nonbranching path and compact into one span, which
-   the source coordinates verify: a 64-bit edge hash, an independent 32-bit hash and, on longer
-   spans, the run of positions all agree with the source.
+3. *Removal.* The sources are joined back to the chunks, and the words of each edge that a smaller
+   document has are removed: a 64-bit edge hash and an independent 32-bit hash agree with the source's;
+   no text is compared with the source.
+4. *Paths*, in remove_repeats() with span_row only. Where neighbouring edges of a document have
+   neighbouring source coordinates, they form a nonbranching path and compact into one span.
 
 Defined results: a null or empty text has no words. Rows without doc_id count as larger than all ids
 and never as a source for each other; rows that share a doc_id aren't sources for each other either.
