@@ -140,6 +140,30 @@ BOILERPLATE = [
     r"Licenciado para.{0,250}?(?:\d{3}\.\d{3}\.\d{3}-\d{2}|$)",
 ]
 ABBREVIATIONS = ["Dr.", "Dra.", "Prof.", "Profa.", "Sr.", "Sra.", "Fig.", "Figs.", "Eq.", "Eqs.", "p.", "pp.", "vol.", "n.", "no.", "nº."]
+#: Dots that end no sentence: of numbers, of "et al." before a reference, of initials.
+DOTS_INSIDE = [r"(?<=\d)\.(?=\d)", r"(?i)\bet al\.(?=\s*[,;(]|\s*\d{4})", r"\b[A-Z]\.(?=\s*[A-ZÀ-ÖØ-Þ])"]
+#: Where long units are cut, best first.
+CUT_AT = ["; ", ": ", ", ", " "]
+#: Stands for a paragraph's end while line ends go.
+PARAGRAPH = "\ue000"
+#: What cleaning replaces in a page's text, in this order.
+CLEANING = [
+    ("\u00ad", ""),
+    (r"(?imuU)^\s*(?:p[aá]gina\s*)?\d{1,4}\s*$", " "),
+    (r"(?U)([A-Za-zÀ-ÖØ-öø-ÿ])-\s*\n\s*([A-Za-zÀ-ÖØ-öø-ÿ])", "$1$2"),
+    (r"(?imuU)^\s*[•●▪◦*-]\s+", "\n\n- "),
+    (r"(?iuU)\s+-\s+(?=[A-ZÀ-ÖØ-Þ])", "\n\n- "),
+    (rf"(?iuU)\s+(?={SECTION_START})", "\n\n"),
+    (r"\n[ \t]*\n+", PARAGRAPH),
+    ("\n", " "),
+    (PARAGRAPH, "\n\n"),
+    (r"(?U)\|\s*\d{1,4}\s*\|", " "),
+    (r"(?U)(?:^|\s)\|\s*\d{1,4}(?=\s)", " "),
+    (r"(?U)(?:^|\s)\d{1,4}\s*\|(?=\s)", " "),
+    (r"[ \t]{2,}", " "),
+    (r" *\n\n *", "\n\n"),
+    (r"\n{3,}", "\n\n"),
+]
 #: File name parts and how many first pages to skip.
 SKIPPED_PAGES = {
     "Interventionsforfemalepatternhairloss-Review": 2,

@@ -1,6 +1,7 @@
 """Goldens of labels, scores, variants and chunking."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from folium.functions import answers as A
@@ -58,15 +59,15 @@ def test_chunks_split_at_headings(spark):
 
 
 def test_units_cover_the_text():
-    spans = [chunking.Span(1, 0, 30), chunking.Span(2, 31, 5000)]
-    text = "O Dr. Silva viu 3.5 mg. Fim da página um aqui. " + "palavra, " * 400 + "fim."
-    whole = chunking.units(text, spans)
-    assert whole[0].text == "O Dr. Silva viu 3.5 mg." and whole[0].page_start == 1
-    cut = chunking.cut_long(whole, spans, chunking.EngineConfig())
-    assert all(len(u.text) <= 1800 for u in cut) and any(u.forced for u in cut)
-    assert "".join("".join(u.text.split()) for u in cut) == "".join(text.split())
-    for part in chunking.pack(cut, chunking.EngineConfig()):
-        assert chunking.size_of(part) <= 1200 or len(part) == 1
+    config, text = chunking.EngineConfig(), "O Dr. Silva viu 3.5 mg. Fim da página um aqui. " + "palavra, " * 400 + "fim."
+    whole = chunking.sentences(text)
+    assert text[slice(*whole[0])] == "O Dr. Silva viu 3.5 mg."
+    cut = [p for a, b in whole for p in ([(a, b)] if b - a <= 1800 else chunking.pieces(text, a, b, config))]
+    assert all(b - a <= 1800 for a, b in cut) and len(cut) > len(whole)
+    assert "".join("".join(text[a:b].split()) for a, b in cut) == "".join(text.split())
+    length = np.array([b - a for a, b in cut])
+    for i, j in chunking.packed(length, np.zeros(len(cut), bool), config):
+        assert length[i:j].sum() + j - i - 1 <= 1200 or j == i + 1
 
 
 def test_cleaning(spark):
