@@ -1,4 +1,8 @@
-"""Publishing tables as versions: written aside, checked, then made current in one step."""
+"""Publishing tables as versions: written aside, checked, then made current in one step.
+
+Each change of the current version adds a numbered pointer file; the largest number counts. Nothing that a
+reader may be looking at is replaced, so a crash at any point leaves the old version or the new one current.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER, SCHEMA_VERSION = "_current", 3
+POINTER, SCHEMA_VERSION = "_current-", 3
 
 
 class Folder:
@@ -31,16 +35,19 @@ class Folder:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        """Writes a small file beside and renames it into place."""
-        aside = self.at(f"{name}.{uuid.uuid4().hex}")
+    def names(self) -> list[str]:
+        return [x.getPath().getName() for x in self.fs.listStatus(self.at(""))] if self.fs.exists(self.at("")) else []
+
+    def create(self, name: str, text: str) -> bool:
+        """Writes a small file beside and renames it into place; False if another writer made it first."""
+        aside = self.at(f".{name}.{uuid.uuid4().hex}")
         stream = self.fs.create(aside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.fs.exists(self.at(name)):
-            self.fs.delete(self.at(name), False)
-        if not self.fs.rename(aside, self.at(name)):
-            raise OSError(f"{name} was not replaced")
+        done = not self.fs.exists(self.at(name)) and self.fs.rename(aside, self.at(name))
+        if not done:
+            self.fs.delete(aside, False)
+        return done
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
@@ -57,16 +64,25 @@ def publish(df: DataFrame, path: str, *, expected: int | None = None, keep: int
         folder.delete(version)
         raise ValueError(f"{n} rows were written, {expected} were expected; the current version stays")
     meta = {"version": version, "number": (old or {}).get("number", 0) + 1, "rows": n, "schema_version": SCHEMA_VERSION, "built_at_utc": datetime.now(UTC).isoformat(), "previous": ([old["version"], *old["previous"]] if old else [])[:keep]} | about
-    folder.replace(POINTER, json.dumps(meta))
+    point(folder, meta)
     for gone in ([old["version"], *old["previous"]] if old else [])[keep:]:
         folder.delete(gone)
     return meta
 
 
+def point(folder: Folder, meta: dict) -> None:
+    """Makes meta's version current; pointers older than those kept go."""
+    if not folder.create(f"{POINTER}{meta['number']:09d}", json.dumps(meta)):
+        raise OSError(f"another writer published number {meta['number']} of {folder.path}")
+    for name in sorted(x for x in folder.names() if x.startswith(POINTER))[:-3]:
+        folder.delete(name)
+
+
 def current(spark: SparkSession, path: str) -> dict | None:
     """What the current version says about itself; None if nothing is published."""
-    raw = Folder(spark, path).read(POINTER)
-    return json.loads(raw) if raw else None
+    folder = Folder(spark, path)
+    names = sorted(x for x in folder.names() if x.startswith(POINTER))
+    return json.loads(folder.read(names[-1])) if names else None
 
 
 def load(spark: SparkSession, path: str, *, model: str | None = None) -> DataFrame | None:
@@ -86,7 +102,7 @@ def roll_back(spark: SparkSession, path: str) -> dict:
         raise ValueError("there is no previous version")
     back = meta | {"version": meta["previous"][0], "previous": meta["previous"][1:], "number": meta["number"] + 1}
     back["rows"] = spark.read.parquet(f"{path.rstrip('/')}/{back['version']}").count()
-    Folder(spark, path).replace(POINTER, json.dumps(back))
+    point(Folder(spark, path), back)
     return back
 
 
