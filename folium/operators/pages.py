@@ -9,9 +9,6 @@ from ..config import EngineConfig
 from ..functions import fixed_values as V
 from ..functions import text as T
 
-#: Stands for a paragraph's end while line ends go.
-PARAGRAPH = "\ue000"
-
 
 def repeated_lines(pages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """document, signature, pages: forms of lines at page borders that a document has config.repeated_pages times or more.
@@ -42,25 +39,8 @@ def without_boilerplate(c: Column) -> Column:
 
 def cleaned(c: Column) -> Column:
     """A page's text without licences, page numbers, broken words and narrow line ends; headings start paragraphs."""
-    steps = [
-        ("\u00ad", ""),
-        (r"(?imuU)^\s*(?:p[aá]gina\s*)?\d{1,4}\s*$", " "),
-        (r"(?U)([A-Za-zÀ-ÖØ-öø-ÿ])-\s*\n\s*([A-Za-zÀ-ÖØ-öø-ÿ])", "$1$2"),
-        (r"(?imuU)^\s*[•●▪◦*-]\s+", "\n\n- "),
-        (r"(?iuU)\s+-\s+(?=[A-ZÀ-ÖØ-Þ])", "\n\n- "),
-        (rf"(?iuU)\s+(?={V.SECTION_START})", "\n\n"),
-        (r"\n[ \t]*\n+", PARAGRAPH),
-        ("\n", " "),
-        (PARAGRAPH, "\n\n"),
-        (r"(?U)\|\s*\d{1,4}\s*\|", " "),
-        (r"(?U)(?:^|\s)\|\s*\d{1,4}(?=\s)", " "),
-        (r"(?U)(?:^|\s)\d{1,4}\s*\|(?=\s)", " "),
-        (r"[ \t]{2,}", " "),
-        (r" *\n\n *", "\n\n"),
-        (r"\n{3,}", "\n\n"),
-    ]
     c = without_boilerplate(c)
-    for pattern, to in steps:
+    for pattern, to in V.CLEANING:
         c = F.regexp_replace(c, pattern, to)
     return T.strip(c)
 
@@ -98,9 +78,23 @@ def overlapping_pages(units: DataFrame, spans: DataFrame, *, bucket: int = 4096)
     `bucket`, so the overlap is an equality join, whatever a document's length.
     """
     cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / bucket)))
-    u = units.select("document", "unit", F.col("start").alias("us"), F.col("stop").alias("ue")).withColumn("b", cut("us", "ue"))
-    s = spans.select("document", "page", F.col("start").alias("ss"), F.col("stop").alias("se")).withColumn("b", cut("ss", "se"))
-    return u.join(s, ["document", "b"]).where("us < se and ue > ss").groupBy("document", "unit").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+    u = units.select("document", "unit", F.col("start").alias("us"), F.col("stop").alias("ue"))
+    s = spans.select("document", "page", F.col("start").alias("ss"), F.col("stop").alias("se"))
+    met = u.withColumn("b", cut("us", "ue")).join(s.withColumn("b", cut("ss", "se")), ["document", "b"]).where("us < se and ue > ss")
+    met = met.groupBy("document", "unit").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+    # A unit that overlaps nothing lies before, between or behind pages: the last border before it and the first after it are near.
+    lone = u.join(met, ["document", "unit"], "left_anti")
+    borders = s.select("document", "page", F.explode(F.array("ss", "se")).alias("at"), F.lit(None).cast("long").alias("unit"))
+    places = lone.select("document", F.lit(None).cast(s.schema["page"].dataType).alias("page"), F.col("us").alias("at"), "unit").unionByName(borders)
+    # of borders at one place, the smaller page; of two as near, that of the smaller page too
+    border = F.when(F.col("page").isNotNull(), F.struct("at", "page"))
+    before = F.last(border, True).over(Window.partitionBy("document").orderBy("at", F.desc_nulls_last("page")).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(border, True).over(Window.partitionBy("document").orderBy("at", F.asc_nulls_first("page")).rowsBetween(0, Window.unboundedFollowing))
+    near = places.withColumns({"_before": before, "_after": after}).where("unit is not null")
+    far = lambda c: F.abs(F.col(c)["at"] - F.col("at"))
+    page = F.when(F.col("_after").isNull() | (far("_before") < far("_after")), F.col("_before")["page"]).when(F.col("_before").isNull() | (far("_after") < far("_before")), F.col("_after")["page"]).otherwise(F.least(F.col("_before")["page"], F.col("_after")["page"]))
+    near = near.withColumn("_page", page).where("_page is not null")
+    return met.unionByName(near.select("document", "unit", F.col("_page").alias("page_start"), F.col("_page").alias("page_end")))
 
 
 def page_ranges(ranges: DataFrame, key: str) -> DataFrame:
