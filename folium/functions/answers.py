@@ -56,12 +56,16 @@ def problems(answer: Column, sources: Column, question: Column) -> Column:
     return T.let(F.struct(citations(answer).alias("cited"), T.normalize_answer(answer).alias("n"), T.normalize_answer(question).alias("asked")), of)
 
 
-def status(sources: Column, answer: Column, found: Column) -> Column:
-    """What became of a question: vazio, sem_material, erro_modelo, resposta_bloqueada or ok; found: its problems."""
+def status(question: Column, index: Column, sources: Column, answer: Column, failed: Column, found: Column) -> Column:
+    """What became of a question: vazio, erro_indice, sem_material, erro_modelo, resposta_bloqueada or ok.
+
+    index: whether it could be read; failed: whether the model did; found: the answer's problems.
+    """
     return (
-        F.when(answer.isNull() & sources.isNull(), F.lit("vazio"))
+        F.when(T.strip(F.coalesce(question, F.lit(""))) == "", F.lit("vazio"))
+        .when(~index, F.lit("erro_indice"))
         .when(F.coalesce(sources, F.lit(0)) == 0, F.lit("sem_material"))
-        .when(answer.isNull() | (T.strip(answer) == ""), F.lit("erro_modelo"))
+        .when(failed | answer.isNull() | (T.strip(answer) == ""), F.lit("erro_modelo"))
         .when(F.size(found) > 0, F.lit("resposta_bloqueada"))
         .otherwise(F.lit("ok"))
     )

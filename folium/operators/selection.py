@@ -78,6 +78,23 @@ def select(candidates: DataFrame, config: EngineConfig = EngineConfig()) -> Data
     return candidates.select(*names).groupBy("question_id").applyInArrow(_walk(config), DEBUG)
 
 
+def unused_windows(found: DataFrame) -> DataFrame:
+    """question_id and chunk_id of the candidates, visited by rank, whose window is neither rejected nor empty and shares
+    no chunk with the windows kept before.
+
+    found: question_id, chunk_id, rank, window_ids, window_rejected. A question has few candidates.
+    """
+    visited = F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "window_ids", "window_rejected")))
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, x: Column) -> Column:
+        bad = F.coalesce(x.window_rejected | (F.size(x.window_ids) < 1) | F.arrays_overlap(state.used, x.window_ids) | F.array_contains(state.used, x.chunk_id), F.lit(True))
+        return F.when(bad, state).otherwise(F.struct(F.concat(state.used, x.window_ids).alias("used"), F.concat(state.kept, F.array(x.chunk_id)).alias("kept")))
+
+    kept = F.aggregate("visited", F.struct(none.alias("used"), none.alias("kept")), step, lambda s: s.kept)
+    return found.groupBy("question_id").agg(visited.alias("visited")).select("question_id", F.explode(kept).alias("chunk_id"))
+
+
 def block(number: Column, source: Column, pages: Column, kind: Column, content: Column, topic: Column, quality: Column, text: Column) -> Column:
     """A passage as it stands in the context."""
     attribute = lambda name, c: F.concat(F.lit(f' {name}="'), c, F.lit('"'))

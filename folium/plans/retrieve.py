@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -13,6 +15,7 @@ from ..functions import text as T
 from ..functions.rules import query_variants, scored
 from ..operators import knn, pages, selection
 from ..operators.embedding import Embedder, embedded
+from ..storage import checkpointed
 
 
 class Generator(Protocol):
@@ -71,9 +74,15 @@ def retrieve(questions: DataFrame, index: DataFrame, embedder: Embedder, config:
 
 
 def retrieve_plain(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """The command line's retrieval: one variant, no floor and no caps, the best top_k with windows."""
+    """The command line's retrieval: one variant, no floor and no caps.
+
+    Neighbours are visited by similarity; those go whose window is rejected or shares a chunk with one kept before.
+    The rest are sorted by their window's score, and the best top_k stay, with their `place`.
+    """
     found = with_windows(candidates(questions, index, embedder, config, expand=False), index, config)
-    return found.where((F.col("place") <= config.top_k) & ~F.col("rejected"))
+    kept = selection.unused_windows(found).select("question_id", "chunk_id")
+    order = Window.partitionBy("question_id").orderBy(F.desc("window_score"), F.desc("similarity"), "rank", "chunk_id")
+    return found.drop("place").join(kept, ["question_id", "chunk_id"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.top_k)
 
 
 def prompts(passages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -85,23 +94,58 @@ def prompts(passages: DataFrame, config: EngineConfig = EngineConfig()) -> DataF
     return selection.contexts(numbered.select("question_id", F.col("n").alias("place"), block.alias("block")), config)
 
 
-def answered(questions: DataFrame, contexts: DataFrame, generator: Generator, system: str = "") -> DataFrame:
-    """Answers with status and problems; an answer with problems is asked for once more, then blocked."""
+def _ask(generator: Generator, system: str, names: list[str]) -> Callable:
+    """Calls the model for rows with a prompt: their `names`, its answer and whether it failed."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            answers, failed = [], []
+            for prompt in b.column("prompt").to_pylist():
+                try:
+                    answers.append(generator.answer(system, prompt))
+                    failed.append(False)
+                except Exception:  # noqa: BLE001  one failing call must not end the others
+                    answers.append(None)
+                    failed.append(True)
+            yield pa.record_batch([*(b.column(n) for n in names), pa.array(answers, pa.string()), pa.array(failed)], names=[*names, "answer", "failed"])
+
+    return ask
+
+
+def asked(rows: DataFrame, prompt: Column, generator: Generator, system: str) -> DataFrame:
+    """rows with `answer` and `failed` of one call each. They are kept, so that no later step calls again."""
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return checkpointed(rows.withColumn("prompt", prompt).mapInArrow(_ask(generator, system, rows.columns), f"{shape}, answer string, failed boolean"))
+
 
-    @F.udf("string")
-    def ask(context: str | None, question: str, problems: list | None) -> str | None:
-        if not context:
-            return None
-        repair = "" if not problems else "\n\n" + "; ".join(problems)
-        return generator.answer(system, f"{context}\n\n{question}{repair}")
+def answered(questions: DataFrame, contexts: DataFrame | None, generator: Generator, system: str = "", repair: str | None = None) -> DataFrame:
+    """Answers with status and problems. Only an answer with problems is asked for once more, with the provisional one
+    and its problems in the prompt; if problems stay, it is blocked.
 
+    contexts: question_id, context, places; None where the index can't be read: all questions have status erro_indice.
+    """
+    if contexts is None:
+        contexts = questions.sparkSession.createDataFrame([], "question_id long, context string, places array<int>")
+        return _status(questions.join(contexts, "question_id", "left").withColumns({"n_sources": F.lit(0), "answer": F.lit(None).cast("string"), "failed": F.lit(False)}), index=False)
     rows = questions.join(contexts, "question_id", "left").withColumn("n_sources", F.coalesce(F.size("places"), F.lit(0)))
+    ready = (F.col("n_sources") > 0) & (T.strip(F.coalesce("question", F.lit(""))) != "")
+    prompt = F.concat(F.lit("<caso>\n"), "question", F.lit("\n</caso>\n\n<trechos_da_base>\n"), "context", F.lit("\n</trechos_da_base>"))
+    first = asked(rows.where(ready), prompt, generator, system).withColumn("problems", _problems())
+    again = F.concat(prompt, F.lit("\n\n<resposta_provisoria>\n"), "provisional", F.lit("\n</resposta_provisoria>\n\nProblemas: "), F.array_join("problems", ", "))
+    bad = first.where(~F.col("failed") & (F.size("problems") > 0)).withColumnRenamed("answer", "provisional").drop("failed")
+    second = asked(bad, again, generator, system if repair is None else repair).drop("provisional", "problems")
+    none = rows.where(~F.coalesce(ready, F.lit(False))).withColumns({"answer": F.lit(None).cast("string"), "failed": F.lit(False)})
+    return _status(first.where(F.col("failed") | (F.size("problems") == 0)).drop("problems").unionByName(second).unionByName(none))
+
+
+def _problems() -> Column:
+    return A.problems(F.coalesce("answer", F.lit("")), F.col("n_sources"), F.col("question"))
+
+
+def _status(rows: DataFrame, *, index: bool = True) -> DataFrame:
     none = F.array().cast("array<string>")
-    found = lambda c: A.problems(F.coalesce(F.col(c), F.lit("")), F.col("n_sources"), F.col("question"))
-    first = rows.withColumn("first", ask("context", "question", none)).withColumn("found", found("first"))
-    last = first.withColumn("answer", F.when(F.col("first").isNotNull() & (F.size("found") > 0), ask("context", "question", "found")).otherwise(F.col("first")))
-    last = last.withColumn("problems", F.when(F.col("answer").isNotNull(), found("answer")).otherwise(none))
-    return last.withColumn("status", A.status(F.col("n_sources"), F.col("answer"), F.col("problems"))).drop("first", "found")
+    rows = rows.withColumn("problems", F.when(F.col("answer").isNotNull(), _problems()).otherwise(none))
+    return rows.withColumn("status", A.status(F.col("question"), F.lit(index), F.col("n_sources"), F.col("answer"), F.col("failed"), F.col("problems"))).drop("failed")
 
 
 def evaluated(cases: DataFrame, selected: DataFrame) -> DataFrame:
@@ -115,3 +159,8 @@ def evaluated(cases: DataFrame, selected: DataFrame) -> DataFrame:
     bad = F.array_sort(F.array_intersect(F.coalesce("types", F.array().cast("array<string>")), "forbidden_content_types"))
     out = rows.withColumns({"has_expected": some("expected_any_terms", "all"), "has_forbidden_source": some("forbidden_source_terms", "sources"), "forbidden_types_found": F.array_join(bad, ", ")})
     return out.withColumn("passed", (F.col("n") > 0) & F.col("has_expected") & ~F.col("has_forbidden_source") & (F.col("forbidden_types_found") == "")).select("name", "n", "has_expected", "has_forbidden_source", "forbidden_types_found", "passed")
+
+
+def totals(results: DataFrame) -> DataFrame:
+    """One row on evaluated(): cases, passed and failed."""
+    return results.agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
