@@ -77,8 +77,8 @@ def section_title(c: Column) -> Column:
     return first_of(rules, F.when(heading != "", named).otherwise("general"))
 
 
-def labelled(df: DataFrame, source: str = "source", text: str = "text", section: str | None = None) -> DataFrame:
-    """df with document_type, content_type, topic, source_quality and section."""
+def labelled(df: DataFrame, source: str = "source", text: str = "text", section: str | None = None, *, keep: bool = False) -> DataFrame:
+    """df with document_type, content_type, topic, source_quality and section; keep: with the normalised text as _body too."""
     s, t = F.col(source), F.col(text)
     # normalised once: the rules below use these columns hundreds of times
     own = {"_stem": T.normalize(T.stem(s)), "_head": T.normalize(F.substring(t, 1, 2500)), "_norm": T.normalize(t), "_flat": T.collapse(t)}
@@ -92,6 +92,8 @@ def labelled(df: DataFrame, source: str = "source", text: str = "text", section:
             "section": title if given is None else F.coalesce(F.nullif(given, F.lit("")), title),
         }
     )
+    if keep:
+        df = df.withColumn("_body", F.col("_norm"))
     return df.withColumn("source_quality", source_quality(F.col("document_type"))).drop(*own, *(f"_{k}" for k in CLASSES))
 
 
@@ -133,20 +135,49 @@ def query_variants(question: Column, most: int = 4) -> Column:
     return F.slice(F.transform(fresh, lambda x: x.variant), 1, most)
 
 
+#: What a text may cover, of what a question tells.
+COVERED = {"scalp": V.SCALP, "hair": V.HAIR, "medication": V.MEDICATION, "labs": V.LABS, "adverse": V.ADVERSE_EVENT}
+QUESTION = ["_asked", "_asked_words", *(f"_{k}" for k in FLAGS)]
+TEXT = ["_body", "_source", "_words", "_penalised", *(f"_covers_{k}" for k in COVERED)]
+
+
+def of_question(question: Column) -> dict[str, Column]:
+    """What scored() needs of a question; constants, if the question is a literal."""
+    n = T.normalize(question)
+    return {"_asked": n, "_asked_words": T.tokens(n)} | {f"_{k}": v for k, v in profile(n).items()}
+
+
+def with_texts(df: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """df with what scored() needs of each text: make it before texts meet questions, so that each is normalised once."""
+    if "_body" not in df.columns:
+        df = df.withColumn("_body", T.normalize(F.col(text)))
+    df = df.withColumn("_source", T.normalize(F.col(source)))
+    every = F.trim(F.concat_ws(" ", "_source", "_body"))
+    covers = {f"_covers_{k}": any_of(F.col("_body"), terms) for k, terms in COVERED.items()}
+    return df.withColumns({"_words": T.tokens(every), "_penalised": any_of(F.col("_source"), V.PENALISED_SOURCES)} | covers)
+
+
 def scored(df: DataFrame, *, question: str = "question", source: str = "source", text: str = "text", similarity: str = "similarity", labels: bool = False) -> DataFrame:
-    """df with adjusted_score, lexical_coverage, rejected and reasons; labels: whether df has its five labels."""
+    """df with adjusted_score, lexical_coverage, rejected and reasons; labels: whether df has its five labels.
+
+    Columns of of_question() and with_texts() are used where df has them.
+    """
     if not labels:
         df = labelled(df, source, text)
-    df = df.withColumns({"_asked": T.normalize(F.col(question)), "_all": T.normalize(F.concat_ws(" ", source, text))})
-    flags = profile(F.col("_asked"))
-    own = {f"_{k}": v for k, v in flags.items()} | {"_body": T.normalize(F.col(text)), "_source": T.normalize(F.col(source)), "_coverage": T.coverage(T.tokens(F.col("_asked")), T.tokens(F.col("_all")))}
-    df = df.withColumns(own)
+    if "_words" not in df.columns:
+        df = with_texts(df, source, text)
+    if "_asked" not in df.columns:
+        df = df.withColumn("_asked", T.normalize(F.col(question)))
+        df = df.withColumns({"_asked_words": T.tokens(F.col("_asked"))} | {f"_{k}": v for k, v in profile(F.col("_asked")).items()})
+    df = df.withColumn("_coverage", T.coverage(F.col("_asked_words"), F.col("_words")))
+    flags = FLAGS
     asks = {k: F.col(f"_{k}") for k in flags}
-    kind, content, quality, body, cov = F.col("document_type"), F.col("content_type"), F.col("source_quality"), F.col("_body"), F.col("_coverage")
+    kind, content, quality, cov = F.col("document_type"), F.col("content_type"), F.col("source_quality"), F.col("_coverage")
+    covers = {k: F.col(f"_covers_{k}") for k in COVERED}
     consent = (kind == "consent_form") & ~asks["asks_consent"]
     case_plan = (kind == "clinical_case") & content.isin("treatment", "procedure")
     case_rejected = case_plan & ~asks["asks_treatment"] & ~asks["asks_procedure"]
-    adverse, covered = asks["asks_procedure"] & asks["has_adverse_event"], (content == "adverse_event") | any_of(body, V.ADVERSE_EVENT)
+    adverse, covered = asks["asks_procedure"] & asks["has_adverse_event"], (content == "adverse_event") | covers["adverse"]
     none = F.lit(0.0)
     # (reason, when it holds, what it adds); in the order of the reasons and of the sum
     steps = [
@@ -163,18 +194,18 @@ def scored(df: DataFrame, *, question: str = "question", source: str = "source",
         ("protocol", (kind == "procedure_protocol") & ~asks["asks_procedure"], F.lit(-0.12)),
         ("case_plan", case_plan, F.lit(-0.18)),
         ("case_rejected", case_rejected, none),
-        ("scalp", asks["has_scalp_inflammation"] & any_of(body, V.SCALP), F.lit(0.08)),
-        ("hair", asks["has_hair_pattern"] & any_of(body, V.HAIR), F.lit(0.06)),
-        ("medication", asks["has_medication"] & any_of(body, V.MEDICATION), F.lit(0.05)),
-        ("labs", asks["has_labs"] & any_of(body, V.LABS), F.lit(0.04)),
+        ("scalp", asks["has_scalp_inflammation"] & covers["scalp"], F.lit(0.08)),
+        ("hair", asks["has_hair_pattern"] & covers["hair"], F.lit(0.06)),
+        ("medication", asks["has_medication"] & covers["medication"], F.lit(0.05)),
+        ("labs", asks["has_labs"] & covers["labs"], F.lit(0.04)),
         ("procedure_asked", asks["asks_procedure"] & content.isin("procedure", "adverse_event"), F.lit(0.10)),
         ("adverse_covered", adverse & covered, F.lit(0.16)),
         ("adverse_missed", adverse & ~covered & (content == "procedure"), F.lit(-0.04)),
-        ("adverse_source", adverse & any_of(F.col("_source"), V.PENALISED_SOURCES), F.lit(-0.08)),
+        ("adverse_source", adverse & F.col("_penalised"), F.lit(-0.08)),
     ]
     score = F.col(similarity).cast("double") + F.least(F.lit(0.12), cov * 0.14)
     for _, condition, delta in steps:
         if delta is not none:
             score = score + F.when(condition, delta).otherwise(0.0)
     why = F.array_compact(F.array(*(F.when(condition, F.lit(V.REASONS[name])) for name, condition, _ in steps)))
-    return df.withColumns({"adjusted_score": F.round(score, 6), "lexical_coverage": F.round(cov, 6), "rejected": consent | case_rejected, "reasons": why}).drop(*own, "_asked", "_all")
+    return df.withColumns({"adjusted_score": F.round(score, 6), "lexical_coverage": F.round(cov, 6), "rejected": consent | case_rejected, "reasons": why}).drop(*QUESTION, *TEXT, "_coverage")

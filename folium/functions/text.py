@@ -43,12 +43,12 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 def fold(c: Column) -> Column:
     """c in lower case, without accents or other combining marks."""
     one, to, many = folding()
-    c = F.regexp_replace(c, r"\p{M}+", "")
-    rare = c
+    full = F.regexp_replace(c, r"\p{M}+", "")
+    rare = full
     for a, b in many.items():
         rare = F.replace(rare, F.lit(a), F.lit(b))
-    c = F.when(c.rlike(f"[{''.join(many)}]"), rare).otherwise(c)
-    return F.lower(F.translate(c, one, to))
+    full = F.when(c.rlike(f"[{''.join(many)}]"), rare).otherwise(full)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.lower(F.translate(full, one, to)))
 
 
 def normalize(c: Column) -> Column:
@@ -77,13 +77,13 @@ def collapse(c: Column) -> Column:
 
 
 def words(normalized: Column) -> Column:
-    return F.filter(F.split(normalized, " "), lambda w: w != "")
+    return F.when(normalized == "", F.array().cast("array<string>")).otherwise(F.split(normalized, " "))
 
 
 def tokens(normalized: Column) -> Column:
     """Distinct words of three letters or more that are no stop words and not all digits."""
     stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(F.array_distinct(words(normalized)), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
+    return F.filter(F.array_except(words(normalized), stop), lambda w: (F.length(w) >= 3) & ((w >= "a") | ~w.rlike("^[0-9]+$")))
 
 
 def shingles(normalized: Column, size: int = 5) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import checkpointed
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -17,13 +18,14 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.86, size: int = 5) -> DataFrame:
     """id_a < id_b and similarity: pairs of distinct normalised texts with max(Jaccard, containment) >= threshold.
 
-    docs: id, text. Equal texts are represented by their smallest id. Where two sets are that similar, the
+    docs: id, text. Shingles are compared by 64-bit hashes. Equal texts are represented by their smallest id. Where two sets are that similar, the
     smaller keeps that share of its shingles in common, so one of its rarest shingles is in the larger: those
     are the only join keys, and what many documents share is never one of them unless a text has nothing else.
     """
     sets = docs.select("id", T.normalize(F.col("text")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
-    sets = sets.select("id", T.shingles(F.col("t"), size).alias("s")).withColumn("n", F.size("s"))
-    flat = sets.select("id", "n", F.explode("s").alias("g")).select("id", "n", F.xxhash64("g").alias("g"))
+    # hashed where they are made, and kept: the plan below reads them four times
+    sets = checkpointed(sets.select("id", F.transform(T.shingles(F.col("t"), size), lambda g: F.xxhash64(g)).alias("s")).withColumn("n", F.size("s")))
+    flat = sets.select("id", "n", F.explode("s").alias("g"))
     df = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     shared = flat.join(df, "g")
     # shingles of one document only come first; those never join, so only their number counts
