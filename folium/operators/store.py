@@ -57,6 +57,74 @@ def authenticated(tokens: DataFrame, sessions: DataFrame, users: DataFrame, as_o
     return tokens.withColumn("token_hash", F.sha2("token", 256)).join(s, "token_hash").join(u, "user_id").drop("token_hash")
 
 
+def guarded(requests: DataFrame, sessions: DataFrame, users: DataFrame, as_of: datetime | Column) -> DataFrame:
+    """requests (token, area) with user_id and `refused`: why a request is refused, null where it is let in.
+
+    area: "login" asks for a valid session of an active user, "user" for a changed password too, "admin" for the role as well.
+    """
+    valid = authenticated(requests.select("token").where("token is not null").distinct(), sessions, users, as_of)
+    rows = requests.join(valid.drop("session_id"), "token", "left")
+    why = (
+        F.when(F.coalesce("token", F.lit("")) == "", "not_authenticated")
+        .when(F.col("user_id").isNull(), "invalid_session")
+        .when((F.col("area") != "login") & F.col("must_change_password"), "password_change_required")
+        .when((F.col("area") == "admin") & (F.coalesce("role", F.lit("")) != "admin"), "not_admin")
+    )
+    return rows.select(*requests.columns, "user_id", why.alias("refused"))
+
+
+def patched(users: DataFrame, patches: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """users after partial updates, and the patches with `refused`: null where applied.
+
+    patches: admin_id, id, name, email, role, is_active; null leaves a field as it is, one patch a user. Refused are patches
+    of unknown users, an email that another user has or another patch asks for, and admins who would lose their own role or account.
+    """
+    email = F.lower(F.trim("email"))
+    asked = patches.withColumn("email", email)
+    taken = users.select(F.col("id").alias("_owner"), F.lower("email").alias("email"))
+    owner = asked.join(taken, "email").where("_owner <> id").select("id").distinct().withColumn("_taken", F.lit(True))
+    twice = F.count("email").over(Window.partitionBy("email")) > 1
+    rows = asked.join(users.select("id", F.lit(True).alias("_known")), "id", "left").join(owner, "id", "left").withColumn("_twice", F.col("email").isNotNull() & twice)
+    own = F.col("id") == F.col("admin_id")
+    why = (
+        F.when(F.col("_known").isNull(), "unknown_user")
+        .when(F.coalesce("_taken", "_twice"), "email_taken")
+        .when(own & (F.col("role") != "admin"), "own_role")
+        .when(own & ~F.col("is_active"), "own_account")
+    )
+    judged = rows.withColumn("refused", why).select(*patches.columns, "refused")
+    fields = ["name", "email", "role", "is_active"]
+    fine = judged.where("refused is null").select("id", F.trim("name").alias("_name"), F.col("email").alias("_email"), F.col("role").alias("_role"), F.col("is_active").alias("_is_active"), F.lit(True).alias("_patched"))
+    out = users.join(fine, "id", "left").withColumns({f: F.coalesce(f"_{f}", f) for f in fields} | {"updated_at": F.when(F.col("_patched"), as_of).otherwise(F.col("updated_at"))})
+    return out.select(users.columns), judged
+
+
+def logins(attempts: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """attempts with `outcome`, failures and locked_until after each: the whole login machine.
+
+    attempts: user_id, ts, event_id, known, is_active, password_ok. Outcomes in order of the tests: invalid_credentials (no such
+    user), inactive_user, temporary_lock, invalid_credentials (a wrong password, which counts), login_success. A locked
+    attempt isn't counted, and a success resets the count; after a lock the next failure locks again at once. Which
+    attempts count depends on those before, so a user's attempts are folded in order.
+    """
+    minutes, kind = F.expr(f"interval {config.lock_minutes} minutes"), attempts.schema["ts"].dataType.simpleString()
+    every = F.sort_array(F.collect_list(F.struct("ts", "event_id", "known", "is_active", "password_ok")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast(kind).alias("until"), F.array().cast(f"array<struct<event_id:bigint,outcome:string,failures:int,locked_until:{kind}>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        what = F.when(~x.known, "invalid_credentials").when(~x.is_active, "inactive_user").when(F.coalesce(s.until > x.ts, F.lit(False)), "temporary_lock").when(~x.password_ok, "wrong_password").otherwise("login_success")
+
+        def after(w: Column) -> Column:
+            n = F.when(w == "wrong_password", s.n + 1).when(w == "login_success", 0).otherwise(s.n)
+            until = F.when((w == "wrong_password") & (s.n + 1 >= config.lock_after), x.ts + minutes).when(w == "login_success", F.lit(None)).otherwise(s.until)
+            shown = F.when(w == "wrong_password", "invalid_credentials").otherwise(w)
+            return F.struct(n.alias("n"), until.alias("until"), F.concat(s.out, F.array(F.struct(x.event_id.cast("bigint").alias("event_id"), shown.alias("outcome"), n.alias("failures"), until.alias("locked_until")))).alias("out"))
+
+        return T.let(what, after)
+
+    return attempts.groupBy("user_id").agg(every.alias("e")).select("user_id", F.explode(F.aggregate("e", start, step, lambda s: s.out)).alias("r")).select("user_id", "r.*")
+
+
 def changed(table: DataFrame, condition: Column, **values: Column) -> DataFrame:
     """table with new values where the condition holds: a bulk or partial update, or a soft delete."""
     return table.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})

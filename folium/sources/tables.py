@@ -25,8 +25,16 @@ CASE_FIELDS = "name string, question string, expected_any_terms array<string>, f
 METADATA = ["chunk_id", "document_id", "source", "doc_pos", "global_pos", "page_start", "page_end", "char_count", "content_hash", "forced_split", "document_type", "content_type", "topic", "source_quality", "section"]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores where its files have fewer splits than these; filters and columns still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, folder: str, name: str, *, heavy: bool = False) -> DataFrame:
+    """A table; heavy: much work a row is ahead, so a file of few row groups is spread over the cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
 def exists(spark: SparkSession, path: str) -> bool:
