@@ -5,6 +5,7 @@ Every query runs over its whole tables. SQL pieces are made from the same fixed
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from .functions import fixed_values as V
 from .functions import records
 from .functions import rules as L
 from .functions import text as T
+from .functions.filters import where
 from .operators import chunking, dedup, knn, pages, selection, store
 from .plans import ingest, retrieve
 from .sources.tables import html_pages, point, table
@@ -100,7 +102,7 @@ FLAGS_SQL = f"""
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return table(spark, folder, "documents", heavy=True)
 
 
 # --- vector search
@@ -231,10 +233,9 @@ def _(spark, folder):
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document for every question, with the length-free similarity 1 / (1 + doc_id mod 7)."""
-    asked = spark.createDataFrame(QUESTIONS, "question_id long, question string")
     d = documents(spark, folder).select("doc_id", "source", "text", (1 / (1 + F.pmod("doc_id", F.lit(7)))).alias("similarity"))
-    labelled = L.labelled(d)
-    return L.scored(labelled.join(F.broadcast(asked)), labels=True)
+    asked = F.array(*(F.struct(F.lit(i).cast("long").alias("question_id"), F.lit(q).alias("question"), *(v.alias(k) for k, v in L.of_question(F.lit(q)).items())) for i, q in QUESTIONS))
+    return L.scored(L.with_texts(L.labelled(d, keep=True)).select("*", F.inline(asked)), labels=True)
 
 
 def scored_sql() -> str:
@@ -285,14 +286,42 @@ def _(spark, folder):
     return capped.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("place") <= CONFIG.top_k).select("question_id", "place", "doc_id", "source", "adjusted_score")
 
 
-@query("greedy_select")
+ORDERED = "row_number() OVER (PARTITION BY question_id ORDER BY adjusted_score DESC, sim DESC, doc_id)"
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("greedy_select", recursive(scored_sql()) + f""", r AS (SELECT *, {ORDERED} AS place FROM z), t AS (SELECT DISTINCT doc_id FROM r WHERE place <= 128),
+ws AS (SELECT doc_id, string_split(f, ' ') AS w FROM q JOIN t USING (doc_id) WHERE f <> ''),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM ws)),
+k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), pm AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+tw AS (SELECT a, list(b) AS twins FROM pm JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b WHERE greatest(pm.n / (ka.n + kb.n - pm.n), pm.n / least(ka.n, kb.n)) >= 0.86 GROUP BY a),
+e AS (SELECT r.*, coalesce(twins, []) AS twins FROM r LEFT JOIN tw ON a = doc_id WHERE place <= 128),
+v AS (SELECT DISTINCT question_id, 0::BIGINT AS place, []::BIGINT[] AS chosen, []::VARCHAR[] AS used, NULL::VARCHAR AS why, NULL::BIGINT AS twin FROM e
+UNION ALL SELECT question_id, place, CASE WHEN why IS NULL THEN list_append(chosen, doc_id) ELSE chosen END, CASE WHEN why IS NULL THEN list_append(used, source) ELSE used END, why, CASE WHEN why = 'near_duplicate' THEN near[1] END FROM
+(SELECT *, CASE WHEN rejected THEN 'policy' WHEN adjusted_score < 0.5 THEN 'score' WHEN list_contains(used, source) THEN 'source_cap' WHEN len(near) > 0 THEN 'near_duplicate' END AS why FROM
+(SELECT e.question_id, e.place, v.chosen, v.used, e.doc_id, e.source, e.rejected, e.adjusted_score, list_filter(v.chosen, lambda x: list_contains(e.twins, x)) AS near FROM v JOIN e ON e.question_id = v.question_id AND e.place = v.place + 1 WHERE len(v.chosen) < 4)))
+SELECT question_id, doc_id::VARCHAR AS chunk_id, source, place::INT AS place, why IS NULL AS selected, why AS discard_reason, adjusted_score, twin::VARCHAR AS duplicate_of FROM v JOIN e USING (question_id, place)""")
 def _(spark, folder):
     own = F.col("doc_id").cast("string")
     found = ranked(spark, folder).withColumns({"chunk_id": own, "window_ids": F.array(own), "window_text": F.col("text"), "window_score": F.col("adjusted_score"), "window_rejected": F.col("rejected")})
     return selection.select(found, CONFIG)
 
 
-@query("context_budget")
+def escape_sql(c: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = f"replace({c}, {lit(a)}, {lit(b)})"
+    return c
+
+
+@query("context_budget", recursive(scored_sql()) + f""", r AS (SELECT question_id, doc_id, {ORDERED} AS place FROM z),
+bl AS (SELECT question_id, place, length('<trecho id="' || place || '" fonte="' || {escape_sql("source")} || '" paginas="' || doc_id || '" tipo_documento="' || document_type || '" tipo_conteudo="' || content_type || '" tema="' || topic || '" qualidade_fonte="' || source_quality || '">' || chr(10) || text || chr(10) || '</trecho>') AS n FROM r JOIN q USING (doc_id) WHERE place <= 128),
+v AS (SELECT DISTINCT question_id, 0::BIGINT AS place, 0::BIGINT AS total, []::BIGINT[] AS kept FROM bl
+UNION ALL SELECT question_id, place, CASE WHEN fits THEN total + n ELSE total END, CASE WHEN fits THEN list_append(kept, place) ELSE kept END FROM (SELECT *, len(kept) = 0 OR total + n <= 10000 AS fits FROM
+(SELECT v.question_id, bl.place, total, kept, CASE WHEN len(kept) = 0 AND n > 10000 THEN 10000 - 120 + {len(V.TRUNCATED)} ELSE n END AS n FROM v JOIN bl ON bl.question_id = v.question_id AND bl.place = v.place + 1)))
+SELECT question_id, (total + 2 * (len(kept) - 1))::INT AS n_chars, array_to_string(kept, ',') AS places FROM v QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY place DESC) = 1""")
 def _(spark, folder):
     span = F.col("doc_id").cast("string")
     rows = ranked(spark, folder)
@@ -300,12 +329,15 @@ def _(spark, folder):
     return selection.contexts(rows.select("question_id", "place", block.alias("block")), CONFIG).select("question_id", F.length("context").alias("n_chars"), F.array_join("places", ",").alias("places"))
 
 
+def eval_cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(str(i), ["erin", "xyz"], ["src7"], ["procedure"]) for i, _ in QUESTIONS], "name string, expected_any_terms array<string>, forbidden_source_terms array<string>, forbidden_content_types array<string>")
+
+
 @query("eval_cases", scored_sql() + f""", r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY adjusted_score DESC, sim DESC, doc_id) AS place FROM z), t AS (SELECT r.question_id, d.source, {norm_sql("d.source || ' ' || d.text")} AS body FROM r JOIN documents d USING (doc_id) WHERE place <= 4)
 SELECT question_id, count(*) AS n, bool_or(contains(body, 'erin') OR contains(body, 'xyz')) AS has_expected, bool_or(contains({norm_sql("source")}, 'src7')) AS has_forbidden_source FROM t GROUP BY question_id""")
 def _(spark, folder):
     rows = ranked(spark, folder).where(F.col("place") <= CONFIG.top_k).withColumn("name", F.col("question_id").cast("string"))
-    cases = spark.createDataFrame([(str(i), ["erin", "xyz"], ["src7"], ["procedure"]) for i, _ in QUESTIONS], "name string, expected_any_terms array<string>, forbidden_source_terms array<string>, forbidden_content_types array<string>")
-    return retrieve.evaluated(cases, rows).select(F.col("name").cast("long").alias("question_id"), "n", "has_expected", "has_forbidden_source")
+    return retrieve.evaluated(eval_cases(spark), rows).select(F.col("name").cast("long").alias("question_id"), "n", "has_expected", "has_forbidden_source")
 
 
 # --- paged documents
@@ -333,7 +365,26 @@ def _(spark, folder):
     return pages.without_repeated_lines(p, pages.repeated_lines(p, CONFIG), CONFIG)
 
 
-@query("clean_pages")
+def re2(pattern: str) -> str:
+    """A cleaning pattern for DuckDB: white space and digits spelled out, what only looks ahead as a last group."""
+    flags = re.match(r"\(\?(\w+)\)", pattern)
+    if flags:
+        kept = "".join(x for x in flags[1] if x in "ims")
+        pattern = (f"(?{kept})" if kept else "") + pattern[flags.end() :]
+    pattern = re.sub(r"\(\?=(.*)\)$", r"(\1)", pattern, flags=re.S)
+    return pattern.replace("\\s", r"[\t-\r\x{85}\pZ]").replace("\\d", r"\p{Nd}")
+
+
+def cleaned_sql(c: str) -> str:
+    for p in V.BOILERPLATE:
+        c = f"regexp_replace({c}, {lit(re2('(?is)' + p))}, ' ', 'g')"
+    for p, to in V.CLEANING:
+        to = to.replace("$", "\\") + ("\\1" if "(?=" in p else "")
+        c = f"regexp_replace({c}, {lit(re2(p))}, {lit(to)}, 'g')"
+    return f"regexp_replace({c}, {lit(re2(r'^\s+|\s+$'))}, '', 'g')"
+
+
+@query("clean_pages", f"SELECT doc_id, {cleaned_sql('text')} AS text FROM documents")
 def _(spark, folder):
     return documents(spark, folder).select("doc_id", pages.cleaned(F.col("text")).alias("text"))
 
@@ -356,10 +407,10 @@ def _(spark, folder):
     return spans(spark, folder).select("document", "page", "start", "stop")
 
 
-@query("interval_overlap", OFFSETS + ", e AS (SELECT document, max(stop) AS total FROM s GROUP BY 1), u AS (SELECT document, unnest(range(0, total, 700)) AS start FROM e) SELECT u.document, (u.start // 700)::BIGINT AS unit, min(page) AS page_start, max(page) AS page_end FROM u JOIN s ON s.document = u.document AND u.start < s.stop AND u.start + 650 > s.start GROUP BY 1, 2")
+@query("interval_overlap", OFFSETS + ", e AS (SELECT document, max(stop) AS total FROM s GROUP BY 1), u AS (SELECT document, unnest(range(0, total + 2100, 700)) AS start FROM e), m AS (SELECT u.document, (u.start // 700)::BIGINT AS unit, min(page) AS page_start, max(page) AS page_end FROM u JOIN s ON s.document = u.document AND u.start < s.stop AND u.start + 650 > s.start GROUP BY 1, 2) SELECT u.document, (u.start // 700)::BIGINT AS unit, coalesce(m.page_start, l.page) AS page_start, coalesce(m.page_end, l.page) AS page_end FROM u LEFT JOIN m ON m.document = u.document AND m.unit = u.start // 700 JOIN (SELECT document, arg_max(page, stop) AS page FROM s GROUP BY 1) l ON l.document = u.document")
 def _(spark, folder):
     s = spans(spark, folder)
-    u = s.groupBy("document").agg(F.max("stop").alias("total")).select("document", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(700).cast("long"))).alias("start"))
+    u = s.groupBy("document").agg(F.max("stop").alias("total")).select("document", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") + 2099, F.lit(700).cast("long"))).alias("start"))
     return pages.overlapping_pages(u.select("document", F.expr("start div 700").alias("unit"), "start", (F.col("start") + 650).alias("stop")), s)
 
 
@@ -534,6 +585,55 @@ def _(spark, folder):
     return store.authenticated(tokens, s, users, F.expr(f"timestamp_ntz '{AS_OF}'")).select("session_id", "user_id")
 
 
+@query("access_guards", f"""WITH s AS ({EXPIRY}), q AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN event_id END AS token, CASE event_id % 3 WHEN 0 THEN 'login' WHEN 1 THEN 'user' ELSE 'admin' END AS area FROM events),
+v AS (SELECT s.id AS token, c_custkey AS user_id, c_nationkey % 2 = 0 AS admin, c_custkey % 5 = 0 AS must FROM s JOIN customer ON c_custkey = s.user_id AND c_acctbal > 0 WHERE expires_at > TIMESTAMP '{AS_OF}' AND revoked_at IS NULL)
+SELECT event_id, user_id, CASE WHEN token IS NULL THEN 'not_authenticated' WHEN user_id IS NULL THEN 'invalid_session' WHEN area <> 'login' AND must THEN 'password_change_required' WHEN area = 'admin' AND NOT admin THEN 'not_admin' END AS refused FROM q LEFT JOIN v USING (token)""")
+def _(spark, folder):
+    s = sessions(spark, folder).withColumn("token_hash", F.sha2(F.col("id").cast("string"), 256))
+    users = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("is_active"), F.when(F.col("c_nationkey") % 2 == 0, "admin").otherwise("user").alias("role"), (F.col("c_custkey") % 5 == 0).alias("must_change_password"))
+    i = F.col("event_id")
+    asked = table(spark, folder, "events").select("event_id", F.when(i % 11 != 0, i.cast("string")).alias("token"), F.when(i % 3 == 0, "login").when(i % 3 == 1, "user").otherwise("admin").alias("area"))
+    return store.guarded(asked, s, users, F.expr(f"timestamp_ntz '{AS_OF}'")).select("event_id", "user_id", "refused")
+
+
+MACHINE = EngineConfig(lock_after=3, lock_minutes=3000)
+
+
+@query("login_machine", """WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT event_id, user_id, ts, user_id % 13 <> 0 AS known, user_id % 7 <> 0 AS is_active, event_type IN ('signup', 'view') AS ok FROM events)),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, ''::VARCHAR AS outcome, 0 AS n, NULL::TIMESTAMP AS until FROM a
+UNION ALL SELECT user_id, i, event_id, CASE w WHEN 'wrong_password' THEN 'invalid_credentials' ELSE w END, CASE w WHEN 'wrong_password' THEN n + 1 WHEN 'login_success' THEN 0 ELSE n END, CASE WHEN w = 'wrong_password' AND n + 1 >= 3 THEN ts + INTERVAL 3000 MINUTES WHEN w = 'login_success' THEN NULL ELSE until END FROM
+(SELECT a.*, r.n, r.until, CASE WHEN NOT known THEN 'invalid_credentials' WHEN NOT is_active THEN 'inactive_user' WHEN r.until > a.ts THEN 'temporary_lock' WHEN NOT ok THEN 'wrong_password' ELSE 'login_success' END AS w FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1))
+SELECT event_id, user_id, outcome, n AS failures, until IS NOT NULL AS locked FROM r WHERE i > 0""")
+def _(spark, folder):
+    u = F.col("user_id")
+    tries = table(spark, folder, "events").select("event_id", "user_id", "ts", (u % 13 != 0).alias("known"), (u % 7 != 0).alias("is_active"), F.col("event_type").isin("signup", "view").alias("password_ok"))
+    return store.logins(tries, MACHINE).select("event_id", "user_id", "outcome", "failures", F.col("locked_until").isNotNull().alias("locked"))
+
+
+PATCHES = """SELECT CASE WHEN c_custkey % 8 = 0 THEN c_custkey ELSE 1 END AS admin_id, c_custkey + CASE WHEN c_custkey % 12 = 0 THEN 1000000000 ELSE 0 END AS id, CASE WHEN c_custkey % 5 = 0 THEN ' New ' || c_custkey || ' ' END AS name,
+CASE WHEN c_custkey % 28 = 0 THEN 'C1@x' WHEN c_custkey % 20 = 0 THEN 'same@x' WHEN c_custkey % 44 = 0 THEN 'own' || c_custkey || '@x' END AS email, CASE WHEN c_custkey % 16 = 0 THEN 'user' WHEN c_custkey % 52 = 0 THEN 'admin' END AS role, CASE WHEN c_custkey % 40 = 8 THEN false WHEN c_custkey % 36 = 0 THEN true END AS is_active FROM customer WHERE c_custkey % 4 = 0"""
+USERS = "SELECT c_custkey AS id, c_name AS name, 'c' || c_custkey || '@x' AS email, 'admin' AS role, c_acctbal > 0 AS is_active, 'old' AS updated_at FROM customer"
+
+
+@query("admin_patches", f"""WITH u AS ({USERS}), p AS ({PATCHES}), e AS (SELECT * REPLACE (lower(trim(email)) AS email) FROM p),
+j AS (SELECT e.*, CASE WHEN NOT EXISTS (FROM u WHERE u.id = e.id) THEN 'unknown_user' WHEN EXISTS (FROM u WHERE u.email = e.email AND u.id <> e.id) OR (e.email IS NOT NULL AND (SELECT count(*) FROM e o WHERE o.email = e.email) > 1) THEN 'email_taken' WHEN e.id = admin_id AND role <> 'admin' THEN 'own_role' WHEN e.id = admin_id AND NOT is_active THEN 'own_account' END AS refused FROM e)
+SELECT u.id, coalesce(trim(j.name), u.name) AS name, coalesce(j.email, u.email) AS email, coalesce(j.role, u.role) AS role, coalesce(j.is_active, u.is_active) AS is_active, CASE WHEN j.id IS NOT NULL THEN 'now' ELSE 'old' END AS updated_at, 'none' AS refused FROM u LEFT JOIN j ON j.id = u.id AND j.refused IS NULL
+UNION ALL SELECT id, name, email, role, is_active, 'patch', refused FROM j WHERE refused IS NOT NULL""")
+def _(spark, folder):
+    table(spark, folder, "customer").createOrReplaceTempView("customer")
+    users, refused = store.patched(spark.sql(USERS), spark.sql(PATCHES), F.lit("now"))
+    columns = ["id", "name", "email", "role", "is_active"]
+    return users.withColumn("refused", F.lit("none")).unionByName(refused.where("refused is not null").select(*columns, F.lit("patch").alias("updated_at"), "refused"))
+
+
+@query("eval_totals", scored_sql() + f""", r AS (SELECT *, {ORDERED} AS place FROM z), t AS (SELECT r.question_id, content_type, {norm_sql("q.source || ' ' || q.text")} AS body, {norm_sql("q.source")} AS s FROM r JOIN q USING (doc_id) WHERE place <= 4),
+c AS (SELECT question_id, (bool_or(contains(body, 'erin') OR contains(body, 'xyz')) AND NOT bool_or(contains(s, 'src7')) AND NOT bool_or(content_type = 'procedure')) AS passed FROM t GROUP BY question_id)
+SELECT count(*) AS cases, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed FROM c""")
+def _(spark, folder):
+    rows = ranked(spark, folder).where(F.col("place") <= CONFIG.top_k).withColumn("name", F.col("question_id").cast("string"))
+    return retrieve.totals(retrieve.evaluated(eval_cases(spark), rows))
+
+
 @query("soft_delete_and_patch", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'gone' END AS deleted_at, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey <> 3 THEN upper(c_name) ELSE c_name END AS name FROM customer")
 def _(spark, folder):
     c = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("deleted_at"), F.lit(None).cast("string").alias("updated_at"), F.col("c_name").alias("name"), "c_mktsegment", "c_nationkey")
@@ -589,7 +689,7 @@ def _(spark, folder):
 
 @query("metadata_filter", "SELECT doc_id, source FROM documents WHERE source = 'src3' AND doc_id BETWEEN 20 AND 400")
 def _(spark, folder):
-    return documents(spark, folder).where((F.col("source") == "src3") & F.col("doc_id").between(20, 400)).select("doc_id", "source")
+    return table(spark, folder, "documents").where(where({"$and": [{"source": "src3"}, {"doc_id": {"$gte": 20}}, {"doc_id": {"$lte": 400}}]})).select("doc_id", "source")
 
 
 @query("corpus_counters", "SELECT source, count(*) AS pages, count(*) FILTER (WHERE trim(text) = '') AS textless, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source")

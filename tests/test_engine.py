@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folium.config import EngineConfig
-from folium.functions.records import redact
+from folium.functions.records import redacted_text
 from folium.operators import knn, selection, store
 from folium.operators.embedding import HashingEmbedder, embedded
 from folium.plans import index, ingest, retrieve
@@ -113,7 +113,10 @@ def test_evaluated(spark):
 
 
 def test_redact():
-    assert redact({"Senha ": 1, "a": {"token": 2, "l": [{"cpf": 1}, "x" * 600, 3]}}) == {"Senha ": "[removido]", "a": {"token": "[removido]", "l": [{"cpf": "[removido]"}, "x" * 497 + "...", 3]}}
+    raw = {"Senha ": 1, "a": {"token": 2, "l": [{"cpf": 1}, "x" * 600, 3, None, [1, "b"]]}, "e": "", "f": [], "ok": True}
+    want = {"Senha ": "[removido]", "a": {"token": "[removido]", "l": [{"cpf": "[removido]"}, "x" * 497 + "...", 3, None, "[1, 'b']"]}, "e": "", "f": [], "ok": True}
+    assert json.loads(redacted_text(json.dumps(raw))) == want
+    assert [redacted_text(x) for x in (None, "", "[1]", "{broken", "3")] == ["{}"] * 5
 
 
 def attempts(spark):
@@ -131,3 +134,142 @@ def test_stream_ingest(spark, raw, tmp_path):
     stream = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in"))
     flows.ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck"), HashingEmbedder(8)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == embedded(ingest.chunked(raw), HashingEmbedder(8)).count()
+
+
+class Scripted:
+    """Answers badly, well once repaired, or not at all; notes each call in a folder."""
+
+    name = "scripted"
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def answer(self, system, prompt):
+        import uuid
+        from pathlib import Path
+
+        Path(self.folder, uuid.uuid4().hex).write_text(prompt)
+        if "breaks" in prompt:
+            raise TimeoutError
+        if "good" in prompt or ("mends" in prompt and "<resposta_provisoria>\nNo numbers" in prompt):
+            return "All is well [1]."
+        return "No numbers here."
+
+
+def test_answered_calls_again_only_where_needed(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "good one"), (2, "mends"), (3, "stays bad"), (4, "breaks"), (5, "no passages"), (6, " "), (7, "good two")], "question_id long, question string")
+    contexts = spark.createDataFrame([(i, "passage", [1]) for i in (1, 2, 3, 4, 6, 7)], "question_id long, context string, places array<int>")
+    rows = retrieve.answered(asked, contexts, Scripted(str(tmp_path)))
+    got = {r.question_id: (r.status, r.answer) for r in rows.collect()}
+    rows.count()
+    well = "All is well [1]."
+    assert got == {1: ("ok", well), 2: ("ok", well), 3: ("resposta_bloqueada", "No numbers here."), 4: ("erro_modelo", None), 5: ("sem_material", None), 6: ("vazio", None), 7: ("ok", well)}
+    calls = [p.read_text() for p in tmp_path.iterdir()]
+    assert len(calls) == 5 + 2 and sum("<resposta_provisoria>\nNo numbers here." in c for c in calls) == 2
+    assert {r.status for r in retrieve.answered(asked.where("question_id < 6"), None, Scripted(str(tmp_path))).collect()} == {"erro_indice"}
+
+
+def test_unused_windows(spark):
+    rows = [(1, "a", 1, ["a", "b"], False), (1, "b", 2, ["b", "c"], False), (1, "c", 3, ["c", "d"], True), (1, "d", 4, ["c", "d"], False), (1, "e", 5, [], False), (1, "f", 6, ["f"], False)]
+    df = spark.createDataFrame(rows, "question_id long, chunk_id string, rank int, window_ids array<string>, window_rejected boolean")
+    assert sorted(r.chunk_id for r in selection.unused_windows(df).collect()) == ["a", "d", "f"]
+
+
+def test_retrieve_plain_fills_up_behind_rejected_ones(spark):
+    """Rejected and overlapping candidates make room for the next; the order is that of the windows' scores."""
+    model = HashingEmbedder(32)
+    texts = [("consentimento termo de consentimento livre e esclarecido queda de cabelo", "termo.pdf")] * 6 + [(f"queda de cabelo {i} avaliação", f"s{i}.pdf") for i in range(8)]
+    rows = [(f"c{i}", f"d{i}", t, s, 0, "consent_form" if i < 6 else "review", "assessment", "general_trichology", "high", "general") for i, (t, s) in enumerate(texts)]
+    built = embedded(spark.createDataFrame(rows, "chunk_id string, document_id string, text string, source string, doc_pos int, document_type string, content_type string, topic string, source_quality string, section string"), model)
+    asked = spark.createDataFrame([(1, "queda de cabelo")], "question_id long, question string")
+    got = retrieve.retrieve_plain(asked, built, model, EngineConfig(top_k=4)).orderBy("place").collect()
+    assert len(got) == 4 and all(r.document_type == "review" for r in got) and [r.place for r in got] == [1, 2, 3, 4]
+    assert [r.window_score for r in got] == sorted((r.window_score for r in got), reverse=True)
+
+
+def test_publish_survives_a_crash(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    index.publish(spark.range(5), path)
+
+    def crash(self, name, text):
+        raise OSError("crash before the pointer")
+
+    with monkeypatch.context() as m:
+        m.setattr(index.Folder, "create", crash)
+        with pytest.raises(OSError):
+            index.publish(spark.range(9), path)
+    assert index.load(spark, path).count() == 5
+    folder = index.Folder(spark, path)
+    assert not folder.create("_current-000000001", "{}")  # a second writer of the same number is refused
+    index.publish(spark.range(8), path)
+    assert index.load(spark, path).count() == 8
+    for n in range(5):
+        index.publish(spark.range(n), path)
+    assert index.load(spark, path).count() == 4 and len([x for x in folder.names() if x.startswith(index.POINTER)]) == 3
+
+
+def test_filters(spark):
+    from folium.functions.filters import where
+
+    df = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5), (None, 5)], "s string, n int")
+    count = lambda spec: df.where(where(spec)).count()
+    assert [count(x) for x in ({}, {"s": "a"}, {"$and": [{"s": "a"}, {"n": {"$gte": 2, "$lte": 5}}]}, {"$or": [{"s": "b"}, {"n": {"$lt": 2}}]}, {"s": {"$in": ["a", "b"]}}, {"s": {"$ne": "a"}}, {"n": {"$nin": [1]}}, {"n": {"$gt": 1}})] == [4, 2, 1, 2, 3, 1, 3, 3]
+    for bad in ({"$not": []}, {"n": {"$like": 1}}, {"$and": []}):
+        with pytest.raises(ValueError):
+            where(bad)
+
+
+def test_chat_model_asks_allowed_hosts_only():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    from folium.sources.models import ChatModel
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"message": {"content": f" {body['model']}: {body['messages'][1]['content']} " if body["messages"][1]["content"] else ""}}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/api/chat"
+    assert ChatModel("m", url).answer("s", "hello") == "m: hello"
+    with pytest.raises(ValueError):
+        ChatModel("m", url).answer("s", "")
+    server.shutdown()
+    with pytest.raises(PermissionError):
+        ChatModel("m", "http://example.com/api/chat").answer("s", "x")
+    with pytest.raises(ValueError):
+        ChatModel("m", "http://localhost:1/other").answer("s", "x")
+
+
+def test_reports(spark, tmp_path):
+    from folium.plans import report
+
+    df = spark.createDataFrame([("ok", "três [1]", 1, 0.5)], "status string, answer string, n_sources int, best_similarity double")
+    rows = report.timings(["Pergunta é?", "b"], lambda q: df, "m", "e")
+    assert [list(r) for r in rows] == [report.TIMING] * 2 and rows[1]["question_number"] == 2 and rows[0]["answer_characters"] == 8
+    for _ in range(2):
+        report.write_report(spark, str(tmp_path), "times", rows)
+    raw = (tmp_path / "times.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf") and "Pergunta é?" in raw.decode("utf-8-sig") and json.loads((tmp_path / "times.json").read_text())[0]["status"] == "ok"
+    report.write_rows(df, str(tmp_path / "rows"), "csv")
+    assert spark.read.csv(str(tmp_path / "rows"), header=True).count() == 1
+
+
+def test_shared_dir_is_never_local_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from folium.storage import shared_dir
+
+    conf = {}
+    session = lambda master: N(conf=N(get=conf.get, set=conf.__setitem__), sparkContext=N(master=master))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+    assert shared_dir(session("local[2]")) == conf["spark.checkpoint.dir"]
