@@ -3,18 +3,20 @@
 A document's set holds the hashes of its distinct 4-word shingles. Two documents link when
 100 * |intersection| >= percent * |union|.
 
-1. *Distribution, without loss.* Sets whose sizes allow a link share a size window. Their symmetric
-   difference has at most h elements, so if the hash range is cut into more than h parts, some part is
-   equal in both (and not empty, or both documents have so many empty parts that they send those too).
-   Each document sends a signature of every part to the bucket of its hash; equal signatures meet. A
-   part needs several equal shingles, so a passage or line that many documents share brings none
-   together. Buckets keep a spanning forest of what met, whose components are the candidate groups.
-2. *Equal sets* count once: the smallest doc_id stands for all of them.
-3. *Prefix tree.* The sets of a candidate group, in the global order of the hashes, are stored in a
-   compressed trie. A probe walks it once for all stored sets: what a path shares is counted once, and a
-   subtree is left where the overlap so far and the lengths that remain, in the probe and below, can't
+1. *Order.* Chunks send their distinct shingles to buckets, which count the sets that have each. The global
+   order of shingles is by that count, rarest first (in classes), then by hash.
+2. *Distribution, without loss.* Sets that link share percent of the larger one, so they share one of the first
+   100 - percent of each in the global order. Shingles that only one set has come first: most documents have
+   so many that they are done here; a passage or line that many documents share comes last and brings none
+   together. The others send the rest of their prefix to the buckets of its hashes. There, and before in each
+   chunk, the sets of one shingle are chained in order of size as far as sizes let them link. Links go back to
+   the chunks of their documents, which keep a spanning forest; its components are the candidate groups.
+3. *Equal sets* count once: the smallest doc_id stands for all of them.
+4. *Prefix tree.* The sets of a candidate group, in the order of their items' counts in the group, are stored
+   in a compressed trie. A probe walks down it for all stored sets at once, carrying the overlap of the path;
+   a subtree is left where the overlap so far and the lengths that remain, in the probe and below, can't
    reach the threshold, or where all of it is linked with the probe already.
-4. A group of more than `group_items` hashes is dealt out as pairs of blocks, so no task holds an
+5. A group of more than `group_items` hashes is dealt out as pairs of blocks, so no task holds an
    unbounded group; each pair returns a spanning forest of its links, never all pairs.
 
 Defined results: texts are taken as bytes with A-Z lower-cased; null and blank texts have an empty set
@@ -25,7 +27,6 @@ and has no component_id. Other columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ MAX_BITS = 1 << 27
 MET = "doc_id long, n_shingles long, f1 long, f2 long, link long"
 
 SHORT = np.uint64(0xA0761D6478BD642F)
+#: Bits of a shingle's hash that its count does without: a collision makes a shingle seem less rare, which loses nothing.
+DROPPED, U0 = np.uint64(16), np.uint64(0)
 
 
 def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -54,55 +57,46 @@ def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return R.mix(R.rolling(h, len(h)) ^ SHORT) if len(h) else np.zeros(0, np.uint64)
 
 
-class SizeWindows:
-    """Ranges of set sizes: each of two classes, so that any two sets that can link share a range."""
-
-    def __init__(self, percent: int, largest: int):
-        self.percent, self.low = percent, [1]
-        while self.low[-1] <= largest:
-            x = self.low[-1]
-            self.low.append(max(x + 1, (x - 1) * 100 // percent + 1))
-        self.low += [max(self.low[-1] + 1, (self.low[-1] - 1) * 100 // percent + 1) for _ in range(2)]
-
-    def of(self, n: int) -> int:
-        """The class of a size: documents send parts for the ranges that begin with it and with the one below."""
-        return bisect_right(self.low, n) - 1
-
-    def parts(self, i: int) -> tuple[int, int]:
-        """In how many parts range i is cut, and how many empty ones a document has that must send them."""
-        u = self.low[min(i + 2, len(self.low) - 1)] - 1
-        h = 2 * u * (100 - self.percent) // (100 + self.percent)
-        spare = h // 20 + 3
-        return h + 1 + spare, spare + 1
-
-
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets' parts, and the number of the set of each."""
-    size = np.array([len(s) for s in sets], np.int64)
-    flat, own = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), size)
-    if not len(flat):
-        return flat, own
-    windows = SizeWindows(percent, int(size.max()))
-    cls = np.array([windows.of(n) if n else 0 for n in size.tolist()], np.int64)
-    mixed, top = R.mix(flat), flat >> np.uint64(32)
-    out, whose = [], []
-    for w in (cls, cls - 1):
-        cut = np.array([windows.parts(i) if i >= 0 else (0, 0) for i in w.tolist()], np.int64)
-        use = (w >= 0)[own]
-        x, o = top[use], own[use]
-        part = ((x * cut[o, 0].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (part[1:] != part[:-1])]) if len(o) else np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            place = lambda doc, p: R.mix(w[doc].astype(np.uint64) * R.MIX_1 + p.astype(np.uint64) * R.GOLDEN + SHORT)
-            if len(first):
-                out.append(R.mix(np.add.reduceat(mixed[use], first) + place(o[first], part[first])))
-                whose.append(o[first])
-            filled = np.bincount(o[first], minlength=len(sets))
-            for i in np.flatnonzero((w >= 0) & (size > 0) & (cut[:, 0] - filled >= cut[:, 1])).tolist():
-                empty = np.setdiff1d(np.arange(cut[i, 0]), part[first][o[first] == i])
-                out.append(place(np.full(len(empty), i), empty))
-                whose.append(np.full(len(empty), i))
-    return np.concatenate(out), np.concatenate(whose)
+def rarity(count: np.ndarray) -> np.ndarray:
+    """The class of shingles that so many sets have: 0 for one, and up with the logarithm."""
+    return np.where(count < 2, 0, 1 + np.minimum(254, 4 * np.log2(np.maximum(count, 1)))).astype(np.uint8)
+
+
+def prefixes(flat: np.ndarray, cls: np.ndarray, own: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Places in flat of the shingles that sets send: of the first in the global order, those that other sets have.
+
+    flat: the sets one after the other; cls: the class of each shingle; own: its set; size: of each set. Sets that
+    link have percent of the larger one in common, so each has one of those among its first, however the order is,
+    if that is one for all sets: by class, then by hash. Where the first are all its own, a set links with none.
+    """
+    most = size - -(-size * percent // 100) + 1
+    alone = np.bincount(own[cls == 0], minlength=len(size))
+    at = np.flatnonzero((alone < most)[own] & (cls > 0))
+    at = at[np.lexsort((flat[at], cls[at], own[at]))]
+    o = own[at]
+    first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else at
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+    return at[rank < (most - alone)[o]]
+
+
+def chains(key: np.ndarray, size: np.ndarray, ids: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between neighbours in size, of those with one key, if their sizes let them link; any two that may link are connected."""
+    order = np.lexsort((ids, size, key))
+    k, n, i = key[order], size[order], ids[order]
+    ok = (k[1:] == k[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (i[1:] != i[:-1])
+    return i[1:][ok], i[:-1][ok]
+
+
+def thinned(key: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the smallest and largest set of each key in each class of sizes, in order of the keys.
+
+    Sizes of a class let any two link, and the others of a chunk are chained to these, so a key that many of
+    its documents have costs a chunk a few entries.
+    """
+    order = np.lexsort((size, key))
+    k, c = key[order], np.floor(2 * np.log(np.maximum(size[order], 1)) / np.log(100 / min(percent, 99))).astype(np.int64)
+    edge = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.zeros(0, bool)
+    return order[edge | np.r_[edge[1:], True][: len(k)]]
 
 
 def spanning_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,63 +112,133 @@ def spanning_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
             return nodes, nodes[label]
 
 
-def stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every id whose signature a smaller id has too, a link to that; each once."""
-    order = np.lexsort((ids, sig))
-    s, d = sig[order], ids[order]
-    run = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-    head = d[np.flatnonzero(run)][np.cumsum(run) - 1] if len(s) else d
-    both = np.unique(np.stack([d[d != head], head[d != head]], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of all nodes of (a, b) to the smallest that they reach."""
+    if not len(a):
+        return a, b
+    nodes, low = spanning_labels(a, b)
+    return nodes[nodes != low], low[nodes != low]
+
+
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n buckets begins and ends among sorted 64-bit keys: equal ranges of their values."""
+    cuts = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+    return np.r_[0, np.searchsorted(keys, cuts), len(keys)]
+
+
+def packed(keys: np.ndarray, width: int) -> list[bytes]:
+    """Sorted keys as the byte planes of their differences."""
+    return R.byte_planes(np.diff(keys, prepend=U0), width)
+
 
+def unpacked(planes: list[bytes]) -> np.ndarray:
+    return np.cumsum(R.from_planes(planes).view(np.uint64), dtype=np.uint64)
+
+
+class ChunkSets:
+    """The sets of a chunk's documents, one after the other, and the distinct keys of those that stand for equal ones."""
+
+    def __init__(self, chunk: tuple, shingle: int):
+        self.ids, off, data = chunk
+        sets = [shingle_set(data[i:j], shingle) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        self.size = np.array([len(s) for s in sets], np.int64)
+        with np.errstate(over="ignore"):
+            self.prints = np.array([(R.mix(s).sum(), R.mix(s ^ SHORT).sum()) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+        known: dict[tuple, int] = {}
+        for i, (n, doc_id, (x, y)) in enumerate(zip(self.size.tolist(), self.ids.tolist(), self.prints.tolist(), strict=True)):
+            if n and doc_id != R.NULL_ID:
+                known.setdefault((n, x, y), i)
+        self.reps = np.fromiter(known.values(), np.int64, len(known))  # of equal sets that with the smallest id, as ids are sorted
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in self.reps)])
+        self.own = np.repeat(np.arange(len(self.reps)), self.size[self.reps])
+        self.keys, self.at, self.count = np.unique(self.flat >> DROPPED, return_inverse=True, return_counts=True)
+
+
+def _send_keys(shingle: int, n: int) -> Callable:
+    """Each chunk's distinct keys, with the number of its sets that have each, to the buckets of their ranges."""
 
-def _send_signatures(percent: int, shingle: int, n: int) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, b in zip(R.chunk_ids(), R.slices(batches, "text"), strict=False):
-            ids = R.id_values(b.column("doc_id"))
-            data, off = R.flat_utf8(b.column("text"))
-            data = data.tobytes()
-            sets = [shingle_set(data[i:j], shingle) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            with np.errstate(over="ignore"):
-                prints = np.array([(R.mix(s).sum(), R.mix(s ^ SHORT).sum()) for s in sets], np.uint64).reshape(-1, 2)
-            sig, own = signatures([s if i != R.NULL_ID else s[:0] for s, i in zip(sets, ids.tolist(), strict=True)], percent)
-            who = ids[own]
-            order = np.lexsort((who, sig))
-            sig, who = sig[order], who[order]
-            a, c = stars(sig, who) if len(sig) else (who, who)
-            first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-            sig, who = sig[first], who[first]
-            if len(a):
-                nodes, low = spanning_labels(a, c)
-                a, c = nodes[nodes != low], low[nodes != low]
-            rows = [(chunk % n, R.squeeze(("documents", ids, np.array([len(s) for s in sets], np.int64), prints.view(np.int64), a, c)))]
-            rows += [(i, R.squeeze(("signatures", R.byte_planes(sig[x], 6), R.byte_planes(who[x], 8)))) for i, x in P.by_bucket(sig, n)]
-            yield pa.record_batch([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["bucket", "blob"])
+        for b in batches:
+            for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload"), strict=True):
+                x = ChunkSets(P.unpack_texts(payload), shingle)
+                cut = ranges(x.keys << DROPPED, n).tolist()
+                rows = [(i, R.squeeze((packed(x.keys[a:b], 8), R.byte_planes(x.count[a:b], 3)))) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "chunk", "blob"])
 
     return send
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """The documents as they came, and a spanning forest of those that share signatures here."""
-    out, sigs, ids = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def rarities(table: pa.Table) -> pa.Table:
+    """The class of each key that a chunk sent to this bucket, in the order in which it sent them."""
+    parts = [(unpacked(k), R.from_planes(c)) for k, c in (R.unsqueeze(x) for x in table.column("blob").to_pylist())]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    cls = rarity(np.bincount(at, np.concatenate([c for _, c in parts])))[at]
+    cut = np.cumsum([0, *(len(k) for k, _ in parts)])
+    blobs = [R.squeeze(cls[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "blob": pa.array(blobs, pa.binary())})
+
+
+def _send_prefixes(percent: int, shingle: int, n: int) -> Callable:
+    """Each chunk's documents, the links between those whose prefixes meet there, and what other chunks need of the prefixes."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = {b: R.unsqueeze(x.as_buffer()) for b, x in zip(right.column("bucket").to_pylist(), right.column("blob"), strict=True)}
+        rows = []
+        for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload"), strict=True):
+            x = ChunkSets(P.unpack_texts(payload), shingle)
+            cls = np.frombuffer(b"".join(told[b] for b in sorted(told)), np.uint8)
+            at = prefixes(x.flat, cls[x.at], x.own, x.size[x.reps], percent) if len(x.flat) else x.own
+            key, doc = x.flat[at], x.reps[x.own[at]]
+            size, ids = x.size[doc], x.ids[doc]
+            rows.append((chunk % n, chunk, R.squeeze(("documents", x.ids, x.size, x.prints, *forest(*chains(key, size, ids, percent))))))
+            sent = thinned(key, size, percent)
+            key, size, ids = key[sent], size[sent], ids[sent]
+            cut = ranges(key, n).tolist()
+            rows += [(i, chunk, R.squeeze(("prefixes", packed(key[a:b], 8), R.byte_planes(size[a:b], 5), R.byte_planes(ids[a:b], 8)))) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+    return send
+
+
+def _meet(percent: int) -> Callable:
+    """To each chunk, a forest of the links of its documents that prefixes make in this bucket; and its documents as they came."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows, parts = [], []
+        for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob"), strict=True):
+            kind, *x = R.unsqueeze(blob.as_buffer())
+            if kind == "documents":
+                rows.append((chunk, blob.as_py()))
+            else:
+                parts.append((chunk, unpacked(x[0]), R.from_planes(x[1]), R.from_planes(x[2])))
+        if parts:
+            a, b = forest(*chains(*(np.concatenate([x[i] for x in parts]) for i in (1, 2, 3)), percent))
+            for chunk, _, _, ids in parts if len(a) else ():
+                own = np.unique(ids)
+                at = np.minimum(np.searchsorted(a, own), len(a) - 1)
+                at = at[a[at] == own]
+                if len(at):
+                    rows.append((chunk, R.squeeze(("links", a[at], b[at]))))
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+    return meet
+
+
+def gathered(table: pa.Table) -> pa.Table:
+    """The documents of a chunk, and a forest of all links of theirs: no more rows than it has documents and they have partners."""
+    out, links = [], []
 
-    def row(doc: np.ndarray, link: np.ndarray | None, n: np.ndarray | None = None, f: np.ndarray | None = None) -> None:
-        none = pa.nulls(len(doc), pa.int64())
-        out.append(pa.table([R.id_column(doc), none if n is None else pa.array(n), *((none, none) if f is None else (pa.array(f[:, 0]), pa.array(f[:, 1]))), none if link is None else pa.array(link)], names=["doc_id", "n_shingles", "f1", "f2", "link"]))
+    def row(doc: np.ndarray, *rest: np.ndarray | None) -> None:
+        out.append(pa.table([R.id_column(doc), *(pa.nulls(len(doc), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x)) for x in rest)], names=["doc_id", "n_shingles", "f1", "f2", "link"]))
 
     for blob in table.column("blob"):
         kind, *x = R.unsqueeze(blob.as_buffer())
         if kind == "documents":
-            row(x[0], None, x[1], np.ascontiguousarray(x[2]))
-            row(x[3], x[4])
-        else:
-            sigs.append(R.from_planes(x[0]))
-            ids.append(R.from_planes(x[1]))
-    a, b = stars(np.concatenate(sigs), np.concatenate(ids))
-    if len(a):
-        nodes, low = spanning_labels(a, b)
-        row(nodes[nodes != low], low[nodes != low])
-    return pa.concat_tables(out) if out else pa.table({x: pa.array([], pa.int64()) for x in ("doc_id", "n_shingles", "f1", "f2", "link")})
+            row(x[0], x[1], x[2][:, 0], x[2][:, 1], None)
+        links.append(x[-2:])
+    a, b = forest(*(np.concatenate([x[i] for x in links]) for i in (0, 1)))
+    row(a, None, None, None, b)
+    return pa.concat_tables(out)
 
 
 class PrefixTree:
@@ -214,13 +278,17 @@ class PrefixTree:
                     stack[-1][2].append(node)
                 else:
                     stack.append((after, lo, [node]))
-        self.first = np.array(stack[0][2], np.int64)
+        below.append(stack[0][2])  # the root's
+        self.after = np.cumsum([0, *map(len, below)])
+        self.under = np.array([x for children in below for x in children], np.int64)
         depth, self.lo, self.hi = np.array(nodes, np.int64).T
         start = np.zeros(len(nodes), np.int64)
-        for i, children in enumerate(below):
+        for i, children in enumerate(below[:-1]):
             start[children] = depth[i]
         self.start, self.label, self.at = start, depth - start, base[self.lo] + start
         self.low, self.high = (np.array([f(self.size[i:j]) for i, j in zip(self.lo, self.hi, strict=True)]) for f in (np.min, np.max))
+        self.leaf = self.after[1:-1] == self.after[:-2]
+        self.last = self.flat[np.maximum(self.at + self.label - 1, 0)] if len(self.flat) else self.at  # of an empty label, the item above
         self.bits = self.as_bits(keep) if len(nodes) * int(keep.sum()) <= MAX_BITS else None
 
     def as_bits(self, keep: np.ndarray) -> np.ndarray:
@@ -252,33 +320,28 @@ class PrefixTree:
     def linked(self, probe: np.ndarray, percent: int, group: np.ndarray, own: int, universe: int) -> np.ndarray:
         """Places of the sets that the probe links to, without those of subtrees that are all of its group already.
 
-        group: a number for each place, equal where sets are known to be connected.
+        group: a number for each place, equal where sets are known to be connected. The walk goes down level by
+        level from the root. A node's label is counted once for all sets below it, and what the path to it shares
+        is carried along. A subtree is left where that and the shorter of what remains, in the probe beyond the
+        label and in the largest set below, can't reach the threshold with the smallest set below.
         """
-        n, member = len(probe), np.zeros(universe, bool)
+        n, member, found = len(probe), np.zeros(universe, bool), []
         member[probe] = True
-        known = group == group[own]
-        # The top of each subtree: left where its sets are all linked already, or where what is shared so
-        # far and the shorter of what remains, in the probe and below, can't reach the threshold.
-        top = self.first
-        before = np.searchsorted(probe, self.flat[self.at[top] + np.maximum(self.label[top] - 1, 0)], "right")
-        more = np.minimum(n, self.high[top])
-        ok = (100 + percent) * more >= percent * (n + self.low[top])
-        top, before = top[ok], before[ok]
-        more = self.counts(top, member, probe) + np.minimum(n - before, self.high[top] - self.label[top])
-        top = top[(100 + percent) * more >= percent * (n + self.low[top])]
-        alive = np.zeros(len(known) + 1, np.int64)
-        np.add.at(alive, self.lo[top], 1)
-        np.add.at(alive, self.hi[top], -1)
-        open_ = (np.cumsum(alive[:-1]) > 0) & ~known
-        below = np.r_[0, np.cumsum(open_)]
-        live = np.flatnonzero((below[self.hi] > below[self.lo]) & ((100 + percent) * np.minimum(n, self.high) >= percent * (n + self.low)))
-        if not len(live):
-            return live
-        # Each label is counted once, for all sets below it; a set shares what the labels on its path share.
-        count = self.counts(live, member, probe)
-        change = np.bincount(self.lo[live], count, len(known) + 1) - np.bincount(self.hi[live], count, len(known) + 1)
-        shared = np.cumsum(change)[:-1].astype(np.int64)
-        return np.flatnonzero(open_ & ((100 + percent) * shared >= percent * (n + self.size)))
+        strange = np.r_[0, np.cumsum(group != group[own])]
+        node, shared = np.array([len(self.label)]), np.zeros(1, np.int64)
+        while len(node):
+            count = self.after[node + 1] - self.after[node]
+            shared = np.repeat(shared, count)
+            node = self.under[R.spread(count, self.after[node])]
+            ok = (strange[self.hi[node]] > strange[self.lo[node]]) & ((100 + percent) * (shared + np.minimum(n - shared, self.high[node] - self.start[node])) >= percent * (n + self.low[node]))
+            node, shared = node[ok], shared[ok]
+            shared = shared + self.counts(node, member, probe)
+            rest = n - np.searchsorted(probe, self.last[node], "right")
+            ok = (100 + percent) * (shared + np.minimum(rest, self.high[node] - self.start[node] - self.label[node])) >= percent * (n + self.low[node])
+            node, shared = node[ok], shared[ok]
+            found.append(self.lo[node[self.leaf[node]]])  # nothing remains below a leaf: the bound was its overlap
+        at = np.concatenate(found) if found else node
+        return at[group[at] != group[own]]
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
@@ -286,9 +349,12 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
     if len(sets) < 2:
         return list(ids)
     items, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.argsort(-count, kind="stable")  # the order: items that most sets have come first, so that paths are shared
+    number = np.empty(len(items), np.int64)
+    number[common] = np.arange(len(items))
     cuts = np.cumsum([len(s) for s in sets])[:-1]
-    numbered = np.split(flat, cuts)
-    tree = PrefixTree(numbered, count > 1)
+    numbered = [np.sort(x) for x in np.split(number[flat], cuts)]
+    tree = PrefixTree(numbered, count[common] > 1)
     group = np.arange(len(sets))
     for place, i in enumerate(tree.order.tolist()):
         hit = np.unique(group[tree.linked(numbered[i], percent, group, place, len(items))])
@@ -325,7 +391,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, shingle: int
     spark = R.attach(docs.sparkSession)
     n = R.partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = docs.mapInArrow(_send_signatures(percent, shingle, n), "bucket long, blob binary").groupBy("bucket").applyInArrow(_meet, MET)
+    chunks = P.text_chunks(docs)
+    told = chunks.mapInArrow(_send_keys(shingle, n), P.ROWS).groupBy("bucket").applyInArrow(rarities, P.ANSWERS)
+    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_send_prefixes(percent, shingle, n), P.ROWS)
+    met = sent.groupBy("bucket").applyInArrow(_meet(percent), "chunk long, blob binary").groupBy("chunk").applyInArrow(gathered, MET)
     met = R.checkpointed(met)
     rows = met.where("link is null").drop("link")
     near = connected_components(met.where("link is not null").select(F.col("doc_id").alias("a"), F.col("link").alias("b")))
