@@ -48,6 +48,23 @@ def test_debruijn_spans(docs, documents):
         assert r.kept == " ".join(w for i, w in enumerate(words[r.doc_id]) if i not in gone)
 
 
+def test_debruijn_paths_and_verification():
+    """A path ends where either side branches; a span of other words than its source's falls away."""
+    import pyarrow as pa
+
+    from folium.llm import runtime as R
+
+    a, b = debruijn.paths(np.array([4, 5, 6, 9, 10, 11, 12]), np.array([1, 1, 1, 1, 1, 2, 2]), np.array([70, 71, 72, 73, 80, 81, 82]))
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 2), (3, 3), (4, 4), (5, 6)]
+    text = b"q w e r t"
+    chunk = pa.table({"chunk": [5], "payload": [R.squeeze((np.array([7]), np.array([0, len(text)]), text))]})
+    planes = lambda *x: R.byte_planes(np.array(x), 5)
+    asked = R.squeeze((planes(10, 20), planes(2, 2), planes(1, 1), debruijn.digest([b"w", b"e"]) + debruijn.digest([b"w", b"x"])))
+    out = debruijn.verify(chunk, pa.table({"bucket": [5], "chunk": [3], "blob": [asked]}))
+    start, size, source, place = (R.from_planes(x).tolist() for x in R.unsqueeze(out["blob"][0].as_py()))
+    assert (out["chunk"].to_pylist(), start, size, source, place) == ([3], [10], [2], [7], [1])
+
+
 def test_bwt(docs, documents):
     assert rows(bwt.digest_repeats(docs)) == key(brute.op6(documents))
 
@@ -89,28 +106,54 @@ def test_jaccard_in_blocks(docs, documents):
     assert rows(prefixtree.jaccard_components(docs, group_items=900)) == key(brute.op7(documents))
 
 
-@pytest.mark.parametrize("percent", [60, 85, 95])
-def test_signatures_meet(percent):
-    """Any two sets that link share a signature, and the tree finds their link."""
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_prefixes_meet(percent):
+    """Chains of prefixes, cut in chunks and thinned, connect any two sets that link, and the tree finds their link."""
     rng = np.random.default_rng(percent)
-    sets = []
+    sets, passage = [], rng.integers(0, 1 << 63, 30).astype(np.uint64)
     for n in [*range(1, 40), 60, 90, 150, 400]:
         s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
         for _ in range(4):
             t = s[rng.random(len(s)) > rng.random() * 0.2]
-            sets += [s, np.unique(np.r_[t, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)])]
-    sig, own = prefixtree.signatures(sets, percent)
-    of = [set(sig[own == i].tolist()) for i in range(len(sets))]
+            sets += [s, np.unique(np.r_[t, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 8))).astype(np.uint64), passage[: rng.integers(0, 30) * (rng.random() < 0.3)]])]
+    sets = [s for s in sets if len(s)]
+    size, own, flat = np.array([len(s) for s in sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    sent = prefixtree.prefixes(flat, prefixtree.rarity(count)[at], own, size, percent)
+    key, doc, links = flat[sent], own[sent], []
+    some = []
+    for chunk in range(3):
+        x = np.flatnonzero(doc % 3 == chunk)
+        links.append(prefixtree.chains(key[x], size[doc[x]], doc[x], percent))
+        some.append(x[prefixtree.thinned(key[x], size[doc[x]], percent)])
+    some = np.concatenate(some)
+    links.append(prefixtree.chains(key[some], size[doc[some]], doc[some], percent))
+    nodes, label = prefixtree.spanning_labels(*(np.concatenate([x[i] for x in links]) for i in (0, 1)))
+    group = dict(zip(nodes.tolist(), label.tolist(), strict=True))
     low = prefixtree.linked(list(range(len(sets))), sets, percent)
     up = list(range(len(sets)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
             c = len(np.intersect1d(a, b))
-            if len(a) and len(b) and 100 * c >= percent * (len(a) + len(b) - c):
-                assert of[i] & of[j]
+            if 100 * c >= percent * (len(a) + len(b) - c):
+                assert group[i] == group[j]
                 x, y = sorted((up[i], up[j]))
                 up = [x if z == y else z for z in up]
-    assert [low[i] for i in range(len(sets)) if len(sets[i])] == [up[i] for i in range(len(sets)) if len(sets[i])]
+    assert low == up
+    assert len(set(group.values())) > 20  # the passage doesn't bring all together
+
+
+def test_tree_leaves_subtrees():
+    """A probe counts the labels of other families of sets, but none below them."""
+    rng = np.random.default_rng(2)
+    passage, some = np.arange(30), lambda n: np.sort(rng.choice(900, n, replace=False))
+    family = lambda f: np.r_[passage, 30 + f * 60 + np.arange(60)]
+    sets = [np.r_[family(f), 2000 + f * 4000 + m * 1000 + some(60 + m)] for f in range(20) for m in range(4)]
+    tree, counted = prefixtree.PrefixTree(sets, np.ones(100_000, bool)), []
+    tree.bits, count = None, tree.counts
+    tree.counts = lambda nodes, *x: counted.append(len(nodes)) or count(nodes, *x)
+    assert not len(tree.linked(sets[5], 85, np.arange(80), int(np.flatnonzero(tree.order == 5)[0]), 100_000))
+    assert counted == [1, 20, 3] and len(tree.label) == 101
 
 
 def test_empty(no_docs):
