@@ -55,6 +55,7 @@ SHELL = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home<
         ('<div class="ad">buy</div><article><p>x &lt;tag&gt; &#233;</p><aside>side</aside><ul><li>i1<li>i2</ul></article>', "x <tag> é\ni1\ni2"),
         ('<article><header><h1>Head</h1><p>by me</p></header><p>a</p><article class="comment"><p>c</p></article></article>', "Head\na"),
         ("<article></article>", ""),
+        ('<div id="w"><div role="main"><p>a</p></div><p>b</p></div>', "a"),
     ],
 )
 def test_main_text(html, text):
@@ -99,6 +100,43 @@ def test_doubtful_hints_inside_articles(spark):
         assert r.text.split("\n") == [f"T {x}", f"law {x}", f"Seen {x}", f"found {x}", f"Others {x}", f"let x{x} be", f"Paper {x}"]
 
 
+def test_constants_of_the_template(spark):
+    """What an article's template says on every page goes, by the host's wrapper; what copies of one article say stays."""
+    page = '<article><h1>Title {0}</h1><h2>Summary</h2><p>text {0} of {0}</p><div class="x9">Subscribe now for 5 dollars</div><p>more {0}</p><p>Ask us anything</p></article>'
+    word = lambda i: chr(97 + i) * 9
+    rows = [(i, f"http://h/{i}", page.format(word(i))) for i in range(6)] + [(10 + i, f"http://copies/{i}", page.format("x")) for i in range(6)] + [(20 + i, f"http://few/{i}", page.format(word(i))) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (0, wrappers.BROADCAST_BYTES):
+        got = {r.page_id: r.text.split("\n") for r in wrappers.main_texts(df, broadcast_bytes=limit).collect()}
+        for i in range(6):
+            assert got[i] == [f"Title {word(i)}", "Summary", f"text {word(i)} of {word(i)}", f"more {word(i)}"]
+        assert all(len(got[i]) == 6 for i in (10, 15, 20, 21))
+    off = wrappers.extract(rows[0][2], {"main": True, "path": [], "beside": [], "refused": [], "constants": []})
+    assert len(off.split("\n")) == 6
+    shape = {r.host: r.expression for r in wrappers.infer_wrappers(df).collect()}
+    assert '<div.x0>"Subscribe now for 5 dollars"</>' in shape["h"] and '"' not in shape["few"]
+
+
+def test_long_groups_and_bounds():
+    page = lambda tags, n: wrappers.wrapper_of(wrappers.read("<body>" + "".join(f"<{t}>a</{t}>" for t in tags) * n + "</body>"))
+    seven = ["h2", "p", "div", "h3", "ul", "pre", "table"]
+    assert wrappers.expression(page(seven, 3)) == f"<#page><body>({' '.join(f'<{t}>#</>' for t in seven)})+</></>"
+    w = page(["p"], 1)
+    for k in range(30):
+        w = wrappers.merged(w, wrappers.wrapper_of(wrappers.read("<body>" + "".join(f'<div class="c{chr(97 + (k * 7 + i) % 26)}{chr(97 + i % 25)}">x</div>' for i in range(40)) + "</body>")))
+    assert sum(1 for _ in wrappers.slots(w)) <= wrappers.WIDTH + 1
+
+
+@pytest.mark.parametrize("tag", ["div", "ul", "article", "p"])
+def test_deep_nesting(tag):
+    """Pages of 100,000 nested or unclosed tags are read; texts keep their order."""
+    page = "".join(f"<{tag}>" + (f"<div>at {i}</div>" if i % 20_000 == 0 else "") for i in range(100_000)) + "end" + f"</{tag}>" * 60_000 + "<p>after" + "</div>" * 1000
+    content = wrappers.content_of(wrappers.wrapper_of(wrappers.read(page)))
+    assert wrappers.extract(page, content).split("\n") == [f"at {i}" for i in range(0, 100_000, 20_000)] + ["end", "after"]
+    hidden = "<div>" * 500 + "<nav>" + "<div>" * 10 + "menu" + "</div>" * 10 + "</nav>text"
+    assert wrappers.extract(hidden, content) == "text"
+
+
 def test_union_free_groups():
     page = lambda n: wrappers.wrapper_of(wrappers.read("<body>" + "<h2>a</h2><p>b</p>" * n + "</body>"))
     assert wrappers.expression(wrappers.merged(page(3), page(2))) == "<#page><body>(<h2>#</> <p>#</>)+</></>"
