@@ -11,9 +11,9 @@ language (where there is none, for the script of most letters) and for documents
 evenness falls with length. They are taken over all distinct texts, so that copies don't narrow them: from `spread` times the distance of the
 quartiles below the first quartile to as much above the third. Quartiles come from counts of values in
 fixed bins, which add up exactly in any order. A document is kept if the base rules hold and all its
-measures are in their bands. Every document of `least_tokens` tokens is judged: a length of fewer than
-`least_group` texts takes in the neighbouring lengths, at last the whole language; a language of fewer
-than that has FIXED_BANDS. Documents of fewer tokens are too short to judge and pass.
+measures are in their bands. Every document is judged: a length of fewer than `least_group` texts takes in
+the neighbouring lengths, at last the whole language; a language of fewer than that has FIXED_BANDS. As two
+tokens more or less say nothing, a band is wider by their share of the document's tokens.
 
 Only words are cut, each distinct word of a chunk once.
 
@@ -35,7 +35,7 @@ from . import runtime as R
 
 MEASURES = ("fertility", "fallback", "evenness")
 SYMBOLS = b"#*$%&|<>"
-WINDOW, LEAST_TOKENS, LEAST_GROUP, SPREAD = 5, 40, 32, 2.25
+WINDOW, SLACK_TOKENS, LEAST_GROUP, SPREAD = 5, 2, 32, 2.25
 #: Bins of one unit of a measure; groups of lengths to a doubling; bands that are rows enough to be joined by broadcast.
 BINS, LENGTHS, BROADCAST_BANDS = 2048, 2, 50_000
 #: How each measure changes with a doubling of the words (evenness: 0.049 to 0.053 on clean texts of four languages).
@@ -226,13 +226,16 @@ def fixed_bands(vocabularies: int) -> Column:
     return F.when(F.col("wide"), F.flatten(F.array_repeat(of[1], vocabularies))).otherwise(F.flatten(F.array_repeat(of[0], vocabularies)))
 
 
-def judged(docs: DataFrame, paths: tuple[str, ...], *, spread: float = SPREAD, least_tokens: int = LEAST_TOKENS, least_group: int = LEAST_GROUP) -> DataFrame:
+def judged(docs: DataFrame, paths: tuple[str, ...], *, spread: float = SPREAD, slack: float = SLACK_TOKENS, least_group: int = LEAST_GROUP) -> DataFrame:
     """doc_id, COLUMNS, base_failed, kept, lang and measures for every row of docs (doc_id, text, lang)."""
     rows = R.checkpointed(measured(docs, paths).withColumn("length", F.round(F.log2(F.greatest("n_words", F.lit(1))) * LENGTHS).cast("int")))
-    found = R.checkpointed(bands(rows.where(F.col("n_tokens") >= least_tokens), spread, least_group))
+    found = R.checkpointed(bands(rows.where("n_words > 0"), spread, least_group))
     side = F.broadcast(found) if found.count() <= BROADCAST_BANDS else found
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    inside = F.forall(F.zip_with("measures", "bands", lambda m, b: (m >= b.low) & (m <= b.high)), lambda x: x)
-    fixed = F.forall(F.zip_with("measures", fixed_bands(len(paths)), lambda m, b: (m >= b.low) & (m <= b.high)), lambda x: x)
-    fine = (F.col("n_tokens") < least_tokens) | F.coalesce(inside, fixed)
+    share = F.lit(float(slack)) / F.greatest("n_tokens", F.lit(1))
+
+    def inside(b: Column) -> Column:
+        return F.forall(F.zip_with("measures", b, lambda m, x: (m + share * F.greatest(m, F.lit(1)) >= x.low) & (m - share * F.greatest(m, F.lit(1)) <= x.high)), lambda x: x)
+
+    fine = F.coalesce(inside(F.col("bands")), inside(fixed_bands(len(paths))))
     return rows.join(side, ["lang", "length"], "left").select("doc_id", *COLUMNS, failed.alias("base_failed"), (~failed & fine).alias("kept"), "lang", "measures")
