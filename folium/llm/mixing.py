@@ -3,9 +3,9 @@
 1. Sources get targets: their weights share a multiple of all words; what lies above `most` times a
    source's own words is shared again among the rest, until none lies above.
 2. Each source's documents fall into blocks by a hash of their id: a random permutation cut in blocks.
-   A source is drawn from in whole passes and one partial pass over its blocks, in block order; the
-   block where the target lies is taken document by document, so a source ends within one document of
-   its target.
+   A source is drawn from in whole passes and one partial pass over its blocks, in block order, which is a
+   random one as the permutation is; the block where the target lies is taken document by document, so a
+   source ends within one document of its target. These blocks are the source's quota.
 3. The draws of all sources are dealt to output shards by a splitting tree: at each node a multivariate
    hypergeometric draw decides how many blocks of each source go left. Quotas stay exact, shards are
    equally long, and the running offsets give every shard its own, disjoint range of each source's
@@ -33,6 +33,8 @@ from . import runtime as R
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), Fraction(3, 2), 2
 BLOCK_WORDS, SHARD_WORDS, MAX_BLOCKS, MAX_SOURCES, BROADCAST_SOURCES = 1 << 16, 1 << 24, 1 << 20, 1 << 20, 10_000
+#: Shards of a mix and blocks of a source, however small they are.
+LEAST_SHARDS, LEAST_BLOCKS = 16, 64
 SIZED = "doc_id long, source string, size long"
 
 
@@ -94,7 +96,7 @@ def _deal(quotas: list[int], blocks: list[int], shards: int, seed: int) -> Calla
     return deal
 
 
-def drawn(docs: DataFrame, *, weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0, max_sources: int = MAX_SOURCES) -> DataFrame:
+def drawn(docs: DataFrame, *, weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, least_blocks: int = LEAST_BLOCKS, least_shards: int = LEAST_SHARDS, seed: int = 0, max_sources: int = MAX_SOURCES) -> DataFrame:
     """Every row of docs (doc_id, text, source) with its size, source_size, target and draws: (epoch, shard) each."""
     spark = R.attach(docs.sparkSession)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
@@ -105,7 +107,7 @@ def drawn(docs: DataFrame, *, weights: tuple = WEIGHTS, share: Fraction = SHARE,
     rows = sorted(rows, key=lambda r: (r.source is None, (r.source or "").encode()))
     words = [int(r.words) for r in rows]
     goal = targets(words, weights, share, most)
-    blocks = [min(MAX_BLOCKS, max(1, -(-w // block_words))) for w in words]
+    blocks = [min(MAX_BLOCKS, max(least_blocks, -(-w // block_words))) for w in words]
     whole = [int(t // w) if w else 0 for t, w in zip(goal, words, strict=True)]
     rest = [t - k * w for t, k, w in zip(goal, whole, words, strict=True)]
     plan = spark.createDataFrame([(i, r.source, *x) for i, (r, *x) in enumerate(zip(rows, words, goal, blocks, whole, rest, strict=True))], "sid int, name string, source_size long, target double, blocks long, whole int, rest double")
@@ -121,7 +123,7 @@ def drawn(docs: DataFrame, *, weights: tuple = WEIGHTS, share: Fraction = SHARE,
     last = {r.sid: r.last for r in edge.select("sid", "last").collect()}
     quotas = [k * n + (last[i] + 1 if i in last else 0) for i, (k, n) in enumerate(zip(whole, blocks, strict=True))]
 
-    shards = max(1, round(sum(goal) / shard_words))
+    shards = max(least_shards, round(sum(goal) / shard_words))
     dealt = spark.range(0, shards, 1, max(1, min(shards, R.partitions(spark)))).mapInArrow(_deal(quotas, blocks, shards, seed), "sid int, block long, epoch int, shard int")
     lists = dealt.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("draws"))
 
@@ -145,5 +147,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row."""
-    return drawn(docs, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    """doc_id, size, source_size, target, taken and shards (that of each draw, by epoch) for every row."""
+    return drawn(docs, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
