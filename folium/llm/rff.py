@@ -96,7 +96,7 @@ class Model:
         rng = np.random.default_rng(seed)
         self.mean, self.deviation = mean, np.where(deviation > 1e-9, deviation, 1)
         self.w, self.b = rng.normal(0, np.sqrt(2 * gamma), (len(mean), d)), rng.uniform(0, 2 * np.pi, d)
-        self.beta, self.at, self.value = np.zeros(d + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5])
+        self.beta, self.at, self.value = np.zeros(d + 1), None, None
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.deviation, -6, 6)
@@ -106,7 +106,9 @@ class Model:
         return np.clip(self.features(x) @ self.beta, -1, 2)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The calibrated score; a trace of the raw one keeps the order within the curve's steps."""
+        """The calibrated score; a trace of the raw one keeps the order within the curve's steps. An untrained model says 0.5."""
+        if self.at is None:
+            return np.full(len(x), 0.5)
         raw = self.raw(x)
         return np.interp(raw, self.at, self.value) * 0.998 + (raw + 1) / 3 * 0.002
 
