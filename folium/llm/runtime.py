@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import pickle
-import tempfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -24,7 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..storage import checkpointed, shared_dir  # noqa: F401  used by the operators
 
 #: Text bytes in one packed chunk.
 CHUNK_BYTES = 8 << 20
@@ -48,23 +49,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="folium-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: lineage ends there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def squeeze(x: object) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
 
