@@ -1,15 +1,19 @@
-"""Exact cosine neighbours of a bounded set of query vectors."""
+"""Exact cosine neighbours of a stated set of query vectors, and approximate ones."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES, MAX_LENGTH, BLOCK = 100_000, 4096, 1024
+from ..storage import checkpointed
+
+#: Bytes of query vectors that go to every task at once, and queries that are multiplied at once.
+QUERY_BYTES, BLOCK = 128 << 20, 1024
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -21,16 +25,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int, *, max_queries: int = MAX_QUERIES) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, k: int, *, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k index vectors nearest to each query, by cosine, ties to the smaller vec_id.
 
-    queries: (query_id, embedding), at most max_queries, which go to every task once. The index is read in
-    one pass without a shuffle: each batch answers with its own k best, and only those are ranked.
+    queries: (query_id, embedding). Up to query_bytes of them go to every task once, and the index is read in one pass
+    without a shuffle: each batch answers with its own k best, and only those are ranked. More queries are asked in
+    parts of that size, by hash of their id; each part's results are kept before the next one is read.
     """
+    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("e"))
+    size = asked.agg(F.sum(8 * F.size("e").cast("long"))).first()[0] or 0
+    parts = -(-size // query_bytes)
+    if parts < 2:
+        return _top_k(asked, index, k)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    return reduce(DataFrame.unionByName, (checkpointed(_top_k(asked.where(part == i), index, k)) for i in range(parts)))
+
+
+def _top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     spark = index.sparkSession
-    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("e")).limit(max_queries + 1).orderBy("query_id").toArrow()
-    if asked.num_rows > max_queries:
-        raise ValueError(f"more than {max_queries} queries; ask in parts")
+    asked = queries.orderBy("query_id").toArrow()
     schema = "query_id long, vec_id long, similarity double"
     if not asked.num_rows:
         return spark.createDataFrame([], schema + ", rank int")

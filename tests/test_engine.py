@@ -85,6 +85,8 @@ def test_knn_against_numpy(spark):
     for r in knn.top_k(asked, df, 6).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("h")).collect():
         sim = (u @ u[r.query_id]).round(12)
         assert [x.vec_id for x in r.h] == sorted(range(300), key=lambda i: (-sim[i], i))[:6]
+    one, many = (sorted((r.query_id, r.rank, r.vec_id) for r in knn.top_k(asked, df, 6, query_bytes=n).collect()) for n in (1 << 20, 3 * 16 * 8))
+    assert one == many
     near = knn.lsh_top_k(asked, df, 1, length=16)
     assert near.where("query_id = vec_id").count() >= 8
 
