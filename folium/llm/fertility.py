@@ -40,6 +40,8 @@ WINDOW, SLACK_TOKENS, LEAST_GROUP, SPREAD = 5, 2, 32, 2.25
 BINS, LENGTHS, BROADCAST_BANDS = 2048, 2, 50_000
 #: How each measure changes with a doubling of the words (evenness: 0.049 to 0.053 on clean texts of four languages).
 SLOPES = (0.0, 0.0, -0.05)
+#: A band reaches at least this far beyond the quartiles: texts with a few words of other languages have some fallback.
+REACH = (0.0, 0.05, 0.0)
 #: Evenness at 256 words; bands for languages of too few texts, mostly ASCII and others. Of evenness, low is the distance below the usual.
 EVEN_AT_256 = 0.7
 FIXED_BANDS = ({"fertility": (1.4, 7.0), "fallback": (0.0, 0.25), "evenness": (-0.12, 1.0)}, {"fertility": (0.25, 7.0), "fallback": (0.0, 1.0), "evenness": (-0.25, 1.0)})
@@ -154,7 +156,7 @@ def _measure(paths: tuple[str, ...]) -> Callable:
             h = np.fromiter(map(R.xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[codes] if len(codes) else np.zeros(0, np.uint64)
             lang = [x or script_of(raw[i:j]) for x, i, j in zip(b.column("lang").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
             base = [np.diff(ptr), chars, per_doc(symbol[data], off), np.array(lines), repeated_words(h, ptr)]
-            out = [b.column("doc_id"), pa.array(lang, pa.string()), *(pa.array(x, pa.int64()) for x in base)]
+            out = [b.column("doc_id"), b.column("row_key"), pa.array(lang, pa.string()), *(pa.array(x, pa.int64()) for x in base)]
             found = []
             for path in paths:
                 cut, odd = encoder(path)
@@ -163,25 +165,30 @@ def _measure(paths: tuple[str, ...]) -> Callable:
             out.append(pa.array(np.column_stack([y for x in found for y in x[1:]]).tolist(), pa.list_(pa.float64())))
             out.append(pa.array([R.xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.uint64()).view(pa.int64()))
             out.append(pa.array(2 * per_doc(data >= 0xC0, off) > chars))
-            yield pa.record_batch(out, names=["doc_id", "lang", *COLUMNS, "n_tokens", "measures", "text_hash", "wide"])
+            yield pa.record_batch(out, names=["doc_id", "row_key", "lang", *COLUMNS, "n_tokens", "measures", "text_hash", "wide"])
 
     return measure
 
 
+def row_key() -> Column:
+    """Tells rows with one doc_id apart by what the verdict comes from."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))
+
+
 def measured(docs: DataFrame, paths: tuple[str, ...]) -> DataFrame:
-    """doc_id, lang (or script), COLUMNS, n_tokens, measures (MEASURES of each vocabulary), a hash of the text and whether
-    most characters are beyond ASCII, of docs (doc_id, text, lang)."""
+    """doc_id, row_key, lang (or script), COLUMNS, n_tokens, measures (MEASURES of each vocabulary), a hash of the text and
+    whether most characters are beyond ASCII, of docs (doc_id, text, lang)."""
     R.attach(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return docs.mapInArrow(_measure(paths), f"doc_id long, lang string, {', '.join(f'{c} long' for c in COLUMNS)}, n_tokens long, measures array<double>, text_hash long, wide boolean")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), row_key().alias("row_key"))
+    return docs.mapInArrow(_measure(paths), f"doc_id long, row_key long, lang string, {', '.join(f'{c} long' for c in COLUMNS)}, n_tokens long, measures array<double>, text_hash long, wide boolean")
 
 
-def key_bands(length: np.ndarray, value: np.ndarray, count: np.ndarray, slope: float, spread: float, least_group: int) -> list[tuple[int, float, float]]:
+def key_bands(length: np.ndarray, value: np.ndarray, count: np.ndarray, slope: float, spread: float, least_group: int, reach_least: float = 0.0) -> list[tuple[int, float, float]]:
     """(length, low, high) of one measure of one language; nothing where all its lengths together are too few.
 
     A length of too few texts takes in its neighbours, ever farther ones, moved along the slope to that length.
-    No band is narrower than the distance of the quartiles that is usual in the language, which falls with the
-    root of the length, asks for.
+    A band reaches reach_least beyond the quartiles, and none is narrower than the distance of the quartiles that is usual in the language asks for; that of
+    shorter texts counts less, as it falls with the root of the length.
     """
     levels, out = np.unique(length), []
     total = np.array([count[length == x].sum() for x in levels])
@@ -196,8 +203,8 @@ def key_bands(length: np.ndarray, value: np.ndarray, count: np.ndarray, slope: f
         upto = np.cumsum(count[near][order])
         out.append([x, *(float(v[order][np.searchsorted(upto, q * upto[-1])]) for q in (0.25, 0.5, 0.75))])
     x, q1, q2, q3 = np.array(out).T
-    usual = np.median((q3 - q1) * 2 ** ((x - x[:, None]) / (2 * LENGTHS)), axis=1)  # of all lengths, scaled to each one
-    width = spread * np.maximum.reduce([q3 - q1, usual, 0.02 * q2, np.full(len(x), 2 / BINS)])
+    usual = np.median((q3 - q1) * np.minimum(1, 2 ** ((x - x[:, None]) / (2 * LENGTHS))), axis=1)  # of all lengths, those of shorter ones scaled
+    width = np.maximum(reach_least, spread * np.maximum.reduce([q3 - q1, usual, 0.02 * q2, np.full(len(x), 2 / BINS)]))
     return [(x, q1 - w, q3 + w) for (x, q1, _, q3), w in zip(out, width, strict=True)]
 
 
@@ -205,7 +212,7 @@ def _bands(spread: float, least_group: int) -> Callable:
     def of_key(table: pa.Table) -> pa.Table:
         lang, i = table.column("lang")[0].as_py(), table.column("i")[0].as_py()
         length, value, count = (table.column(c).to_numpy() for c in ("length", "bin", "count"))
-        found = key_bands(length, value / BINS, count, SLOPES[i % len(MEASURES)] / LENGTHS, spread, least_group)
+        found = key_bands(length, value / BINS, count, SLOPES[i % len(MEASURES)] / LENGTHS, spread, least_group, REACH[i % len(MEASURES)])
         return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "length": pa.array([x[0] for x in found], pa.int32()), "i": pa.array([i] * len(found), pa.int32()), "low": pa.array([x[1] for x in found], pa.float64()), "high": pa.array([x[2] for x in found], pa.float64())})
 
     return of_key
@@ -227,7 +234,7 @@ def fixed_bands(vocabularies: int) -> Column:
 
 
 def judged(docs: DataFrame, paths: tuple[str, ...], *, spread: float = SPREAD, slack: float = SLACK_TOKENS, least_group: int = LEAST_GROUP) -> DataFrame:
-    """doc_id, COLUMNS, base_failed, kept, lang and measures for every row of docs (doc_id, text, lang)."""
+    """doc_id, COLUMNS, base_failed, kept, lang, measures and row_key for every row of docs (doc_id, text, lang)."""
     rows = R.checkpointed(measured(docs, paths).withColumn("length", F.round(F.log2(F.greatest("n_words", F.lit(1))) * LENGTHS).cast("int")))
     found = R.checkpointed(bands(rows.where("n_words > 0"), spread, least_group))
     side = F.broadcast(found) if found.count() <= BROADCAST_BANDS else found
@@ -238,4 +245,4 @@ def judged(docs: DataFrame, paths: tuple[str, ...], *, spread: float = SPREAD, s
         return F.forall(F.zip_with("measures", b, lambda m, x: (m + share * F.greatest(m, F.lit(1)) >= x.low) & (m - share * F.greatest(m, F.lit(1)) <= x.high)), lambda x: x)
 
     fine = F.coalesce(inside(F.col("bands")), inside(fixed_bands(len(paths))))
-    return rows.join(side, ["lang", "length"], "left").select("doc_id", *COLUMNS, failed.alias("base_failed"), (~failed & fine).alias("kept"), "lang", "measures")
+    return rows.join(side, ["lang", "length"], "left").select("doc_id", *COLUMNS, failed.alias("base_failed"), (~failed & fine).alias("kept"), "lang", "measures", "row_key")

@@ -84,3 +84,74 @@ def op7(docs, percent=85, k=4):
         if i is not None:
             low[root(n)] = min(low.get(root(n), i), i)
     return [(i, len(s), None if i is None else low[root(n)]) for n, (i, s) in enumerate(sets)]
+
+
+def op4(docs, encoders, spread=2.25, slack=2, least=32, bins=2048):
+    """docs: (doc_id, text, lang) with lang given. encoders: functions from a word to its tokens, each as (id, whole characters).
+
+    Returns kept for each; for languages with enough texts only (no fixed bands).
+    """
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rows = []
+    for i, t, g in docs:
+        w = WORD.findall(t or "")
+        found, fewest = [], None
+        for encode in encoders:
+            tokens = [x for y in w for x in encode(y)]
+            n, count = len(tokens), Counter(x for x, _ in tokens)
+            entropy = -sum(c / n * math.log2(c / n) for c in count.values())
+            found += [sum(map(len, w)) / max(n, 1), sum(not ok for _, ok in tokens) / max(n, 1), entropy / math.log2(min(max(n, 2), encode.size))]
+            fewest = n if fewest is None else min(n, fewest)
+        windows = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        again = {j + o for j in range(len(w) - 4) if windows[tuple(w[j : j + 5])] > 1 for o in range(5)}
+        base = len(w) < 10 or 100 * len(again) > 20 * len(w)
+        rows.append((i, t, g, math.floor(math.log2(max(len(w), 1)) * 2 + 0.5), len(w), fewest, found, base))
+    out = []
+    for i, _, g, length, n_words, fewest, found, base in rows:
+        if not n_words:
+            out.append((i, False))
+            continue
+        fine = True
+        for m, v in enumerate(found):
+            texts = {(t, x): math.floor(f[m] * bins + 0.5) / bins for _, t, h, x, n, _, f, _ in rows if h == g and n}
+            slope = -0.05 / 2 if m % 3 == 2 else 0
+            levels, near = sorted({x for _, x in texts}), {}
+            for x in levels:
+                reach = min(r for r in {abs(y - x) for y in levels} if sum(abs(y - x) <= r for _, y in texts) >= least)
+                values = sorted(b + slope * (x - y) for (_, y), b in texts.items() if abs(y - x) <= reach)
+                near[x] = [values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.5, 0.75)]
+            usual = float(np.median([(q[2] - q[0]) * min(1, 2 ** ((x - length) / 4)) for x, q in near.items()]))
+            q1, q2, q3 = near[length]
+            wide, more = max(0.05 * (m % 3 == 1), spread * max(q3 - q1, usual, 0.02 * q2, 2 / bins)), slack / max(fewest, 1) * max(v, 1)
+            fine &= q1 - wide <= v + more and v - more <= q3 + wide
+        out.append((i, not base and fine))
+    return out
+
+
+def op9(x, y, model, d, ridge, bins):
+    """Scores of the rows of x (statistics) from the rows with a label y (others None): one matrix, and isotonic values by their min-max formula."""
+    import numpy as np
+
+    known = [i for i, v in enumerate(y) if v is not None]
+    mean, deviation = x[known].mean(axis=0), x[known].std(axis=0)
+    z = np.clip((x - mean) / np.where(deviation > 1e-9, deviation, 1), -6, 6)
+    f = np.hstack([np.sqrt(2 / d) * np.cos(z @ model.w + model.b), np.ones((len(x), 1))])
+    t, a = np.array([y[i] for i in known], float), f[known]
+    penalty = np.diag([ridge * len(known)] * d + [0.0]) + 1e-9 * np.eye(d + 1)
+    raw = np.clip(f @ np.linalg.solve(a.T @ a + penalty, a.T @ t), -1, 2)
+    groups = defaultdict(list)
+    for i, v in zip(known, t, strict=True):
+        groups[np.floor((raw[i] + 1) / 3 * bins + 0.5)].append((raw[i], v))
+    at = [np.mean([p for p, _ in groups[k]]) for k in sorted(groups)]
+    mean_y, n = [np.mean([v for _, v in groups[k]]) for k in sorted(groups)], [len(groups[k]) for k in sorted(groups)]
+    avg = lambda j, k: np.average(mean_y[j : k + 1], weights=n[j : k + 1])
+    fit = [max(min(avg(j, k) for k in range(i, len(n))) for j in range(i + 1)) for i in range(len(n))]
+    blocks = defaultdict(list)
+    for p, v, c in zip(at, fit, n, strict=True):
+        blocks[round(v, 12)].append((p, v, c))
+    xs = [np.average([p for p, _, _ in b], weights=[c for _, _, c in b]) for b in blocks.values()]
+    return np.interp(raw, xs, [b[0][1] for b in blocks.values()]) * 0.998 + (raw + 1) / 3 * 0.002

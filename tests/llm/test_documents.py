@@ -195,6 +195,103 @@ def test_statistics_are_finite():
     assert x.shape == (6, len(rff.FEATURES)) and np.isfinite(x).all() and math.isclose(x[1][9], 1 - 2 / 6)
 
 
+class Words:
+    """An encoder for the plain version: a word's tokens, and whether each is whole characters."""
+
+    def __init__(self, path):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.size = sp.vocab_size()
+            self.of = lambda w: [(i, not sp.is_byte(i) and not sp.is_unknown(i)) for i in sp.encode(w)]
+        else:
+            encoder = bpe.vocabulary(path)[0]
+            self.size = encoder.n_vocab
+
+            def of(w):
+                parts = [(i, encoder.decode_single_token_bytes(i)) for i in encoder.encode_ordinary(" " + w)]
+                return [(i, b.decode(errors="replace").encode() == b) for i, b in parts]
+
+            self.of = of
+
+    def __call__(self, word):
+        return self.of(word)
+
+
+def test_fertility_against_a_plain_version(spark):
+    """The verdict of every length, short and rare ones too, with copies, noise, rare characters and repeated ids."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.choice([10, 11, 14, 25, 60, 120, 130, 400])) + rng.choice(["", "", " é", " 日本", " \U0001f600"]), rng.choice(["en", "xx"])) for i in range(150)]
+    rows += [(200 + i, noise(rng, rng.choice([10, 30, 120])), "en") for i in range(6)] + [(300 + i, rows[0][1], "en") for i in range(20)] + [(0, noise(rng, 50), "en"), (400, "of of of of of of of of of of of of", "en"), (401, "", "en"), (402, None, "xx"), (403, prose(rng, 4000), "xx")]
+    got = sorted((r.doc_id, r.kept) for r in fertility.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), VOCABULARIES).collect())
+    want = sorted(brute.op4(rows, list(map(Words, VOCABULARIES))))
+    assert got == want
+    assert sum(k for _, k in want) > 150 and not any(k for i, k in want if i in (201, 202, 204))  # noise of 30 and 120 words
+
+
+def test_quality_against_a_plain_version(spark):
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["the", "river", "%%%", "walked", "|", "of"]) for _ in range(rng.randint(1, 60))) for _ in range(260)] + ["", None, "long " * 40_000]
+    docs = [(i % 257, t) for i, t in enumerate(texts)]  # the last ids are repeated
+    labels = [(i, int("%%%" not in (texts[i] or "")) if rng.random() < 0.9 else rng.randint(0, 1)) for i in range(0, 257, 2)] + [(4, 1), (6, None)]
+    got = rff.quality_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int"), d=24).collect()
+    import zlib
+
+    x, y, own = [], [], []
+    for i, t in docs:
+        s = rff.statistics(*R.flat_utf8(pa.array([t], pa.string())))[0]
+        known = [q for j, q in labels if j == i and q is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+        for q in [None, *known]:
+            x.append(s)
+            y.append(q)
+            own.append((i, t))
+    model = rff.Model(np.zeros(len(rff.FEATURES)), np.ones(len(rff.FEATURES)), 24, rff.GAMMA, rff.SEED)
+    score = brute.op9(np.array(x), y, model, 24, rff.RIDGE, rff.BINS)
+    want = sorted((i, round(float(v), 5)) for (i, _), v, q in zip(own, score, y, strict=True) if q is None)
+    assert sorted((r.doc_id, round(r.score, 5)) for r in got) == want
+
+
+def test_quality_without_training_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c"), (2, None)], "doc_id long, text string")
+    for labels in ([], [(1, None)], [(99, 1)]):
+        rows = rff.quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+        assert [(r.score, r.predicted) for r in rows] == [(0.5, 1)] * 3
+
+
+def test_mixing_deals_by_the_tree(spark):
+    """Draws lie in the shards to which the tree deals their blocks: disjoint, of nearly equal length, several even for small mixes."""
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(1, 9), f"s{i % 3}") for i in range(3000)] + [(9000, "w " * 50_000, "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken_words(df).collect()
+    assert all(r.taken == r.size * len(r.shards) for r in got)
+    shards = Counter()
+    for r in got:
+        for s in r.shards:
+            shards[s] += r.size if r.doc_id != 9000 else 0
+    assert len(shards) == mixing.LEAST_SHARDS and max(shards.values()) < 2 * min(shards.values())
+    assert any(len(set(r.shards)) == 2 for r in got)
+    by_block = {}
+    for r in mixing.mixed(df).collect():
+        by_block.setdefault((r.doc_id, r.epoch), []).append(r.shard)
+    assert all(len(x) == 1 for x in by_block.values())
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Columns beyond those read, named as the operators' own, change nothing; nor do they crash on a very long text."""
+    rng = random.Random(1)
+    rows = [(i, prose(rng, 30), "en", f"s{i % 2}") for i in range(60)] + [(70, prose(rng, 120_000), "en", "s0"), (71, None, None, None), (71, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = "size key block rest draws sid name target whole words epoch shard length bands measures row_key text_hash n_tokens i low high x y score held_out raw part sums chunk bucket payload blob id component link n_shingles other blocks own".split()
+    more = df.select("*", *(F.lit("clash").alias(n) for n in names))
+    labels = spark.createDataFrame([(i, i % 2, "clash", "clash") for i in range(60)], "doc_id long, quality int, text string, x string")
+    for f in (lambda d: fertility.judged(d, VOCABULARIES), mixing.taken_words, lambda d: rff.quality_scores(d, labels), lambda d: bpe.digest_documents(d, RANKS)):
+        assert sorted(map(str, f(df).collect())) == sorted(map(str, f(more).collect())) and f(df).count() == len(rows)
+
+
 def test_empty(spark, no_docs):
     df = no_docs.withColumns({"lang": F.lit("en"), "source": F.lit("s")})
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -251,5 +348,26 @@ def test_pipeline_near_duplicates(spark):
     assert set(low.values()) < {x for _, _, x in brute.op7(rows)}
 
 
+def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
+    """An empty table, columns beyond those of documents, and rows that share or lack a doc_id: each row has its own verdict."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, row_key string, kept string, first_id string"
+    rng = random.Random(5)
+    good = [prose(rng, 60) for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t), "c", "c", "c") for i, t in enumerate(good)]
+    odd = [(0, noise(rng, 60), "en", "s", 1, "c", "c", "c"), (None, noise(rng, 60), "en", "s", 1, "c", "c", "c"), (None, good[1] + " more", "en", "s", 1, "c", "c", "c")]
+    for n, every in enumerate(([], rows + odd)):
+        docs = spark.createDataFrame(every, shape)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            out.write.parquet(str(tmp_path / f"{n}{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{n}{name}"))
+            if name == "quality":
+                assert Counter(r.text for r in docs.collect()) == Counter(r[1] for r in every if "#" not in r[1] and "%" not in r[1])
+            if name != "encode":
+                assert docs.columns == corpus_pipeline.COLUMNS
+        assert bool(docs.count()) == bool(every)
+
+
 def brute_components(pairs):
-    return [(i, low) for i, _, low in brute.op7(pairs)]
+    """Near duplicates as the stage takes them: five words, 80 %."""
+    return [(i, low) for i, _, low in brute.op7(pairs, percent=80, k=5)]
