@@ -8,7 +8,8 @@ Records of equal payloads are deduplicated: of those with at least `revisit_byte
 largest page_id is a response and the others are revisits that refer to it.
 
 Archives are rows (path, content), as Spark's binaryFile source gives them, so anything that Spark can
-read can be read here, and no task needs a local disk.
+read can be read here, and no task needs a local disk; export() makes them files. A revisit must refer to a
+response whose payload has its digest: unresolved() finds those that don't, in one aggregation.
 
 Defined results: null html is an empty payload. A null page_id is written and read back as null; it is
 the original of others only if none of them has an id, and then all are responses. Rows that repeat the
@@ -21,6 +22,7 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -234,7 +236,39 @@ def read_archives(archives: DataFrame, *, payload: bool = True) -> DataFrame:
     return archives.select("content").mapInArrow(_read(payload), RECORDS if payload else RECORDS.removesuffix(", payload binary"))
 
 
+def unresolved(records: DataFrame) -> DataFrame:
+    """page_id and payload_digest that revisits among records refer to, where no response has them."""
+    kind, page = F.col("record_type"), F.coalesce("refers_to", "page_id")
+    found = records.groupBy(page.alias("page_id"), "payload_digest").agg(F.max(kind == "revisit").alias("asked"), F.max(kind == "response").alias("there"))
+    return found.where("asked and not there").select("page_id", "payload_digest")
+
+
+def export(archives: DataFrame, uri: str) -> DataFrame:
+    """Writes archives as files under a folder that all executors reach (file, s3, gs or hdfs URI); (path, bytes) of each.
+
+    A file is written aside and moved into place, so that a task that is run again leaves whole files only.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        to, folder = fs.FileSystem.from_uri(uri)
+        to.create_dir(folder, recursive=True)
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data = content.as_buffer()
+                aside = f"{folder}/.{path}.{uuid.uuid4().hex}"
+                with to.open_output_stream(aside, compression=None) as out:
+                    out.write(data)
+                to.move(aside, f"{folder}/{path}")
+                yield pa.record_batch([pa.array([path]), pa.array([data.size], pa.int64())], names=["path", "bytes"])
+
+    return archives.select("path", "content").mapInArrow(write, "path string, bytes long")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads them back."""
+    """Writes pages to archives in the shared folder and reads them back; an error if a revisit refers to nothing."""
     archives = R.checkpointed(write_archives(pages))
+    if lost := unresolved(read_archives(archives, payload=False)).first():
+        raise ArchiveError(f"a revisit refers to page {lost.page_id} for a payload with digest {lost.payload_digest}, which it doesn't have")
     return read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -28,6 +28,17 @@ def test_warc(pages):
     assert got == sorted(want, key=str)
 
 
+def test_warc_files_and_references(spark, pages, tmp_path):
+    archives = warc.write_archives(pages)
+    made = warc.export(archives, f"file://{tmp_path}/out").collect()
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/out/*.warc.zst")
+    assert sorted((r.path, r.bytes) for r in made) == sorted((f.path.rpartition("/")[2], f.length) for f in files.collect()) and made
+    records = warc.read_archives(files.select("path", "content"))
+    assert records.count() == len(PAGES) and warc.unresolved(records).collect() == []
+    lost = records.where("not (record_type = 'response' and page_id = 17)")
+    assert [r.page_id for r in warc.unresolved(lost).collect()] == [17]
+
+
 def test_warc_with_a_dictionary():
     records = [warc.record(i, f"http://h/{i}", (f"<html><body>shared words of every page {i} " * 40).encode(), b"\0" * 20, None) for i in range(300)]
     packed = warc.archive(records)
@@ -166,6 +177,49 @@ def test_nearest(spark, clusters):
     assert [i for i, _ in got[50]] == [100, 101, 102, 103, 104]
 
 
+def test_nearest_visits_few_lists_of_clusters():
+    """The ratio is fitted: near 1 where there are clusters, wide where there are none."""
+    rng = np.random.default_rng(4)
+    flat, centres = rng.normal(size=(3000, 16)), rng.normal(size=(40, 16))
+    close = centres[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 16))
+    share = []
+    for x in (flat, close):
+        x = postings.unit(x)
+        graph = postings.CentroidGraph(postings.balanced_centroids(x, 55))
+        ratio = postings.fitted_ratio(graph, x, 5, postings.BOUNDARY, postings.RECALL)
+        row, at, place, count = graph.ranked(x[::50], ratio)
+        assert (np.bincount(row) == count[place == 0]).all()
+        share.append(len(row) / 60 / 55)
+    assert share[1] < 0.3 < share[0]
+
+
+def test_nearest_of_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(120, 4))
+    rows = [(i % 100, [float(x) for x in r], 1.0, 7, "c") for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int, list string")
+    got = postings.nearest(df, ratio=100.0).orderBy("query_id", "rank").collect()
+    u = postings.unit(v)
+    for q in (0, 50):
+        best = {}
+        for i in range(120):
+            for j in range(120):
+                if i % 100 == q and j % 100 != q:
+                    best[j % 100] = max(best.get(j % 100, -2), float(u[i] @ u[j]))
+        want = sorted(best, key=lambda j: (-best[j], j))[:5]
+        assert [r.vec_id for r in got if r.query_id == q] == want
+    assert sorted(map(tuple, got)) == sorted(map(tuple, postings.nearest(df.select("vec_id", "embedding"), ratio=100.0).collect()))
+
+
+def test_clashing_columns_and_a_long_page(spark):
+    rows = [(i, f"http://h/{i}", f"<article><p>text {i}</p></article>") for i in range(5)] + [(9, "http://h/9", "<article>" + "<p>word &amp; word</p>" * 60_000 + "</article>"), (10, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    more = df.select("*", *(F.lit("clash").alias(n) for n in "host content constants salt key page text n_chars wrapper payload digest record_type refers_to original part".split()))
+    for f in (wrappers.main_texts, lambda d: warc.round_trip(d).drop("url")):
+        assert sorted(map(str, f(df).collect())) == sorted(map(str, f(more).collect()))
+    assert {r.page_id: r.n_chars for r in wrappers.main_texts(df).collect()}[9] == 60_000 * 12 - 1
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in postings.nearest(df).orderBy("query_id").collect()] == [(0, 1, 50, 0.0), (50, 1, 0, 0.0)]
