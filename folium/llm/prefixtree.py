@@ -42,7 +42,7 @@ SHINGLE, PERCENT = 4, 85
 GROUP_ITEMS = 1 << 20
 #: Entries of a tree's labels as bit sets, before they are packed.
 MAX_BITS = 1 << 27
-MET = "doc_id long, n_shingles long, f1 long, f2 long, link long"
+MET = "doc_id long, n_shingles long, f1 long, f2 long, rep long, link long"
 
 SHORT = np.uint64(0xA0761D6478BD642F)
 #: Bits of a shingle's hash that its count does without: a collision makes a shingle seem less rare, which loses nothing.
@@ -224,20 +224,26 @@ def _meet(percent: int) -> Callable:
     return meet
 
 
+def representatives(ids: np.ndarray, size: np.ndarray, prints: np.ndarray) -> pa.Array:
+    """For each document of a chunk the first one, in order of the ids, that has the same set; null without a set or an id."""
+    _, first, same = np.unique(np.column_stack([size, prints]), axis=0, return_index=True, return_inverse=True)
+    return pa.array(ids[first][same.reshape(-1)], mask=(ids == R.NULL_ID) | (size == 0))
+
+
 def gathered(table: pa.Table) -> pa.Table:
     """The documents of a chunk, and a forest of all links of theirs: no more rows than it has documents and they have partners."""
     out, links = [], []
 
-    def row(doc: np.ndarray, *rest: np.ndarray | None) -> None:
-        out.append(pa.table([R.id_column(doc), *(pa.nulls(len(doc), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x)) for x in rest)], names=["doc_id", "n_shingles", "f1", "f2", "link"]))
+    def row(doc: np.ndarray, *rest: np.ndarray | pa.Array | None) -> None:
+        out.append(pa.table([R.id_column(doc), *(pa.nulls(len(doc), pa.int64()) if x is None else x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for x in rest)], names=["doc_id", "n_shingles", "f1", "f2", "rep", "link"]))
 
     for blob in table.column("blob"):
         kind, *x = R.unsqueeze(blob.as_buffer())
         if kind == "documents":
-            row(x[0], x[1], x[2][:, 0], x[2][:, 1], None)
+            row(x[0], x[1], x[2][:, 0], x[2][:, 1], representatives(x[0], x[1], x[2]), None)
         links.append(x[-2:])
     a, b = forest(*(np.concatenate([x[i] for x in links]) for i in (0, 1)))
-    row(a, None, None, None, b)
+    row(a, None, None, None, None, b)
     return pa.concat_tables(out)
 
 
@@ -398,12 +404,13 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, shingle: int
     met = R.checkpointed(met)
     rows = met.where("link is null").drop("link")
     near = connected_components(met.where("link is not null").select(F.col("doc_id").alias("a"), F.col("link").alias("b")))
-    classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("id"))
+    prints = ["n_shingles", "f1", "f2"]
+    own = rows.where("doc_id = rep").select("rep", *prints).distinct()  # of many equal sets, one a chunk
+    classes = own.groupBy(*prints).agg(F.min("rep").alias("id"))
     reps = near.join(classes.groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
     groups = reps.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("items")).where("k > 1")
     groups = groups.select("component", F.greatest(F.lit(1), F.ceil(F.col("items") / group_items)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = reps.join(groups, "component").withColumn("own", own)
+    dealt = reps.join(groups, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = docs.join(dealt, docs.doc_id == dealt.id)
     pairs = texts.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     one = F.col("blocks") == 1
@@ -414,6 +421,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, shingle: int
     split = found.where("not whole")
     if split.take(1):
         low = low.unionByName(connected_components(split.select(F.col("id").alias("a"), F.col("low").alias("b"))).where("id <> component").select("id", F.col("component").alias("component_id")))
-    node = rows.join(classes, ["n_shingles", "f1", "f2"], "left").join(low, "id", "left")
-    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "id", "doc_id"))
+    low = own.join(classes, prints).join(low, "id", "left").select("rep", *prints, F.coalesce("component_id", "id").alias("low"))
+    node = rows.join(low, ["rep", *prints], "left")
+    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
     return node.select("doc_id", "n_shingles", mine.alias("component_id"))
