@@ -33,7 +33,7 @@ from . import repeats as P
 from . import runtime as R
 
 LENGTH, PART = 400, 32
-DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,stop:int>>"
 #: Symbols in one word of the first sort: 9 bits each, 0 stands for the end of a region.
 FIRST = 7
@@ -276,7 +276,8 @@ def _expand(length: int) -> Callable:
 
 
 def digest_row(text: np.ndarray, keep: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple:
-    return (hashlib.sha256(text[keep].tobytes()).hexdigest(),)
+    kept = text[keep].tobytes()
+    return hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")
 
 
 def span_row(text: np.ndarray, keep: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple:
@@ -316,10 +317,11 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, row: Callable = spa
     sent = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_send_regions(length, 2 * n), P.ROWS)
     found = sent.groupBy("bucket").applyInArrow(_expand(length), "chunk long, blob binary")
     base = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
-    last = [("kept_sha256", pa.string())] if schema == DIGESTS else [("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
+    last = [("kept_sha256", pa.string()), ("text", pa.string())] if schema == DIGESTS else [("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_cut(row, pa.schema(base + last)), schema)
 
 
 def digest_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """The digests of remove_repeats()'s rows, made in the task that has them."""
+    """The digests of remove_repeats()'s rows, made in the task that has them, and as text what is left but for
+    characters that a removal cuts."""
     return remove_repeats(docs, length=length, row=digest_row, schema=DIGESTS)

@@ -35,7 +35,7 @@ from . import repeats as P
 from . import runtime as R
 
 WINDOW, PART = 13, 5
-DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
 SPANS = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int,source_doc_id:long,source_start:int>>"
 
 
@@ -212,8 +212,8 @@ def verify(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def digest_row(words: list, keep: np.ndarray | None, spans: Callable) -> tuple:
-    kept = words if keep is None else compress(words, keep.tolist())
-    return (hashlib.sha256(b" ".join(kept)).hexdigest(),)
+    kept = b" ".join(words if keep is None else compress(words, keep.tolist()))
+    return hashlib.sha256(kept).hexdigest(), kept.decode()
 
 
 def span_row(words: list, keep: np.ndarray | None, spans: Callable) -> tuple:
@@ -269,5 +269,5 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, row: Callable = spa
 
 
 def digest_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """The digests of remove_repeats()'s rows, made in the task that has them."""
+    """The digests of remove_repeats()'s rows, made in the task that has them, and as text the words that are left."""
     return remove_repeats(docs, window=window, row=digest_row, schema=DIGESTS)

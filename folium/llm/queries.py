@@ -84,7 +84,7 @@ m AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
 c AS (SELECT DISTINCT doc_id, p + o AS i FROM (SELECT g.doc_id, p FROM g JOIN m USING (h) WHERE low < g.doc_id), (SELECT unnest(range(13)) AS o)),
 e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t),
 k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept, count(*) AS n FROM e ANTI JOIN c ON c.doc_id = e.doc_id AND c.i = e.i GROUP BY e.doc_id)
-SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)""",
+SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(kept, '') AS text FROM t LEFT JOIN k USING (doc_id)""",
     "op7_jaccard_join": r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM t WHERE len(w) > 0),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') || CASE WHEN len(w) < 4 THEN ' ' || chr(10) ELSE '' END AS g FROM x),
