@@ -25,9 +25,11 @@ NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fertility rules keep."""
-    kept = fertility.judged(docs, tuple(map(tokenizer, fertility.VOCABULARIES))).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Documents that the fertility rules keep. Each row has its own verdict, whatever other rows have its doc_id."""
+    docs = docs.select(COLUMNS)
+    kept = fertility.judged(docs, tuple(map(tokenizer, fertility.VOCABULARIES))).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row_key").alias("kept_key")).distinct()
+    rows = docs.withColumn("row_key", fertility.row_key())
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row_key") == F.col("kept_key")), "left_semi").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
