@@ -114,6 +114,22 @@ def test_document_chunks(seed):
         assert got == plain_chunks(pages_, config)
 
 
+def test_sections_make_the_same_chunks(spark):
+    """Documents chunked by section, dealt out, and as one text each."""
+    rng, rows = random.Random(3), []
+    bits = ["uma frase curta.", "Dr. Silva", "\n\nConduta: repetir", "\n\n- Exames: três", "Diagnóstico: não", "\n\nTratamento:", "vitamina C.", "\n\nfim", "y" * 300, "EXAMES : x"]
+    for d in range(12):
+        for p in range(rng.randint(1, 6)):
+            rows.append((f"d{d}", p, " ".join(rng.choice(bits) for _ in range(rng.randint(1, 80))).strip(), rng.random() < 0.3))
+    got = chunking.chunks(spark.createDataFrame(rows, "document string, page int, text string, no_space_before boolean").repartition(3))
+    found = {(r.source, r.text): (r.page, r.page_start, r.page_end, r.forced_split, r.chunk_no) for r in got.collect()}
+    want = {}
+    for d in sorted({r[0] for r in rows}):
+        for c in chunking.document_chunks(d, [r[1:] for r in rows if r[0] == d]):
+            want.setdefault((d, " ".join(c["text"].lower().split())), ((d, c["text"]), (c["page"], c["page_start"], c["page_end"], c["forced_split"], c["chunk_no"])))
+    assert found == dict(want.values()) and len(found) > 60
+
+
 def test_chunks_of_the_reference_cases():
     text = "Primeira frase curta. Segunda frase curta. Terceira frase curta."
     assert [c["text"] for c in chunking.document_chunks("AAG-Caso3.pdf", [(1, text, False)])] == [text]
