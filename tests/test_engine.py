@@ -275,3 +275,12 @@ def test_shared_dir_is_never_local_on_a_cluster():
         with pytest.raises(ValueError):
             shared_dir(session(master))
     assert shared_dir(session("local[2]")) == conf["spark.checkpoint.dir"]
+
+
+def test_tokens_and_passwords(spark):
+    from folium.functions import tokens
+
+    token, kept = tokens.new_token()
+    assert spark.range(1).select(F.sha2(F.lit(token), 256).alias("h")).first().h == kept and tokens.new_token()[0] != token
+    stored = tokens.password_hash("çãé 1")
+    assert tokens.password_matches("çãé 1", stored) and not tokens.password_matches("other", stored) and not tokens.password_matches("x", "broken")
