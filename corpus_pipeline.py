@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from folium.llm import bpe, debruijn, fertility, mixing, prefixtree
 from folium.llm.queries import table, tokenizer
 from folium.llm.runtime import attach, shared_dir
+from folium.plans.index import Folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of a shard that one task sorts, as a share of the shard.
@@ -80,4 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{i}-{name}")
             docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            if i:  # what this stage has read isn't needed again
+                Folder(spark, folder).delete(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
