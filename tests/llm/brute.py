@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,3 +156,62 @@ def op9(x, y, model, d, ridge, bins):
         blocks[round(v, 12)].append((p, v, c))
     xs = [np.average([p for p, _, _ in b], weights=[c for _, _, c in b]) for b in blocks.values()]
     return np.interp(raw, xs, [b[0][1] for b in blocks.values()]) * 0.998 + (raw + 1) / 3 * 0.002
+
+
+class Article(HTMLParser):
+    """Blocks of text inside <article> elements, with the tag that holds each, by the standard library's parser."""
+
+    APART = "nav footer aside form script style noscript template dialog menu button select textarea title".split()
+    BLOCKS = "article section div p h1 h2 h3 h4 h5 h6 ul ol li table tr td blockquote pre header main body figure".split() + APART
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.apart = 0
+        self.buffer, self.open, self.blocks = [], ["body"], []
+        self.feed(html)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(self.buffer).split())
+        self.buffer = []
+        if text:
+            self.blocks.append((self.open[-1], text))
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.buffer.append(" ")
+        if tag in self.BLOCKS:
+            self.flush()
+            self.inside += tag == "article"
+            self.apart += tag in self.APART
+            if tag != "p" or self.open[-1] != "p":
+                self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+            self.inside -= tag == "article"
+            self.apart -= tag in self.APART
+            if tag in self.open:
+                while self.open.pop() != tag:
+                    pass
+            self.open = self.open or ["body"]
+
+    def handle_data(self, data):
+        if self.inside and not self.apart:
+            self.buffer.append(data)
+
+
+def op2(pages, host_of, share=0.8, least=3):
+    """(page_id, text) of pages whose text is all in <article>: without blocks that a host's different pages repeat."""
+    found = [(i, host_of(u), Article(h or "").blocks) for i, u, h in pages]
+    seen, every = defaultdict(set), defaultdict(set)
+    for _, host, blocks in found:
+        if blocks:
+            longest = max((t for tag, t in blocks if tag[0] != "h" or tag == "header"), key=lambda t: (len(t), t), default="")
+            every[host].add(longest)
+            for b in set(blocks):
+                seen[host, b].add(longest)
+    gone = {k for k, pages_ in seen.items() if k[1][0] not in ("h1", "h2", "h3", "h4", "h5", "h6") and len(pages_) >= least and len(pages_) >= share * len(every[k[0]])}
+    return [(i, "\n".join(t for tag, t in blocks if (host, (tag, t)) not in gone)) for i, host, blocks in found]

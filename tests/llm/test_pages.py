@@ -1,10 +1,13 @@
 """Operators 1, 2 and 10."""
 
 import hashlib
+import os
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.llm import brute
 
 from folium.llm import postings, warc, wrappers
 
@@ -128,6 +131,29 @@ def test_constants_of_the_template(spark):
     assert '<div.x0>"Subscribe now for 5 dollars"</>' in shape["h"] and '"' not in shape["few"]
 
 
+def test_main_texts_against_a_plain_version(spark):
+    """Articles of many hosts, with references, unclosed paragraphs, scripts, lists, template texts and copies."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(["river", "caf&eacute;", "a&amp;b", "&lt;b&gt;", "x&#233;y", "<b>bold</b>", "one\n two", "<a href='/x'>link</a>", "<br>", "end.", "&notin;", "&unknown;", "5 < 6"])
+    rows = []
+    for i in range(240):
+        host = f"h{i % 12}.example"
+        body = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}<li>{}</ul>", "<div>{}</div>", "<script>{}</script>", "<blockquote><p>{}</p></blockquote>"]).replace("{}", " ".join([f"w{rng.randrange(10**6)}", *(word() for _ in range(rng.randint(0, 12)))])) for _ in range(rng.randint(0, 8)))
+        template = '<div class="x9">Subscribe now</div>' * (i % 12 < 4) + "<h3>Share of voice</h3>" * (i % 12 == 5)
+        rows.append((i, f"https://{host}/{i}", f"<html><head><title>t</title></head><body><nav><a href='/'>Home</a></nav><article><h1>T {i}</h1>{body}{template}</article><footer>foot {i}</footer></body></html>"))
+    rows += [(1000 + i, rows[3][1], rows[3][2]) for i in range(30)] + [(2000, None, None), (2001, "http://h1.example/", "")]
+    got = sorted((r.page_id, r.text) for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())
+    want = sorted(brute.op2(rows, wrappers.host_of))
+    assert got == want and not any("Subscribe" in t for i, t in want if i < 1000)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no fixture tables")
+def test_main_texts_of_the_fixture(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [tuple(r) for r in df.select("page_id", "url", "html").collect()]
+    assert sorted((r.page_id, r.text) for r in wrappers.main_texts(df).collect()) == sorted(brute.op2(rows, wrappers.host_of))
+
+
 def test_long_groups_and_bounds():
     page = lambda tags, n: wrappers.wrapper_of(wrappers.read("<body>" + "".join(f"<{t}>a</{t}>" for t in tags) * n + "</body>"))
     seven = ["h2", "p", "div", "h3", "ul", "pre", "table"]
