@@ -37,13 +37,14 @@ DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,stop:int>>"
 #: Symbols in one word of the first sort: 9 bits each, 0 stands for the end of a region.
 FIRST = 7
+BLOCK = 1 << 16
 
 _TABLE = R.mix(np.arange(1, 257, dtype=np.uint64) * R.GOLDEN)
 
 
-def part_hashes(data: bytes) -> np.ndarray:
+def part_hashes(data: np.ndarray) -> np.ndarray:
     """The hash of the PART bytes from each place, by doubling."""
-    h = _TABLE[np.frombuffer(data, np.uint8)]
+    h = _TABLE[data]
     with np.errstate(over="ignore"):
         size, odd = 1, R.GOLDEN
         while size < PART:
@@ -54,22 +55,27 @@ def part_hashes(data: bytes) -> np.ndarray:
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """The smallest of the w values from each place."""
-    n = len(x) - w + 1
-    padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    rows = padded.reshape(-1, w)
-    head = np.minimum.accumulate(rows, axis=1).reshape(-1)
-    tail = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(tail[:n], head[w - 1 : w - 1 + n])
+    """The smallest of the w values from each place, by doubling."""
+    have = 1
+    while have < w:
+        step = min(have, w - have)
+        x, have = np.minimum(x[:-step], x[step:]), have + step
+    return x
 
 
 def window_minimizers(data: bytes, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows inside documents, the minimizer of each, and the hashes of all parts."""
+    """Starts of all windows inside documents, the minimizer of each, and the hashes of all parts.
+
+    Hashes and minima are made for BLOCK windows at a time, whose arrays stay in the processor's cache.
+    """
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = part_hashes(data)
-    m = sliding_min(h, length - PART + 1)
+    text, w = np.frombuffer(data, np.uint8), length - PART + 1
+    h, m = np.empty(len(data) - PART + 1, np.uint64), np.empty(len(data) - length + 1, np.uint64)
+    for i in range(0, len(m), BLOCK):
+        own = part_hashes(text[i : min(i + BLOCK, len(m)) + length - 1])
+        h[i : i + len(own)] = own
+        m[i : i + BLOCK] = sliding_min(own, w)
     at = R.spread(np.maximum(np.diff(off) - length + 1, 0), off[:-1])
     return at, m[at], h
 
@@ -164,7 +170,10 @@ def bounded_suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.n
         at = ends[ends - i > before] - i
         key[at] &= -1 << 9 * (FIRST - 1 - i)
         ended[at] = True
-    order = np.argsort(key, kind="stable").astype(np.int32)  # ends keep the order of the regions everywhere
+    order = np.argsort(key).astype(np.int32)
+    rows = np.flatnonzero(ended[order])  # ends keep the order of the regions everywhere
+    at = order[rows]
+    order[rows] = at[np.lexsort((at, key[at]))]
     k, ended = key[order], ended[order]
     new = np.r_[True, (k[1:] != k[:-1]) | ended[1:]]
     early, have = new.copy(), FIRST
