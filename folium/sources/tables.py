@@ -13,6 +13,7 @@ from pyspark.sql import types as P
 
 from ..functions import text as T
 from ..functions.rules import labelled
+from ..storage import attach
 
 CHUNK_FIELDS = P.StructType(
     [P.StructField(n, P.StringType()) for n in ("chunk_id", "document_id", "text", "source")]
@@ -33,7 +34,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str, *, heavy: bool = False) -> DataFrame:
     """A table; heavy: much work a row is ahead, so a file of few row groups is spread over the cores."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = attach(spark).read.parquet(f"{folder}/{name}.parquet")
     return spread(df) if heavy else df
 
 

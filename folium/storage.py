@@ -1,12 +1,22 @@
-"""The folder that driver and executors share, and data kept there."""
+"""What driver and executors share: this package, and a folder with data kept there."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def attach(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; on a local master, where it is unset, a temporary folder takes its place."""
     at = spark.conf.get("spark.checkpoint.dir", None)
