@@ -6,6 +6,7 @@ Every query runs over its whole tables. SQL pieces are made from the same fixed
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,8 +20,9 @@ from .functions import rules as L
 from .functions import text as T
 from .functions.filters import where
 from .operators import chunking, dedup, knn, pages, selection, store
-from .plans import ingest, retrieve
-from .sources.tables import html_pages, point, table
+from .plans import index, ingest, retrieve
+from .sources.tables import backfilled, checked, chunk_lines, html_pages, point, table
+from .storage import shared_dir
 
 CONFIG = EngineConfig()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +134,12 @@ def _(spark, folder):
     return knn.floor_and_merge(h, CONFIG.similarity_floor).select("question_id", "vec_id", F.col("variant").alias("matched_query"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("knn_null_vectors", f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 7 <> 0), s AS (SELECT q.vec_id AS query_id, i.vec_id, {COSINE} AS sim FROM v q, v i WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
+def _(spark, folder):
+    e = table(spark, folder, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"))
+    return knn.top_k(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 # --- text functions
 
 
@@ -333,11 +341,23 @@ def eval_cases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(str(i), ["erin", "xyz"], ["src7"], ["procedure"]) for i, _ in QUESTIONS], "name string, expected_any_terms array<string>, forbidden_source_terms array<string>, forbidden_content_types array<string>")
 
 
-@query("eval_cases", scored_sql() + f""", r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY adjusted_score DESC, sim DESC, doc_id) AS place FROM z), t AS (SELECT r.question_id, d.source, {norm_sql("d.source || ' ' || d.text")} AS body FROM r JOIN documents d USING (doc_id) WHERE place <= 4)
-SELECT question_id, count(*) AS n, bool_or(contains(body, 'erin') OR contains(body, 'xyz')) AS has_expected, bool_or(contains({norm_sql("source")}, 'src7')) AS has_forbidden_source FROM t GROUP BY question_id""")
+@query("eval_cases", scored_sql() + f""", r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY adjusted_score DESC, sim DESC, doc_id) AS place FROM z), t AS (SELECT r.question_id, q.source, content_type, {norm_sql("q.source || ' ' || q.text")} AS body FROM r JOIN q USING (doc_id) WHERE place <= 4)
+SELECT *, has_expected AND NOT has_forbidden_source AND forbidden_types_found = '' AS passed FROM (SELECT question_id, CASE WHEN bool_or(content_type = 'procedure') THEN 'procedure' ELSE '' END AS forbidden_types_found, count(*) AS n, bool_or(contains(body, 'erin') OR contains(body, 'xyz')) AS has_expected, bool_or(contains({norm_sql("source")}, 'src7')) AS has_forbidden_source FROM t GROUP BY question_id)""")
 def _(spark, folder):
     rows = ranked(spark, folder).where(F.col("place") <= CONFIG.top_k).withColumn("name", F.col("question_id").cast("string"))
-    return retrieve.evaluated(eval_cases(spark), rows).select(F.col("name").cast("long").alias("question_id"), "n", "has_expected", "has_forbidden_source")
+    return retrieve.evaluated(eval_cases(spark), rows).select(F.col("name").cast("long").alias("question_id"), "n", "has_expected", "has_forbidden_source", "forbidden_types_found", "passed")
+
+
+@query("unused_windows", """WITH RECURSIVE c AS (SELECT doc_id % 4 AS question_id, doc_id, n_chars % 5 = 0 AS rejected, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+v AS (SELECT DISTINCT question_id, 0::BIGINT AS rank, []::BIGINT[] AS used, NULL::BIGINT AS kept FROM c UNION ALL SELECT question_id, rank, CASE WHEN ok THEN list_concat(used, w) ELSE used END, CASE WHEN ok THEN doc_id END FROM
+(SELECT c.*, used, [doc_id - 4, doc_id, doc_id + 4] AS w, NOT rejected AND NOT list_has_any(used, [doc_id - 4, doc_id, doc_id + 4]) AS ok FROM v JOIN c ON c.question_id = v.question_id AND c.rank = v.rank + 1 WHERE c.rank <= 60))
+SELECT question_id, kept::VARCHAR AS chunk_id FROM v WHERE kept IS NOT NULL""")
+def _(spark, folder):
+    d, i = table(spark, folder, "documents"), F.col("doc_id")
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("n_chars"), "doc_id"))
+    window = F.array((i - 4).cast("string"), i.cast("string"), (i + 4).cast("string"))
+    rows = d.select((i % 4).alias("question_id"), "doc_id", "n_chars").withColumn("rank", rank).where("rank <= 60")  # as many candidates as a question can have
+    return selection.unused_windows(rows.select("question_id", i.cast("string").alias("chunk_id"), "rank", window.alias("window_ids"), (F.col("n_chars") % 5 == 0).alias("window_rejected")))
 
 
 # --- paged documents
@@ -484,6 +504,16 @@ def _(spark, folder):
     return t.select("conv_id", "turn", F.array_join(A.problems(F.col("a"), (F.col("turn") % 4).cast("int"), F.col("q")), "; ").alias("problems"))
 
 
+@query("answer_statuses", f"""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'vazio' WHEN conv_id % 7 = 0 THEN 'erro_indice' WHEN turn % 4 = 0 THEN 'sem_material' WHEN conv_id % 11 = 0 OR conv_id % 6 = 0 OR trim(text) = '' THEN 'erro_modelo' WHEN problems <> '' THEN 'resposta_bloqueada' ELSE 'ok' END AS status
+FROM ({problems_sql()}) p JOIN conversations USING (conv_id, turn) WHERE role = 'assistant'""")
+def _(spark, folder):
+    t = table(spark, folder, "conversations").where("role = 'assistant'").withColumns({"a": F.expr(ANSWER), "q": F.expr(ASKED)})
+    conv, turn = F.col("conv_id"), F.col("turn")
+    t = t.withColumns({"sources": (turn % 4).cast("int"), "answer": F.when(conv % 6 != 0, F.col("a"))})
+    t = t.withColumn("found", A.problems(F.coalesce("answer", F.lit("")), F.col("sources"), F.col("q")))
+    return t.select("conv_id", "turn", A.status(F.when(turn % 5 == 0, " ").otherwise(F.col("q")), conv % 7 != 0, F.col("sources"), F.col("answer"), conv % 11 == 0, F.col("found")).alias("status"))
+
+
 @query("answer_lines", "WITH x AS (SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS raw, unnest(range(0, len(string_split(t, chr(10))))) AS line_no FROM (SELECT conv_id, turn, '### A' || chr(10) || '- ' || text || chr(10) || chr(10) || '### B' || chr(10) || text AS t FROM conversations WHERE role = 'assistant')), l AS (SELECT conv_id, turn, line_no, trim(raw) AS line FROM x WHERE trim(raw) <> '') SELECT conv_id, turn, line_no, sum(CASE WHEN starts_with(line, '### ') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY line_no)::BIGINT AS section, CASE WHEN starts_with(line, '### ') THEN 'section' WHEN starts_with(line, '- ') THEN 'bullet' ELSE 'text' END AS kind, regexp_replace(line, '^(### |- )', '') AS line FROM l")
 def _(spark, folder):
     a = table(spark, folder, "conversations").where("role = 'assistant'").withColumn("text", F.concat(F.lit("### A\n- "), "text", F.lit("\n\n### B\n"), "text"))
@@ -497,6 +527,41 @@ def _(spark, folder):
     return table(spark, folder, "events").select("event_id", records.redacted(raw).alias("metadata"))
 
 
+@query("audit_append", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"kept": "' || event_type || '"}' ELSE '{"event": "' || event_type || '", "k": ' || (props->>'$.k') || ', "password": "[removido]"}' END AS metadata_json FROM events""")
+def _(spark, folder):
+    e, odd = table(spark, folder, "events"), F.col("event_id") % 2 == 1
+    log = e.where(~odd).select("event_id", F.concat(F.lit('{"kept": "'), "event_type", F.lit('"}')).alias("metadata_json"))
+    return store.audited(log, e.where(odd).select("event_id", F.concat(F.lit('{"password": [1], "k": '), F.get_json_object("props", "$.k"), F.lit(', "event": "'), "event_type", F.lit('"}')).alias("metadata_json")))
+
+
+LINES = """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'dup' ELSE 'k' || doc_id END AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN 'same text' WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS text,
+CASE WHEN doc_id % 10 = 0 THEN 'dup.pdf' ELSE source || '.pdf' END AS source, CASE WHEN doc_id % 10 <> 0 AND doc_id % 3 = 0 THEN CAST(doc_id AS INT) END AS page FROM documents"""
+
+
+@query("jsonl_backfill", f"""WITH r AS ({LINES}), e AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'broken JSON' WHEN trim(text) = '' THEN 'no text or source' END AS error FROM r),
+f AS (SELECT *, CASE WHEN error IS NULL AND chunk_id = 'dup' AND row_number() OVER (PARTITION BY chunk_id, error ORDER BY doc_id) > 1 THEN 'repeated chunk_id' ELSE error END AS why FROM e)
+SELECT coalesce(why, 'none') AS error, CASE WHEN why IS NULL THEN lower(replace(source, '.pdf', '')) END AS document_id, count(*) AS n, sum(CASE WHEN why IS NULL THEN length(text) END)::BIGINT AS n_chars, sum(CASE WHEN why IS NULL THEN coalesce(page, 1) END)::BIGINT AS pages FROM f GROUP BY 1, 2""")
+def _(spark, folder):
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    table(spark, folder, "documents").createOrReplaceTempView("documents")
+    line = F.when(F.col("doc_id") % 13 == 0, "{broken").otherwise(F.to_json(F.struct("chunk_id", "text", "source", "page")))
+    spark.sql(LINES).select(line.alias("value")).write.text(path)
+    good, bad = checked(chunk_lines(spark, path))
+    rows = backfilled(good).select(F.lit("none").alias("error"), "document_id", F.col("char_count").alias("n_chars"), F.col("page_start").alias("pages"))
+    none = F.lit(None)
+    rows = rows.unionByName(bad.select("error", none.cast("string").alias("document_id"), none.cast("int").alias("n_chars"), none.cast("int").alias("pages")))
+    return rows.groupBy("error", "document_id").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.sum("pages").alias("pages"))
+
+
+@query("publish_and_load", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS n_chars, (SELECT count(*) FROM documents) AS published FROM documents GROUP BY source")
+def _(spark, folder):
+    path, d = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", table(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    first = index.publish(d, path, expected=d.count(), embedding_model="m")
+    index.publish(d.where("doc_id % 2 = 0"), path, embedding_model="m")
+    index.roll_back(spark, path)
+    return index.load(spark, path, model="m").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")).withColumn("published", F.lit(first["rows"]).cast("long"))
+
+
 @query("normalize_sources", """WITH e AS (SELECT event_id, event_type, value, event_id % 5 AS m FROM events) SELECT event_id, CASE WHEN m = 1 THEN 7 ELSE (event_id % 9)::INT END AS source_number, CASE WHEN m = 0 THEN event_type WHEN m = 3 THEN 'Fonte não identificada' ELSE event_type END AS source_name, CASE m WHEN 1 THEN '1, 2' WHEN 2 THEN '5' END AS pages, CASE WHEN m = 1 THEN 0.5::DOUBLE END AS similarity, CASE m WHEN 1 THEN 'a,b' WHEN 2 THEN 'c' END AS chunk_ids FROM e""")
 def _(spark, folder):
     e = table(spark, folder, "events")
