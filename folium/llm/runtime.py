@@ -13,10 +13,8 @@ Nothing is gathered on the driver, and a task never holds more than a chunk or a
 
 from __future__ import annotations
 
-import os
 import pickle
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import SparkSession
 
-from ..storage import checkpointed, shared_dir  # noqa: F401  used by the operators
+from ..storage import attach, checkpointed, shared_dir  # noqa: F401  used by the operators
 
 #: Text bytes in one packed chunk.
 CHUNK_BYTES = 8 << 20
@@ -37,14 +35,6 @@ GOLDEN = U64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-def attach(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    return spark
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
