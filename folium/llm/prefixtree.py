@@ -16,8 +16,8 @@ A document's set holds the hashes of its distinct 4-word shingles. Two documents
    in a compressed trie. A probe walks down it for all stored sets at once, carrying the overlap of the path;
    a subtree is left where the overlap so far and the lengths that remain, in the probe and below, can't
    reach the threshold, or where all of it is linked with the probe already.
-5. A group of more than `group_items` hashes is dealt out as pairs of blocks, so no task holds an
-   unbounded group; each pair returns a spanning forest of its links, never all pairs.
+5. A group of more than `group_items` hashes is no single task: large_groups() first connects its near copies in
+   bounded parts, then joins pairs of blocks, but never blocks of one connected part with each other.
 
 Defined results: texts are taken as bytes with A-Z lower-cased; null and blank texts have an empty set
 and link with nothing. A repeated row gets the result of its twin; rows that share a doc_id but not the
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats as P
@@ -46,7 +46,7 @@ MET = "doc_id long, n_shingles long, f1 long, f2 long, rep long, link long"
 
 SHORT = np.uint64(0xA0761D6478BD642F)
 #: Bits of a shingle's hash that its count does without: a collision makes a shingle seem less rare, which loses nothing.
-DROPPED, U0 = np.uint64(16), np.uint64(0)
+DROPPED, U0, U64_1 = np.uint64(16), np.uint64(0), np.uint64(1)
 
 
 def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -350,8 +350,8 @@ class PrefixTree:
         return at[group[at] != group[own]]
 
 
-def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each of the sets the smallest id that links reach within this group."""
+def linked(ids: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[int]:
+    """For each of the sets the smallest id that links reach within this group. known: equal where sets are connected already."""
     if len(sets) < 2:
         return list(ids)
     items, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -361,7 +361,7 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
     cuts = np.cumsum([len(s) for s in sets])[:-1]
     numbered = [np.sort(x) for x in np.split(number[flat], cuts)]
     tree = PrefixTree(numbered, count[common] > 1)
-    group = np.arange(len(sets))
+    group = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1][tree.order]
     for place, i in enumerate(tree.order.tolist()):
         hit = np.unique(group[tree.linked(numbered[i], percent, group, place, len(items))])
         hit = hit[hit != group[place]]
@@ -375,23 +375,63 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _with_sets(shingle: int) -> Callable:
+    """The sets of texts, and the smallest of two hashes of theirs, which sets that link mostly have alike."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = [shingle_set((x or "").encode(), shingle).tobytes() for x in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("id"), b.column("component"), b.column("i"), b.column("j"), pa.array(blobs, pa.binary())], names=["id", "component", "i", "j", "items"])
+            found = [shingle_set((x or "").encode(), shingle) for x in b.column("text").to_pylist()]
+            keys = [[int(x[0] >> U64_1), int(R.mix(x ^ SHORT).min() >> U64_1)] if len(x) else [] for x in found]
+            yield pa.record_batch([b.column("id"), b.column("component"), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "component", "items", "keys"])
 
     return sets
 
 
 def _join_group(percent: int) -> Callable:
+    """id and low of the rows that reach a smaller id in a group; v, where there is one, is equal for rows known to be connected."""
+
     def join(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
-        low = linked(ids, [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()], percent)
-        return pa.table({"id": table.column("id"), "low": pa.array(low, pa.int64()), "whole": pa.array([x < 0 for x in table.column("i").to_pylist()])})
+        low = linked(ids, [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()], percent, table.column("v").to_pylist() if "v" in table.column_names else None)
+        return pa.table({"id": table.column("id"), "low": pa.array(low, pa.int64())}).filter(pa.array([x != y for x, y in zip(ids, low, strict=True)], pa.bool_()))
 
     return join
 
 
+LINKS = "id long, low long"
+
+
+def large_groups(sets: DataFrame, percent: int, group_items: int) -> DataFrame:
+    """id and component_id of the rows of sets (id, component, items, keys) that reach a smaller id; a group of any size.
+
+    1. Sets with one key are dealt out in parts of `group_items` hashes, each with the smallest id as a pivot, and
+       joined there. A group of near copies becomes connected by this, in a time that grows with its size.
+    2. What is connected needs no comparing. Connected parts beyond `group_items` get blocks of their own, the
+       others share blocks; each pair of blocks is joined but those of one connected part.
+    """
+    rows = R.checkpointed(sets.withColumn("n", F.octet_length("items") / 8))
+    keyed = rows.withColumn("key", F.explode("keys")).drop("keys")
+    parts = keyed.groupBy("component", "key").agg(F.ceil(F.sum("n") / group_items).cast("int").alias("parts"), F.min("id").alias("pivot"))
+    part = F.when(F.col("id") == F.col("pivot"), F.expr("sequence(0, parts - 1)")).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    near = keyed.join(parts, ["component", "key"]).withColumn("part", F.explode(part)).select("id", "component", "key", "part", "items")
+    near = R.checkpointed(near.groupBy("component", "key", "part").applyInArrow(_join_group(percent), LINKS))
+    sure = connected_components(near.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "v")
+    rows = rows.drop("keys").join(sure, "id", "left").withColumn("v", F.coalesce("v", "id"))
+    sizes = rows.groupBy("component", "v").agg(F.sum("n").alias("n")).withColumn("own", F.when(F.col("n") > group_items, F.ceil(F.col("n") / group_items)).otherwise(0).cast("int"))
+    total = sizes.groupBy("component").agg(F.ceil(F.coalesce(F.sum(F.when(F.col("own") == 0, F.col("n"))), F.lit(0)) / group_items).cast("int").alias("shared"), F.sum("own").cast("int").alias("large"), F.count("*").alias("k")).where("k > 1").drop("k")
+    before = Window.partitionBy("component").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    large = sizes.where("own > 0").withColumn("start", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int")).select("component", "v", "own", "start")
+    dealt = rows.join(total, "component").join(large, ["component", "v"], "left")
+    every = F.expr("sequence(0, shared + large - 1)")
+    alone = F.col("own").isNotNull()
+    block = F.when(alone, F.col("shared") + F.col("start") + F.pmod(F.xxhash64("id"), F.col("own"))).otherwise(F.pmod(F.xxhash64("v"), F.greatest("shared", F.lit(1)))).cast("int")
+    others = F.when(alone, F.filter(every, lambda x: (x < F.col("shared") + F.col("start")) | (x >= F.col("shared") + F.col("start") + F.col("own")))).otherwise(every)
+    pairs = dealt.withColumn("block", block).withColumn("other", F.explode(others))
+    pairs = pairs.select("id", "component", "items", "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    far = pairs.groupBy("component", "i", "j").applyInArrow(_join_group(percent), LINKS)
+    links = near.unionByName(far).select(F.col("id").alias("a"), F.col("low").alias("b"))
+    return connected_components(links).where("id <> component").select("id", F.col("component").alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, group_items: int = GROUP_ITEMS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark = R.attach(docs.sparkSession)
@@ -410,17 +450,11 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, shingle: int
     reps = near.join(classes.groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
     groups = reps.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("items")).where("k > 1")
     groups = groups.select("component", F.greatest(F.lit(1), F.ceil(F.col("items") / group_items)).cast("int").alias("blocks"))
-    dealt = reps.join(groups, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = docs.join(dealt, docs.doc_id == dealt.id)
-    pairs = texts.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    one = F.col("blocks") == 1
-    pairs = pairs.select("id", "component", "text", F.when(one, -1).otherwise(F.least("own", "other")).alias("i"), F.when(one, -1).otherwise(F.greatest("own", "other")).alias("j"))
-    sets = pairs.mapInArrow(_with_sets(shingle), "id long, component long, i int, j int, items binary")
-    found = R.checkpointed(sets.groupBy("component", "i", "j").applyInArrow(_join_group(percent), "id long, low long, whole boolean").where("id <> low"))
-    low = found.where("whole").groupBy("id").agg(F.min("low").alias("component_id"))
-    split = found.where("not whole")
-    if split.take(1):
-        low = low.unionByName(connected_components(split.select(F.col("id").alias("a"), F.col("low").alias("b"))).where("id <> component").select("id", F.col("component").alias("component_id")))
+    texts = docs.join(reps.join(groups, "component"), F.col("doc_id") == F.col("id"))
+    sets = lambda of: of.select("id", "component", "text").mapInArrow(_with_sets(shingle), "id long, component long, items binary, keys array<long>")
+    low = R.checkpointed(sets(texts.where("blocks = 1")).drop("keys").groupBy("component").applyInArrow(_join_group(percent), LINKS)).groupBy("id").agg(F.min("low").alias("component_id"))
+    if groups.where("blocks > 1").take(1):
+        low = low.unionByName(large_groups(sets(texts.where("blocks > 1")), percent, group_items))
     low = own.join(classes, prints).join(low, "id", "left").select("rep", *prints, F.coalesce("component_id", "id").alias("low"))
     node = rows.join(low, ["rep", *prints], "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))

@@ -110,8 +110,36 @@ def test_jaccard(docs, documents):
     assert rows(prefixtree.jaccard_components(docs)) == key(brute.op7(documents))
 
 
-def test_jaccard_in_blocks(docs, documents):
-    assert rows(prefixtree.jaccard_components(docs, group_items=900)) == key(brute.op7(documents))
+@pytest.mark.parametrize("group_items", [200, 900])
+def test_jaccard_in_blocks(docs, documents, group_items):
+    assert rows(prefixtree.jaccard_components(docs, group_items=group_items)) == key(brute.op7(documents))
+
+
+def test_large_groups_compare_no_connected_parts(spark, monkeypatch):
+    """A group of many near copies and a few others: the copies meet their pivots and the others, not each other."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64))
+    sets = [np.unique(np.r_[np.delete(base, rng.integers(0, len(base), 2)), rng.integers(0, 1 << 63, 1).astype(np.uint64)]) for _ in range(300)]
+    sets += [np.unique(np.r_[base[:60], rng.integers(0, 1 << 63, 40).astype(np.uint64)]) for _ in range(6)] + [np.delete(sets[0], slice(0, 12))]
+    keys = lambda x: [int(x[0] >> np.uint64(1)), int(prefixtree.R.mix(x ^ prefixtree.SHORT).min() >> np.uint64(1))]
+    df = spark.createDataFrame([(i, 0, bytearray(x.tobytes()), keys(x)) for i, x in enumerate(sets)], "id long, component long, items binary, keys array<long>")
+    join = prefixtree._join_group
+    rows_of = spark.sparkContext.accumulator(0)
+
+    def counted(percent):
+        f = join(percent)
+
+        def g(table):
+            rows_of.add(table.num_rows)
+            return f(table)
+
+        return g
+
+    monkeypatch.setattr(prefixtree, "_join_group", counted)
+    got = {r.id: r.component_id for r in prefixtree.large_groups(df, 85, 2000).collect()}
+    low = prefixtree.linked(list(range(len(sets))), sets, 85)
+    assert got == {i: c for i, c in enumerate(low) if c != i} and len(set(low)) == 7
+    assert rows_of.value < 5 * len(sets)  # all pairs of 16 blocks would take each set 16 times
 
 
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
