@@ -1,7 +1,7 @@
 """Goldens of labels, scores, variants and chunking."""
 
-import pytest
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folium.functions import answers as A
