@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, bwt, debruijn, fertility, mixing, postings, prefixtree, rff, warc, wrappers
+from . import bpe, bwt, debruijn, fertility, mixing, postings, prefixtree, rff, urls, warc, wrappers
 from .runtime import attach
 
 
@@ -60,6 +61,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.judged(table(spark, sf_dir, "pages"), rules, urls.labelled_urls(spark)).withColumn("score", F.round("score", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_wrappers": op2_wrappers,
@@ -71,8 +77,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_nearest": op10_nearest,
+    "op13_url_filters": op13_url_filters,
 }
 
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """WITH d AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, max(page_id) AS original FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
@@ -95,4 +108,30 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT DISTINCT a AS doc_id, a AS low FROM u UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.doc_id),
 c AS (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.low, t.doc_id) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op13_url_filters": f"""WITH RECURSIVE words AS (SELECT 1 AS label, {_list(urls.BLOCKED)} AS ws UNION ALL SELECT 0, {_list(urls.ALLOWED)}),
+good AS (SELECT {_list(urls.ALLOWED)} AS ws, {_list(urls.PREFIXES)} AS pre, {_list(urls.ENDINGS)} AS fin, {_list(urls.PATHS)} AS paths),
+n AS (SELECT label, ws, unnest(range(len(ws))) AS i FROM words),
+m AS (SELECT label, ws, i, unnest(range(4)) AS k FROM n),
+o AS (SELECT label, i, k, m.ws[i + 1] AS w, m.ws[(i * 7 + k * 13 + 5) % len(m.ws) + 1] AS other, good.ws[(i * 3 + k) % len(good.ws) + 1] AS mild,
+pre[(i + k) % len(pre) + 1] AS p, fin[(i + k * 2) % len(fin) + 1] AS e, paths[(i * 5 + k) % len(paths) + 1] AS path FROM m, good),
+u AS (SELECT label * 1000000 + i * 4 + k AS id, label, 'https://' || p || CASE k WHEN 0 THEN w WHEN 1 THEN w || '-' || other WHEN 2 THEN other || w ELSE w || '-' || mild END || '.' || e || path AS url FROM o),
+every AS (SELECT 'l' AS kind, id, url FROM u UNION ALL SELECT 'p', page_id, url FROM pages),
+rest AS (SELECT kind, id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM every),
+parts AS (SELECT kind, id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+texts AS (SELECT DISTINCT host, path, unnest(['h', 'p']) AS k, unnest([CASE WHEN host = '' THEN '' ELSE '^' || host || '$' END, regexp_replace(path, '[0-9]+', '0', 'g')]) AS t FROM parts),
+sized AS (SELECT *, unnest([3, 4, 5]) AS size FROM texts),
+placed AS (SELECT *, unnest(range(1, greatest(length(t) - size + 2, 1))) AS pos FROM sized),
+f AS (SELECT DISTINCT host, path, ('0x' || substr(md5(k || substr(t, pos, size)), 1, 6))::INT % {urls.DIM} AS f FROM placed),
+c AS (SELECT host, path, count(*) AS n FROM f GROUP BY host, path),
+x AS (SELECT id, f, 1 / sqrt(n) AS s FROM parts JOIN c USING (host, path) JOIN f USING (host, path) WHERE kind = 'l' UNION ALL SELECT id, {urls.DIM}, 1.0 FROM u),
+w AS (SELECT 0 AS step, f, 0.0::DOUBLE AS v, 0.0::DOUBLE AS q FROM (SELECT DISTINCT f FROM x)
+UNION ALL SELECT step + 1, f, v + {urls.RATE} * g / sqrt(q + g * g + 1e-12), q + g * g FROM (SELECT w.step, w.f, w.v, w.q, t.g / (SELECT count(*) FROM u) - {urls.DECAY} * w.v AS g FROM w JOIN (
+SELECT x.f, sum(e.e * x.s) AS g FROM x JOIN (SELECT id, label - 1 / (1 + exp(-m)) AS e FROM (SELECT x.id, sum(w.v * x.s) AS m FROM x JOIN w USING (f) GROUP BY x.id) JOIN u USING (id)) e USING (id) GROUP BY x.f) t USING (f)) WHERE step < {urls.STEPS}),
+model AS (SELECT f, v FROM w WHERE step = {urls.STEPS}),
+bias AS (SELECT v AS b FROM model WHERE f = {urls.DIM}),
+sums AS (SELECT host, path, sum(v) / sqrt(any_value(n)) AS m FROM f JOIN c USING (host, path) LEFT JOIN model USING (f) GROUP BY host, path),
+rules (h, p, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)}),
+ruled AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM (SELECT DISTINCT host, path FROM parts WHERE kind = 'p') JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+s AS (SELECT id, host, path, rule, verdict, CASE WHEN rule IS NULL THEN 1 / (1 + exp(-(coalesce(m, 0) + b))) END AS score FROM parts LEFT JOIN ruled USING (host, path) LEFT JOIN sums USING (host, path), bias WHERE kind = 'p')
+SELECT id AS page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score FROM s""",
 }
