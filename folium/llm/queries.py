@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt, debruijn, fertility, mixing, postings, prefixtree, rff, urls, warc, wrappers
+from . import audit, bpe, bwt, debruijn, fertility, mixing, postings, prefixtree, rff, urls, warc, wrappers
 from .runtime import attach
 
 
@@ -61,6 +61,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
     return urls.judged(table(spark, sf_dir, "pages"), rules, urls.labelled_urls(spark)).withColumn("score", F.round("score", 6))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_nearest": op10_nearest,
+    "op12_filter_audit": op12_filter_audit,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -108,6 +113,20 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT DISTINCT a AS doc_id, a AS low FROM u UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.doc_id),
 c AS (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.low, t.doc_id) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op12_filter_audit": r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY text) AS again FROM t),
+m AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN again THEN 'E' END) AS failed FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+f (f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+s AS (SELECT filter_order, step, filter_order[step] AS f, left(filter_order, step - 1) AS earlier FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+p AS (SELECT part, filter_order, step, f, n, g, x, failed = f AS alone, contains(failed, f) AS fails, translate(failed, earlier, '') <> failed AS gone FROM c, s),
+r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+coalesce(sum(n) FILTER (alone), 0) AS unique_fails, coalesce(sum(g) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(x) FILTER (fails AND NOT gone), 0) AS toxic_lost FROM p GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+(sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r""",
     "op13_url_filters": f"""WITH RECURSIVE words AS (SELECT 1 AS label, {_list(urls.BLOCKED)} AS ws UNION ALL SELECT 0, {_list(urls.ALLOWED)}),
 good AS (SELECT {_list(urls.ALLOWED)} AS ws, {_list(urls.PREFIXES)} AS pre, {_list(urls.ENDINGS)} AS fin, {_list(urls.PATHS)} AS paths),
 n AS (SELECT label, ws, unnest(range(len(ws))) AS i FROM words),
