@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, bwt, debruijn, fertility, mixing, postings, prefixtree, rff, urls, warc, wrappers
+from . import audit, bpe, bwt, debruijn, fertility, merge, mixing, postings, prefixtree, rff, urls, warc, wrappers
 from .runtime import attach
 
 
@@ -61,6 +61,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = merge.merged_branches(table(spark, sf_dir, "documents"))
+    return merged.select("doc_id", *merge.COLUMNS, F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), *merge.COUNTS)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_nearest": op10_nearest,
+    "op11_branch_merge": op11_branch_merge,
     "op12_filter_audit": op12_filter_audit,
     "op13_url_filters": op13_url_filters,
 }
@@ -113,6 +119,32 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT DISTINCT a AS doc_id, a AS low FROM u UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.doc_id),
 c AS (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.low, t.doc_id) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op11_branch_merge": r"""WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS v FROM (SELECT unnest(range(256))::BIGINT AS i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
+names AS (SELECT doc_id, unnest(['row', 'lang', 'source']) AS name FROM d UNION ALL SELECT doc_id, k::VARCHAR FROM lines),
+keys AS (SELECT doc_id, name, b, b || ':' || doc_id || ':' || name AS s FROM names, (VALUES ('L'), ('R')) v (b)),
+codes AS (SELECT doc_id, name, b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 11 AS c FROM keys, crc),
+c AS (SELECT doc_id, name, max(c) FILTER (b = 'L') AS l, max(c) FILTER (b = 'R') AS r FROM codes GROUP BY doc_id, name),
+col AS (SELECT doc_id, name, v, CASE l WHEN 0 THEN '' WHEN 1 THEN v || '!' WHEN 2 THEN v || '?' ELSE v END AS x, CASE r WHEN 0 THEN '' WHEN 1 THEN v || '!' WHEN 2 THEN v || '?' ELSE v END AS y
+FROM c JOIN (SELECT doc_id, 'lang' AS name, lang AS v FROM d UNION ALL SELECT doc_id, 'source', source FROM d) USING (doc_id, name)),
+cols AS (SELECT doc_id, max(CASE WHEN x = y OR y = v THEN x WHEN x = v THEN y ELSE v END) FILTER (name = 'lang') AS lang, max(CASE WHEN x = y OR y = v THEN x WHEN x = v THEN y ELSE v END) FILTER (name = 'source') AS source,
+count(*) FILTER (x <> v OR y <> v) - count(*) FILTER (x <> v AND y <> v AND x <> y) AS clean, count(*) FILTER (x <> v AND y <> v AND x <> y) AS ee, count(*) FILTER (x <> v) AS nl, count(*) FILTER (y <> v) AS nr FROM col GROUP BY doc_id),
+ln AS (SELECT lines.doc_id, k, line, CASE WHEN l < 3 THEN l END AS x, CASE WHEN r < 3 THEN r END AS y, CASE WHEN l IN (3, 4) THEN l END AS p, CASE WHEN r IN (3, 4) THEN r END AS q FROM lines JOIN c ON c.doc_id = lines.doc_id AND c.name = k::VARCHAR),
+lm AS (SELECT *, CASE WHEN x <> y THEN NULL ELSE coalesce(x, y) END AS e, CASE WHEN p <> q THEN NULL ELSE coalesce(p, q) END AS g FROM ln),
+out AS (SELECT doc_id, 2 * k AS k, CASE e WHEN 1 THEN line || '!' WHEN 2 THEN line || '?' ELSE line END AS line FROM lm WHERE e IS DISTINCT FROM 0 UNION ALL SELECT doc_id, 2 * k + 1, CASE g WHEN 3 THEN '!' ELSE '?' END FROM lm WHERE g IS NOT NULL),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM out GROUP BY doc_id),
+lc AS (SELECT doc_id, count(e) + count(g) AS clean, count(*) FILTER (x <> y AND x > 0 AND y > 0) AS ee, count(*) FILTER (x <> y AND (x = 0 OR y = 0)) AS ed, count(*) FILTER (p <> q) AS ii, count(x) + count(p) AS nl, count(y) + count(q) AS nr FROM lm GROUP BY doc_id),
+b AS (SELECT d.doc_id, d.lang AS lang0, d.source AS source0, d.text AS text0, cols.lang, cols.source, coalesce(texts.text, '') AS text, rows.l = 0 AS dl, rows.r = 0 AS dr, cols.nl + lc.nl > 0 AS cl, cols.nr + lc.nr > 0 AS cr, cols.clean + lc.clean AS clean, cols.ee + lc.ee AS ee, lc.ed, lc.ii
+FROM d JOIN (SELECT * FROM c WHERE name = 'row') rows USING (doc_id) JOIN cols USING (doc_id) JOIN lc USING (doc_id) LEFT JOIN texts USING (doc_id)),
+s AS (SELECT *, dl OR dr AS dropped, (dl AND NOT dr AND cr) OR (dr AND NOT dl AND cl) AS fight FROM b),
+merged AS (SELECT doc_id, CASE WHEN fight THEN lang0 WHEN NOT dropped THEN lang END AS lang, CASE WHEN fight THEN source0 WHEN NOT dropped THEN source END AS source, CASE WHEN fight THEN text0 WHEN NOT dropped THEN text END AS text,
+CASE WHEN fight THEN 0 WHEN dropped THEN 1 ELSE clean END AS n_clean, CASE WHEN dropped THEN 0 ELSE ee END AS n_edit_edit, CASE WHEN fight THEN 1 WHEN dropped THEN 0 ELSE ed END AS n_edit_delete, CASE WHEN dropped THEN 0 ELSE ii END AS n_insert_insert FROM s),
+added AS (SELECT -1 - doc_id AS doc_id, lang, source, CASE l WHEN 3 THEN '!' ELSE '?' END AS text FROM d JOIN c USING (doc_id) WHERE name = 'row' AND l IN (3, 4) UNION ALL SELECT -2 - doc_id, lang, source, CASE r WHEN 3 THEN '!' ELSE '?' END FROM d JOIN c USING (doc_id) WHERE name = 'row' AND r IN (3, 4)),
+fresh AS (SELECT doc_id, count(DISTINCT (lang, source, text)) AS n, min(lang) AS lang, min(source) AS source, min(text) AS text FROM added GROUP BY doc_id)
+SELECT doc_id, lang, source, sha256(text) AS text_sha256, n_clean::BIGINT AS n_clean, n_edit_edit::BIGINT AS n_edit_edit, n_edit_delete::BIGINT AS n_edit_delete, n_insert_insert::BIGINT AS n_insert_insert FROM merged
+UNION ALL SELECT doc_id, CASE WHEN n = 1 THEN lang END, CASE WHEN n = 1 THEN source END, CASE WHEN n = 1 THEN sha256(text) END, (n = 1)::BIGINT, 0, 0, (n > 1)::BIGINT FROM fresh""",
     "op12_filter_audit": r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY text) AS again FROM t),
 m AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
