@@ -7,7 +7,7 @@
    repeats moves once a partition. Chains are handed on after CHAIN_BYTES of text.
 2. *Routing.* partitionBy sends texts by fingerprint, rows that are decided by their own id. A partition stores the
    chains of its fingerprints, with full text (compressed) and minimum id, and emits the rows with an id that is no
-   minimum as failing DUPLICATE. There are as many partitions as the input has, so a partition stays as large as those.
+   minimum as failing DUPLICATE. Their number follows from the bytes of the texts, PART_BYTES in each.
 3. *Counts.* Rows of a few bytes meet their labels by id; combineByKey adds up, for each part, vectors that count rows
    by mask: all, good and toxic ones. Vectors have 3 * 2^filters numbers; a part that has a third of the rows is
    summed before the shuffle.
@@ -38,6 +38,8 @@ from . import runtime as R
 
 #: Text that a map task holds before it hands its chains on; a few times that in memory.
 CHAIN_BYTES = 32 << 20
+#: Text, before compression, of one routed partition.
+PART_BYTES = 128 << 20
 DUPLICATE = "E"
 CAPITALS, MARKS = bytes(range(0x41, 0x5B)), re.compile(rb"[#$%&*|]")
 MASKS = "doc_id long, part string, mask int, n long"
@@ -146,9 +148,10 @@ def _judge(duplicate: int) -> Callable:
 def masks(docs: DataFrame, *, filters: dict[str, Callable] = FILTERS, chain_bytes: int = CHAIN_BYTES) -> RDD:
     """(doc_id, part, mask, n): n rows of docs (doc_id, text, source) that fail the filters in mask; its highest bit is DUPLICATE."""
     R.attach(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))).rdd
-    parts = max(R.partitions(docs.sparkSession), rows.getNumPartitions())
-    return rows.mapPartitions(_route(filters, chain_bytes)).partitionBy(parts, lambda key: key).mapPartitions(_judge(1 << len(filters)))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(R.partitions(docs.sparkSession), -(-size // PART_BYTES))
+    return rows.rdd.mapPartitions(_route(filters, chain_bytes)).partitionBy(parts, lambda key: key).mapPartitions(_judge(1 << len(filters)))
 
 
 def duplicate_ids(docs: DataFrame, **options) -> RDD:
