@@ -25,6 +25,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def ids_of(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Ids as an array that sorts as Spark does: numbers, or strings by code point."""
+    return col.to_numpy(zero_copy_only=False) if pa.types.is_integer(col.type) else np.array(col.cast(pa.string()).to_pylist(), dtype=str)
+
+
+def best(sim: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best of each row of sim, ranked by score, then by vec.
+
+    Equal vectors may differ in their last bits, by their place in a matrix: scores are rounded to 12 digits, so they tie.
+    """
+    n = min(k, len(vec))
+    edge = np.partition(sim, len(vec) - n, axis=1)[:, len(vec) - n]
+    row, col = np.nonzero(sim >= edge[:, None] - 2e-12)
+    score = np.round(sim[row, col], 12)
+    order = np.lexsort((vec[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[keep], col[keep], score[keep]
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's found (query_id, vec_id, similarity), with their rank."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def top_k(queries: DataFrame, index: DataFrame, k: int, *, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k index vectors nearest to each query, by cosine, ties to the smaller vec_id.
 
@@ -44,7 +70,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, *, query_bytes: int = QU
 def _top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     spark = index.sparkSession
     asked = queries.orderBy("query_id").toArrow()
-    schema = "query_id long, vec_id long, similarity double"
+    schema = f"query_id long, vec_id {index.schema['vec_id'].dataType.simpleString()}, similarity double"
     if not asked.num_rows:
         return spark.createDataFrame([], schema + ", rank int")
     ids, q = asked.column("query_id").to_numpy(), spark.sparkContext.broadcast(_unit(_matrix(asked.column("e").combine_chunks())))
@@ -53,23 +79,14 @@ def _top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            vec, v = b.column("vec_id").to_numpy(), _unit(_matrix(b.column("e")))
+            vec, v = ids_of(b.column("vec_id")), _unit(_matrix(b.column("e")))
             for i in range(0, len(ids), BLOCK):
                 sim = q.value[i : i + BLOCK] @ v.T
-                n = min(k, len(vec))
-                # the k-th best of each query, and all that tie with it up to rounding, ranked by score then id
-                edge = np.partition(sim, len(vec) - n, axis=1)[:, len(vec) - n]
-                row, col = np.nonzero(sim >= edge[:, None] - 1e-12)
-                order = np.lexsort((vec[col], -sim[row, col], row))
-                row, col = row[order], col[order]
-                first = np.searchsorted(row, row)
-                keep = np.arange(len(row)) - first < n
-                row, col = row[keep], col[keep]
-                yield pa.record_batch([pa.array(ids[i : i + BLOCK][row]), pa.array(vec[col]), pa.array(sim[row, col])], names=["query_id", "vec_id", "similarity"])
+                row, col, score = best(sim, vec, k)
+                yield pa.record_batch([pa.array(ids[i : i + BLOCK][row]), pa.array(vec[col]).cast(b.column("vec_id").type), pa.array(score)], names=["query_id", "vec_id", "similarity"])
 
     found = index.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).mapInArrow(nearest, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked(found, k)
 
 
 def floor_and_merge(hits: DataFrame, floor: float) -> DataFrame:
@@ -95,5 +112,4 @@ def lsh_top_k(queries: DataFrame, index: DataFrame, k: int, *, length: int, tabl
     a, b = coded(queries, "query_id").select(F.col("id").alias("query_id"), F.col("e").alias("q"), "code"), coded(index, "vec_id").select(F.col("id").alias("vec_id"), F.col("e").alias("v"), "code")
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = a.join(b, "code").dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec_id", dot.alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked(pairs, k)

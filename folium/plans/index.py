@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ class Folder:
     """A folder in any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.path, self.jvm = path.rstrip("/"), spark._jvm
+        self.path, self.jvm, self.gateway = path.rstrip("/"), spark._jvm, spark.sparkContext._gateway
         self.fs = self.jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
     def at(self, name: str):
@@ -39,27 +41,51 @@ class Folder:
         return [x.getPath().getName() for x in self.fs.listStatus(self.at(""))] if self.fs.exists(self.at("")) else []
 
     def create(self, name: str, text: str) -> bool:
-        """Writes a small file beside and renames it into place; False if another writer made it first."""
-        aside = self.at(f".{name}.{uuid.uuid4().hex}")
+        """Makes a small file as a whole; False if another writer made it first. Of writers that race, one succeeds.
+
+        The text is written aside and then given its name by what the file system does in one step and only where the name
+        is free: a hard link on local disks, elsewhere a rename that doesn't overwrite (stores without renames make it as
+        atomic as their own client does).
+        """
+        aside, to = self.at(f".{name}.{uuid.uuid4().hex}"), self.at(name)
         stream = self.fs.create(aside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        done = not self.fs.exists(self.at(name)) and self.fs.rename(aside, self.at(name))
-        if not done:
+        try:
+            if self.fs.getScheme() == "file":
+                local = [self.jvm.java.nio.file.Path.of(self.fs.makeQualified(x).toUri()) for x in (to, aside)]
+                self.jvm.java.nio.file.Files.createLink(*local)
+            else:
+                none = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                kinds = self.gateway.new_array(none.getClass(), 1)
+                kinds[0] = none
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(aside, to, kinds)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
             self.fs.delete(aside, False)
-        return done
+        return True
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
 
 
-def publish(df: DataFrame, path: str, *, expected: int | None = None, keep: int = 2, **about: object) -> dict:
-    """Writes df as a new version and makes it current if its row count is right; else the old one stays."""
+def publish(df: DataFrame, path: str, *, expected: int | None = None, keep: int = 2, write: Callable[[DataFrame, str], dict] | None = None, **about: object) -> dict:
+    """Writes df as a new version and makes it current if its row count is right; else the old one stays.
+
+    write: how df is laid out in the version's folder, as Parquet if not given; returns what to tell about it.
+    """
     spark, folder = df.sparkSession, Folder(df.sparkSession, path)
     old = current(spark, path)
     version = f"v{(old or {}).get('number', 0) + 1:06d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{folder.path}/{version}")
-    n = spark.read.parquet(f"{folder.path}/{version}").count()
+    at = f"{folder.path}/{version}"
+    if write:
+        about |= write(df, at)
+    else:
+        df.write.parquet(at)
+    n = spark.read.parquet(at).count()
     if expected is not None and n != expected:
         folder.delete(version)
         raise ValueError(f"{n} rows were written, {expected} were expected; the current version stays")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators import chunking, pages
+from ..operators import chunking, clustered, pages
 from ..operators.embedding import Embedder, embedded
 from .index import publish
 
@@ -33,8 +33,8 @@ def chunked(raw: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
 
 
 def build(raw: DataFrame, path: str, embedder: Embedder, config: EngineConfig = EngineConfig()) -> dict:
-    """Publishes the index of raw pages; what it says about itself."""
-    return publish(embedded(chunked(raw, config), embedder, text="embedding_text"), path, embedding_model=embedder.name)
+    """Publishes the index of raw pages, clustered by its vectors; what it says about itself."""
+    return publish(embedded(chunked(raw, config), embedder, text="embedding_text"), path, write=clustered.write, embedding_model=embedder.name)
 
 
 def write_jsonl(chunks: DataFrame, path: str) -> None:

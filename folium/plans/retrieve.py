@@ -18,6 +18,10 @@ from ..operators.embedding import Embedder, embedded
 from ..storage import checkpointed
 
 
+#: From queries (query_id, embedding) and a number to query_id, vec_id, similarity, rank.
+Search = Callable[[DataFrame, int], DataFrame]
+
+
 class Generator(Protocol):
     """Answers a prompt; called on the executors, a partition at a time."""
 
@@ -26,20 +30,21 @@ class Generator(Protocol):
     def answer(self, system: str, prompt: str) -> str: ...
 
 
-def candidates(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig(), *, expand: bool = True) -> DataFrame:
+def candidates(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig(), *, expand: bool = True, search: Search | None = None) -> DataFrame:
     """Scored candidates of each question, best first by `place`.
 
-    questions: question_id, question. index: chunk_id, source, text, embedding, labels and positions.
+    questions: question_id, question. index: chunk_id, source, text, embedding, labels and positions. search: finds the
+    nearest chunk_ids of query vectors, such as operators.clustered.searcher(); without it all of the index is compared.
     """
     variants = query_variants(F.col("question"), config.max_query_variants if expand else 1)
     asked = questions.select("question_id", "question", F.posexplode(variants).alias("variant", "phrase"))
     asked = embedded(asked, embedder, text="phrase", question=True)
-    keyed = index.withColumn("vec_id", F.xxhash64("chunk_id"))
     coded = asked.withColumn("query_id", F.col("question_id") * 16 + F.col("variant"))
-    hits = knn.top_k(coded.select("query_id", "embedding"), keyed.select("vec_id", "embedding"), config.candidates)
+    coded = coded.select("query_id", "embedding")
+    hits = search(coded, config.candidates) if search else knn.top_k(coded, index.select(F.col("chunk_id").alias("vec_id"), "embedding"), config.candidates)
     hits = hits.select(F.floor(F.col("query_id") / 16).alias("question_id"), F.pmod("query_id", F.lit(16)).cast("int").alias("variant"), "vec_id", "similarity", "rank")
     best = knn.floor_and_merge(hits, config.similarity_floor if expand else -1.0)
-    rows = best.join(questions, "question_id").join(keyed.drop("embedding"), "vec_id").drop("vec_id")
+    rows = best.withColumnRenamed("vec_id", "chunk_id").join(questions, "question_id").join(index.drop("embedding"), "chunk_id")
     out = scored(rows, labels=True)
     place = Window.partitionBy("question_id").orderBy(F.desc("adjusted_score"), F.desc("similarity"), "variant", "rank", "chunk_id")
     return out.withColumn("place", F.row_number().over(place))
@@ -52,7 +57,7 @@ def with_windows(found: DataFrame, index: DataFrame, config: EngineConfig = Engi
         return found.withColumns({"window_ids": F.array("chunk_id"), "window_text": own, "window_score": F.col("adjusted_score"), "window_rejected": F.col("rejected")})
     near = pages.neighbours(found.select("chunk_id", "document_id", "doc_pos", "section", "content_type").distinct(), index, config.window, same_section=config.window_same_section_only)
     parts = near.groupBy("centre_id").agg(F.sort_array(F.collect_list(F.struct("doc_pos", "chunk_id", "text"))).alias("w"))
-    merged = F.aggregate(F.slice(F.col("w"), 2, 1000), F.array_join(F.filter(F.split(F.col("w")[0].text, T.SPACE), lambda x: x != ""), " "), lambda a, x: T.merge_overlap(a, x.text, config.min_overlap_words, config.max_overlap_words))
+    merged = F.aggregate(F.slice(F.col("w"), F.lit(2), F.size("w")), F.array_join(F.filter(F.split(F.col("w")[0].text, T.SPACE), lambda x: x != ""), " "), lambda a, x: T.merge_overlap(a, x.text, config.min_overlap_words, config.max_overlap_words))
     wide = parts.select(F.col("centre_id").alias("chunk_id"), F.transform("w", lambda x: x.chunk_id).alias("window_ids"), merged.alias("window_text"))
     rows = found.join(wide, "chunk_id", "left")
     again = scored(rows.select("question_id", "chunk_id", "question", "source", F.col("window_text").alias("text"), "similarity", "document_type", "content_type", "topic", "source_quality", "section"), labels=True)
@@ -60,26 +65,26 @@ def with_windows(found: DataFrame, index: DataFrame, config: EngineConfig = Engi
     return rows.join(again, ["question_id", "chunk_id"])
 
 
-def explain(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
+def explain(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig(), *, search: Search | None = None) -> tuple[DataFrame, DataFrame]:
     """All candidates with windows, and what the selection made of those it visited."""
-    found = with_windows(candidates(questions, index, embedder, config), index, config)
+    found = with_windows(candidates(questions, index, embedder, config, search=search), index, config)
     return found, selection.select(found, config)
 
 
-def retrieve(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig()) -> DataFrame:
+def retrieve(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig(), *, search: Search | None = None) -> DataFrame:
     """The selected passages of each question, in order."""
-    found, debug = explain(questions, index, embedder, config)
+    found, debug = explain(questions, index, embedder, config, search=search)
     chosen = debug.where("selected").select("question_id", "chunk_id")
     return found.join(chosen, ["question_id", "chunk_id"]).withColumns({"similarity": F.round("similarity", 3), "score": F.round("window_score", 3)})
 
 
-def retrieve_plain(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig()) -> DataFrame:
+def retrieve_plain(questions: DataFrame, index: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig(), *, search: Search | None = None) -> DataFrame:
     """The command line's retrieval: one variant, no floor and no caps.
 
     Neighbours are visited by similarity; those go whose window is rejected or shares a chunk with one kept before.
     The rest are sorted by their window's score, and the best top_k stay, with their `place`.
     """
-    found = with_windows(candidates(questions, index, embedder, config, expand=False), index, config)
+    found = with_windows(candidates(questions, index, embedder, config, expand=False, search=search), index, config)
     kept = selection.unused_windows(found).select("question_id", "chunk_id")
     order = Window.partitionBy("question_id").orderBy(F.desc("window_score"), F.desc("similarity"), "rank", "chunk_id")
     return found.drop("place").join(kept, ["question_id", "chunk_id"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.top_k)

@@ -19,7 +19,7 @@ from .functions import records
 from .functions import rules as L
 from .functions import text as T
 from .functions.filters import where
-from .operators import chunking, dedup, knn, pages, selection, store
+from .operators import chunking, clustered, dedup, knn, pages, selection, store
 from .plans import index, ingest, retrieve
 from .sources.tables import backfilled, checked, chunk_lines, html_pages, point, table
 from .storage import shared_dir
@@ -134,6 +134,16 @@ def _(spark, folder):
     return knn.floor_and_merge(h, CONFIG.similarity_floor).select("question_id", "vec_id", F.col("variant").alias("matched_query"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("indexed_topk", f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, i.vec_id, {COSINE} AS sim FROM v q, v i WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(sim, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10")
+def indexed_topk(spark, d):
+    """Exact neighbours from a published index of clustered files."""
+    e, path = table(spark, d, "embeddings"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    meta = index.publish(e, path, write=clustered.write)
+    asked = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    found = clustered.searcher(spark, path, meta, key="vec_id", exact=True)(asked, 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("knn_null_vectors", f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 7 <> 0), s AS (SELECT q.vec_id AS query_id, i.vec_id, {COSINE} AS sim FROM v q, v i WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
 def _(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"))
