@@ -29,7 +29,7 @@ from ..storage import attach, checkpointed
 from .knn import BLOCK, _matrix, _unit, best, ids_of, ranked
 
 #: Vectors in the sample, lists at most, steps of the centroids, recall to fit and the neighbours it is fitted for.
-SAMPLE, LISTS, STEPS, RECALL, FITTED = 65_536, 4096, 8, 0.97, 10
+SAMPLE, LISTS, STEPS, RECALL, FITTED = 32_768, 4096, 8, 0.97, 10
 #: Bytes of query vectors that go to every task at once.
 QUERY_BYTES = 16 << 20
 #: Where the lists are told about, in a version's folder; Spark reads no folder with such a name as data.
@@ -55,14 +55,17 @@ def nearest_list(v: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def fitted_probe(sample: np.ndarray, c: np.ndarray, recall: float) -> int:
-    """How many lists, nearest first, hold that share of the sample's FITTED nearest neighbours of up to 512 of its vectors."""
-    q, own = sample[:512], nearest_list(sample, c)
-    sim = q @ sample.T
-    np.fill_diagonal(sim, -2)
-    near = np.argsort(-sim, axis=1)[:, : min(FITTED, max(1, len(sample) - 1))]
-    place = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)
-    ranks = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+    """How many lists, nearest first, hold that share of the sample's FITTED nearest neighbours of up to 256 of its vectors."""
+    own, ranks = nearest_list(sample, c), []
+    for i, q in enumerate(sample[:256]):
+        sim = sample @ q
+        sim[i] = -2
+        n = min(FITTED, max(1, len(sample) - 1))
+        near = np.argpartition(-sim, n - 1)[:n]
+        place = np.argsort(np.argsort(-(c @ q)))
+        ranks.append(place[own[near]])
+    ranks = np.sort(np.concatenate(ranks))
+    return int(ranks[int(np.ceil(recall * len(ranks))) - 1]) + 1
 
 
 def write(df: DataFrame, path: str, *, vector: str = "embedding", lists: int | None = None, sample: int = SAMPLE, recall: float = RECALL, seed: int = 7) -> dict:

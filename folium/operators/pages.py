@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import fixed_values as V
 from ..functions import text as T
+from . import running
 
 
 def repeated_lines(pages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -55,20 +56,20 @@ def skipped_pages(name: Column) -> Column:
 
 def joined_hyphens(pages: DataFrame) -> DataFrame:
     """pages (document, page, text) with words broken between pages joined, and no_space_before."""
-    w = Window.partitionBy("document").orderBy("page")
-    broken = F.col("text").rlike("[A-Za-zÀ-ÖØ-öø-ÿ]-$") & F.lead("text").over(w).rlike("^[a-zà-öø-ÿ]")
-    out = pages.withColumn("_broken", F.coalesce(broken, F.lit(False)))
-    out = out.withColumn("no_space_before", F.coalesce(F.lag("_broken").over(w), F.lit(False)))
-    return out.withColumn("text", F.when(F.col("_broken"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))).drop("_broken")
+    borders = F.struct(F.col("text").rlike("[A-Za-zÀ-ÖØ-öø-ÿ]-$").alias("breaks"), F.col("text").rlike("^[a-zà-öø-ÿ]").alias("goes_on"))
+    out = running.neighbours(pages.withColumn("_own", borders), ["document"], "page", F.col("_own"), "_prev", "_next")
+    broken = F.coalesce(F.col("_own.breaks") & F.col("_next.goes_on"), F.lit(False))
+    out = out.withColumn("no_space_before", F.coalesce(F.col("_prev.breaks") & F.col("_own.goes_on"), F.lit(False)))
+    return out.withColumn("text", F.when(broken, F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))).drop("_own", "_prev", "_next")
 
 
 def offsets(pages: DataFrame) -> DataFrame:
     """pages (document, page, text, no_space_before) with the start and stop of each in the document's joined text."""
-    w = Window.partitionBy("document").orderBy("page")
-    gap = F.when((F.row_number().over(w) == 1) | F.col("no_space_before"), 0).otherwise(1)
-    out = pages.withColumn("_gap", gap)
-    out = out.withColumn("stop", F.sum(F.length("text") + F.col("_gap")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("start", F.col("stop") - F.length("text")).drop("_gap")
+    gap = F.when(F.col("no_space_before"), 0).otherwise(1)
+    first = pages.groupBy(F.col("document").alias("_document")).agg(F.min_by(gap, "page").alias("_first"))
+    out = running.running_total(pages, ["document"], "page", F.length("text") + gap, "stop").join(first, F.col("document").eqNullSafe(F.col("_document")))
+    out = out.withColumn("stop", F.col("stop") - F.col("_first")).drop("_document", "_first")
+    return out.withColumn("start", F.col("stop") - F.length("text"))
 
 
 def overlapping_pages(units: DataFrame, spans: DataFrame, *, bucket: int = 4096) -> DataFrame:
@@ -110,8 +111,8 @@ def page_ranges(ranges: DataFrame, key: str) -> DataFrame:
 
 
 def positions(chunks: DataFrame, *, document: str = "document_id", order: str = "global_pos") -> DataFrame:
-    """chunks with doc_pos, the place within their document from 0."""
-    return chunks.withColumn("doc_pos", F.row_number().over(Window.partitionBy(document).orderBy(order)) - 1)
+    """chunks with doc_pos, the place within their document from 0; order is an integer column."""
+    return running.places(chunks, [document], order, "doc_pos")
 
 
 def neighbours(centres: DataFrame, chunks: DataFrame, window: int, *, same_section: bool = True) -> DataFrame:

@@ -114,8 +114,8 @@ def test_document_chunks(seed):
         assert got == plain_chunks(pages_, config)
 
 
-def test_sections_make_the_same_chunks(spark):
-    """Documents chunked by section, dealt out, and as one text each."""
+def test_segments_and_blocks_make_the_same_chunks(spark):
+    """Documents in segments and blocks, and as one text each."""
     rng, rows = random.Random(3), []
     bits = ["uma frase curta.", "Dr. Silva", "\n\nConduta: repetir", "\n\n- Exames: três", "Diagnóstico: não", "\n\nTratamento:", "vitamina C.", "\n\nfim", "y" * 300, "EXAMES : x"]
     for d in range(12):
@@ -130,6 +130,55 @@ def test_sections_make_the_same_chunks(spark):
     assert found == dict(want.values()) and len(found) > 60
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_small_segments_and_blocks(spark, seed):
+    """Borders everywhere: through sentences, long units, headings and overlaps, and pages longer than a segment."""
+    rng = random.Random(seed)
+    config = [EngineConfig(max_chars=60, overlap_chars=25, max_unit_chars=40), EngineConfig(max_chars=100, overlap_chars=70, max_unit_chars=60), EngineConfig(max_chars=90, overlap_chars=0, max_unit_chars=180)][seed]
+    bits = ["Dr. Silva viu", "3.5 mg", "et al. 2020", "A. B. Costa", "Conduta: repetir", "fim.", 'sim?"', "a; b: c, d", "\n\n", "palavra", "x" * 40, "y" * 700, "eflúvio 😀", "Tratamento:", "a.", "b.", "c."]
+    rows = []
+    for d in range(4):
+        for p in range(rng.choice([1, 40, 400])):
+            rows.append((None if d == 3 else f"d{d}", 3 * p, " ".join(rng.choice(bits) for _ in range(rng.choice([1, 3, 30, 200]))).strip(), rng.random() < 0.2 and p > 0))
+    df = spark.createDataFrame(rows, "document string, page int, text string, no_space_before boolean").repartition(3)
+    layout = chunking.Layout(segment=300, context=60, units=1)
+    raw = chunking.raw_chunks(df, config, layout).collect()
+    assert chunking.blocks(chunking.units(df, config, layout), config, layout).count() > 8
+    for d in {r[0] for r in rows}:
+        got = [(r.text, r.page, r.page_start, r.page_end, r.char_count, r.forced_split) for r in sorted((r for r in raw if r.document == d), key=lambda r: r.chunk_no)]
+        want = [tuple(c[k] for k in ("text", "page", "page_start", "page_end", "char_count", "forced_split")) for c in chunking.document_chunks(d, [r[1:] for r in rows if r[0] == d], config)]
+        assert got == want
+        assert sorted(r.chunk_no for r in raw if r.document == d) == list(range(len(want)))
+
+
+def test_one_long_section_is_many_tasks(spark):
+    """20 MB without a heading: equal to the text in memory, in as many groups as it has segments and blocks."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    texts = [". ".join(" ".join(rng.choices(words, k=rng.randrange(3, 25))) for _ in range(120)) + "." for _ in range(2000)]
+    df = spark.createDataFrame([("d", i, t, False) for i, t in enumerate(texts)], "document string, page int, text string, no_space_before boolean").repartition(16)
+    found = chunking.raw_chunks(df).select("chunk_no", "text", "page_start").collect()
+    got = [(r.text, r.page_start) for r in sorted(found, key=lambda r: r.chunk_no)]
+    assert got == [(c["text"], c["page_start"]) for c in chunking.document_chunks("d", [(i, t, False) for i, t in enumerate(texts)])]
+    spans = pages.offsets(df)
+    assert chunking.segments(spans).select("segment").distinct().count() >= 16
+    assert chunking.blocks(chunking.units(df)).count() >= 16
+
+
+def test_running_totals_places_and_neighbours(spark):
+    from folium.operators import running
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(9)) for i in rng.sample(range(-500, 9000), 1500)] + [("c", None, 4)]
+    df = spark.createDataFrame(rows, "g string, i long, v int").repartition(5)
+    total = running.running_total(df, ["g"], "i", F.col("v"), "t", width=100)
+    out = running.places(running.neighbours(total, ["g"], "i", F.struct("v"), "p", "n", width=7), ["g"], "i", "at", width=64)
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1]))
+        got = sorted((r for r in out.collect() if r.g == g), key=lambda r: r["at"])
+        assert [(r.i, r.t, r.p and r.p.v, r.n and r.n.v) for r in got] == [(r[1], sum(x[2] for x in own[: k + 1]), own[k - 1][2] if k else None, own[k + 1][2] if k + 1 < len(own) else None) for k, r in enumerate(own)]
+
+
 def test_chunks_of_the_reference_cases():
     text = "Primeira frase curta. Segunda frase curta. Terceira frase curta."
     assert [c["text"] for c in chunking.document_chunks("AAG-Caso3.pdf", [(1, text, False)])] == [text]
