@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import chunking, clustered, pages
 from ..operators.embedding import Embedder, embedded
+from ..storage import kept
 from .index import publish
 
 
@@ -19,7 +20,7 @@ def prepared(raw: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame
     kept = raw.where((F.col("page") > pages.skipped_pages(F.col("document"))) & (F.trim("text") != ""))
     clean = pages.without_repeated_lines(kept, pages.repeated_lines(raw, config), config)
     clean = clean.select("document", "page", pages.cleaned(F.col("text")).alias("text")).where("text <> ''")
-    return pages.joined_hyphens(clean)
+    return pages.joined_hyphens(kept(clean))  # which is read twice below
 
 
 def textless(raw: DataFrame, clean: DataFrame) -> DataFrame:
