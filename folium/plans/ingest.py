@@ -17,8 +17,8 @@ def prepared(raw: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame
 
     raw: document, page, text.
     """
-    kept = raw.where((F.col("page") > pages.skipped_pages(F.col("document"))) & (F.trim("text") != ""))
-    clean = pages.without_repeated_lines(kept, pages.repeated_lines(raw, config), config)
+    own = raw.where((F.col("page") > pages.skipped_pages(F.col("document"))) & (F.trim("text") != ""))
+    clean = pages.without_repeated_lines(own, pages.repeated_lines(raw, config), config)
     clean = clean.select("document", "page", pages.cleaned(F.col("text")).alias("text")).where("text <> ''")
     return pages.joined_hyphens(kept(clean))  # which is read twice below
 
