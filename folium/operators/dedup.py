@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..storage import checkpointed
+from .components import classes
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -37,3 +38,19 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.86, size: int = 5)
     left, right = sets.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("id_b"), F.col("s").alias("sb"))
     scored = pairs.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", T.set_similarity(F.col("sa"), F.col("sb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
+
+
+def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.86, size: int = 5) -> DataFrame:
+    """id, text_id, class_id and n_links of every row of docs (id, text): as many rows as documents, however large a class.
+
+    text_id is the smallest id with the same normalised text, class_id the smallest that links of near duplicates lead to,
+    n_links how many other texts the text is linked with. Texts without words, and null ones, are classes of their own.
+    """
+    keyed = docs.select("id", F.nullif(T.normalize(F.col("text")), F.lit("")).alias("t")).select("id", F.sha2(F.col("t").cast("binary"), 256).alias("key"))
+    firsts = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("text_id"))
+    rows = keyed.join(firsts, "key", "left").select("id", F.coalesce("text_id", "id").alias("text_id"))
+    links = checkpointed(near_duplicates(docs, threshold=threshold, size=size).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a")))
+    found = ends.groupBy(F.col("a").alias("text_id")).agg(F.count("*").alias("n_links")).join(classes(links).withColumnRenamed("id", "text_id"), "text_id")
+    out = rows.join(found, "text_id", "left")
+    return out.select("id", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -171,6 +171,17 @@ w AS (SELECT id, string_split(t, ' ') AS w FROM u), s AS (SELECT DISTINCT id, CA
 c AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)"""
 
 
+NEAR_CLASSES = SHINGLES.replace("WITH ", "WITH RECURSIVE ", 1) + """, l AS (SELECT id_a, id_b FROM p JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE greatest(k / (a.n + b.n - k), k / least(a.n, b.n)) >= 0.86),
+e AS (SELECT id_a AS a, id_b AS b FROM l UNION ALL SELECT id_b, id_a FROM l), r AS (SELECT DISTINCT a AS id, a AS low FROM e UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(low) AS class_id FROM r GROUP BY id), k AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id AS id, coalesce(u.id, doc_id) AS text_id, coalesce(class_id, u.id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM n LEFT JOIN u ON u.t = n.t LEFT JOIN m ON m.id = u.id LEFT JOIN k ON k.id = u.id"""
+
+
+@query("near_dup_classes", NEAR_CLASSES)
+def _(spark, folder):
+    return dedup.near_duplicate_classes(documents(spark, folder).select(F.col("doc_id").alias("id"), "text"), threshold=CONFIG.max_content_similarity)
+
+
 @query("near_dup_pairs", SHINGLES + " SELECT id_a, id_b, round(greatest(k / (a.n + b.n - k), k / least(a.n, b.n)), 6) AS similarity FROM p JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE greatest(k / (a.n + b.n - k), k / least(a.n, b.n)) >= 0.86")
 def _(spark, folder):
     d = documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
@@ -358,15 +369,16 @@ def _(spark, folder):
     return retrieve.evaluated(eval_cases(spark), rows).select(F.col("name").cast("long").alias("question_id"), "n", "has_expected", "has_forbidden_source", "forbidden_types_found", "passed")
 
 
-@query("unused_windows", """WITH RECURSIVE c AS (SELECT doc_id % 4 AS question_id, doc_id, n_chars % 5 = 0 AS rejected, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+@query("unused_windows", """WITH RECURSIVE c AS (SELECT doc_id // 100 AS question_id, doc_id, n_chars % 5 = 0 AS rejected, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 v AS (SELECT DISTINCT question_id, 0::BIGINT AS rank, []::BIGINT[] AS used, NULL::BIGINT AS kept FROM c UNION ALL SELECT question_id, rank, CASE WHEN ok THEN list_concat(used, w) ELSE used END, CASE WHEN ok THEN doc_id END FROM
-(SELECT c.*, used, [doc_id - 4, doc_id, doc_id + 4] AS w, NOT rejected AND NOT list_has_any(used, [doc_id - 4, doc_id, doc_id + 4]) AS ok FROM v JOIN c ON c.question_id = v.question_id AND c.rank = v.rank + 1 WHERE c.rank <= 60))
+(SELECT c.*, used, [doc_id - 4, doc_id, doc_id + 4] AS w, NOT rejected AND NOT list_has_any(used, [doc_id - 4, doc_id, doc_id + 4]) AS ok FROM v JOIN c ON c.question_id = v.question_id AND c.rank = v.rank + 1))
 SELECT question_id, kept::VARCHAR AS chunk_id FROM v WHERE kept IS NOT NULL""")
 def _(spark, folder):
     d, i = table(spark, folder, "documents"), F.col("doc_id")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("n_chars"), "doc_id"))
     window = F.array((i - 4).cast("string"), i.cast("string"), (i + 4).cast("string"))
-    rows = d.select((i % 4).alias("question_id"), "doc_id", "n_chars").withColumn("rank", rank).where("rank <= 60")  # as many candidates as a question can have
+    # a question has a hundred candidates, about as many as retrieval gives it
+    rows = d.select(F.floor(i / 100).alias("question_id"), "doc_id", "n_chars").withColumn("rank", rank)
     return selection.unused_windows(rows.select("question_id", i.cast("string").alias("chunk_id"), "rank", window.alias("window_ids"), (F.col("n_chars") % 5 == 0).alias("window_rejected")))
 
 
@@ -474,7 +486,81 @@ def _(spark, folder):
     return chunking.audit(documents(spark, folder), CONFIG, length="n_chars")
 
 
-@query("chunk_documents")
+# --- chunks. SQL walks a document's units one after the other; MASK stands for a dot that ends no sentence, CUT for an end.
+
+MASK, CUT, WORD_START = "chr(57345)", "chr(1)", r"(^|[^\pL\pN_])"
+
+
+def masked_sql(c: str) -> str:
+    """Dots of abbreviations, numbers and initials masked. What looks around matches too, so rules that may meet are used twice."""
+    dot = lambda c, p, to: f"regexp_replace({c}, {lit(p)}, {to}, 'g')"
+    for a in sorted(V.ABBREVIATIONS, key=len, reverse=True):
+        c = dot(c, f"(?i){WORD_START}({re.escape(a[:-1])})\\.", f"'\\1\\2' || {MASK}")
+    for _ in range(2):
+        c = dot(c, r"(\p{Nd})\.(\p{Nd})", f"'\\1' || {MASK} || '\\2'")
+    c = dot(c, r"(?i)\b(et al)\.(\s*[,;(]|\s*\d{4})", f"'\\1' || {MASK} || '\\2'")
+    for _ in range(2):
+        c = dot(c, WORD_START + r"([A-Z])\.(\s*[A-ZÀ-ÖØ-Þ])", f"'\\1\\2' || {MASK} || '\\3'")
+    return c
+
+
+def cut_sql(rest: str) -> str:
+    """Where a long unit is cut: behind the last of the best separator in its first max_unit_chars that leaves enough."""
+    most, window = CONFIG.max_unit_chars, f"left({rest}, {CONFIG.max_unit_chars})"
+    at = lambda x: f"({most} - strpos(reverse({window}), {lit(x[::-1])}) + 1 - {len(x)})"
+    cuts = [f"WHEN strpos(reverse({window}), {lit(x[::-1])}) > 0 AND {at(x)} >= {int(most * CONFIG.cut_ratio)} THEN {at(x)} + {len(x.rstrip())}" for x in V.CUT_AT]
+    return f"CASE WHEN length({rest}) <= {most} THEN length({rest}) {' '.join(cuts)} ELSE {most} END"
+
+
+BLANKS = "' ' || chr(10) || chr(9) || chr(13)"
+UNITS_SQL = rf"""whole AS (SELECT document, string_agg(gap || text, '' ORDER BY page) AS text FROM gaps GROUP BY document),
+spans AS (SELECT document, page, (sum(length(gap || text)) OVER (PARTITION BY document ORDER BY page) - length(text))::BIGINT AS start, (sum(length(gap || text)) OVER (PARTITION BY document ORDER BY page))::BIGINT AS stop FROM gaps),
+marked AS (SELECT document, regexp_replace(regexp_replace({masked_sql("text")}, '([.!?]["”’)\]]*)(\s)', '\1' || {CUT} || '\2', 'g'), '\n\n', {CUT} || chr(10) || chr(10), 'g') AS text FROM whole),
+parts AS (SELECT document, unnest(string_split(text, {CUT})) AS t, unnest(range(len(string_split(text, {CUT})))) AS k FROM marked),
+placed AS (SELECT document, replace(t, {MASK}, '.') AS t, (coalesce(sum(length(t)) OVER (PARTITION BY document ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(t) - length(ltrim(t, {BLANKS})))::BIGINT AS start FROM parts),
+sentence AS (SELECT document, start, trim(t, {BLANKS}) AS t FROM placed WHERE trim(t, {BLANKS}) <> ''),
+piece AS (SELECT document, start, t AS rest, NULL::VARCHAR AS text, 0::BIGINT AS own FROM sentence WHERE length(t) > {CONFIG.max_unit_chars}
+UNION ALL SELECT document, start + cut + length(substr(rest, cut + 1)) - length(ltrim(substr(rest, cut + 1), {BLANKS})), ltrim(substr(rest, cut + 1), {BLANKS}), rtrim(left(rest, cut), {BLANKS}), start FROM (SELECT *, ({cut_sql("rest")})::BIGINT AS cut FROM piece WHERE rest <> '')),
+unit AS (SELECT document, start, t AS text, false AS forced FROM sentence WHERE length(t) <= {CONFIG.max_unit_chars} UNION ALL SELECT document, own, text, true FROM piece WHERE text IS NOT NULL),
+paged_unit AS (SELECT unit.document, unit.start, any_value(unit.text) AS text, any_value(forced) AS forced, min(page) AS low, max(page) AS high FROM unit JOIN spans ON spans.document = unit.document AND spans.start < unit.start + length(unit.text) AND spans.stop > unit.start GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT document, row_number() OVER w - 1 AS i, start, text, forced, low, high, length(text) AS len, sum(length(text) + 1) OVER w - length(text) - 1 AS upto, regexp_matches(text, {lit("^(?:[-•]\\s*)?" + V.SECTION_START.replace("\\s", "\\s"))}, 'i') AS heading FROM paged_unit WINDOW w AS (PARTITION BY document ORDER BY start))"""
+MOST, OVERLAP = CONFIG.max_chars, CONFIG.overlap_chars
+PACKED_SQL = f"""n AS MATERIALIZED (SELECT document, count(*) AS n FROM u GROUP BY document),
+pack AS (SELECT document, -1::BIGINT AS c, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS first, 0::BIGINT AS fresh FROM n
+UNION ALL SELECT t.document, t.c + 1, t.first, t.stop, CASE WHEN t.tail < t.stop AND after.upto + after.len - tailed.upto > {MOST} THEN t.stop ELSE t.tail END, t.stop FROM (
+SELECT z.document, z.c, z.n, z.first, z.stop, CASE WHEN z.stop < z.n AND NOT any_value(here.heading) AND any_value(last.len) <= {max(OVERLAP, MOST // 2)} THEN least(greatest(z.stop - count(*) FILTER (back.upto >= here.upto - 1 - {OVERLAP}), z.first), z.stop - 1) ELSE z.stop END AS tail FROM (
+SELECT p.document, p.c, p.first, n.n, least(greatest(p.first + count(*) FILTER (u.upto + u.len + 1 <= f.upto + {MOST} + 1), p.fresh + 1), coalesce(min(u.i) FILTER (u.heading AND u.i > p.fresh), n.n)) AS stop
+FROM pack p JOIN n ON n.document = p.document JOIN u f ON f.document = p.document AND f.i = p.first JOIN u ON u.document = p.document AND u.i >= p.first AND u.i < p.first + {MOST} WHERE p.fresh < n.n GROUP BY p.document, p.c, p.first, p.fresh, n.n) z
+LEFT JOIN u here ON here.document = z.document AND here.i = z.stop JOIN u last ON last.document = z.document AND last.i = z.stop - 1 JOIN u back ON back.document = z.document AND back.i < z.stop AND back.i >= z.stop - {MOST} GROUP BY z.document, z.c, z.n, z.first, z.stop) t
+LEFT JOIN u after ON after.document = t.document AND after.i = t.stop LEFT JOIN u tailed ON tailed.document = t.document AND tailed.i = t.tail),
+cut AS (SELECT pack.document, c AS chunk_no, string_agg(u.text, ' ' ORDER BY i) AS text, arg_min(low, i) AS page, min(low)::INT AS page_start, max(high)::INT AS page_end, bool_or(forced) AS forced_split FROM pack JOIN u ON u.document = pack.document AND i >= a AND i < b WHERE c >= 0 GROUP BY pack.document, c)"""
+PAGES_SQL = REPEATED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", m AS (SELECT l.document, l.page, l.line, l.pos, g.signature IS NOT NULL AS gone FROM l LEFT JOIN g ON g.document = l.document AND length(line) BETWEEN 15 AND 220 AND g.signature = {SIGNATURE}),
+kept AS (SELECT document, page, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text FROM m GROUP BY 1, 2),
+clean AS (SELECT document, page, {cleaned_sql("text")} AS text FROM kept WHERE page > 0),
+full_pages AS (SELECT * FROM clean WHERE text <> ''),
+near AS (SELECT *, lead(text) OVER w AS following, lag(text) OVER w AS previous FROM full_pages WINDOW w AS (PARTITION BY document ORDER BY page)),
+gaps AS (SELECT document, page, CASE WHEN regexp_matches(text, '[A-Za-zÀ-ÖØ-öø-ÿ]-$') AND regexp_matches(following, '^[a-zà-öø-ÿ]') THEN left(text, -1) ELSE text END AS text,
+CASE WHEN previous IS NULL OR (regexp_matches(previous, '[A-Za-zÀ-ÖØ-öø-ÿ]-$') AND regexp_matches(text, '^[a-zà-öø-ÿ]')) THEN '' ELSE ' ' END AS gap FROM near)"""
+RAW_PAGES_SQL = "WITH RECURSIVE gaps AS (SELECT source AS document, doc_id AS page, text, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 THEN '' ELSE ' ' END AS gap FROM documents)"
+CHUNKED_SQL = f"""WITH d AS ({PAGES_SQL}, {UNITS_SQL}, {PACKED_SQL}, hashed AS (SELECT *, document AS source, regexp_replace(regexp_replace(lower(document), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS document_id, sha256(lower({collapse_sql("text")})) AS content_hash FROM cut)
+SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY document_id, content_hash ORDER BY chunk_no) = 1),{LABELS_SQL}
+SELECT document_id || '_' || printf('%05d', chunk_no) || '_' || left(content_hash, 10) AS chunk_id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_no) - 1 AS doc_pos, page_start, page_end, length(text)::INT AS char_count, content_hash, forced_split, document_type, content_type, section FROM q"""
+
+
+@query("sentence_units", f"{RAW_PAGES_SQL}, {UNITS_SQL} SELECT document, start, len, low::INT AS page_low, high::INT AS page_high, heading, forced FROM u")
+def _(spark, folder):
+    """Units of raw texts, which have longer sentences and other white space than cleaned ones."""
+    u = chunking.units(paged(spark, folder).withColumn("no_space_before", F.lit(False)), CONFIG)
+    return u.select("document", "start", F.length("text").cast("long").alias("len"), "page_low", "page_high", "heading", "forced")
+
+
+@query("packed_chunks", f"{RAW_PAGES_SQL}, {UNITS_SQL}, {PACKED_SQL} SELECT document, chunk_no, md5(text) AS text_md5, length(text)::INT AS char_count, page::INT AS page, page_start, page_end, forced_split FROM cut")
+def _(spark, folder):
+    raw = chunking.raw_chunks(paged(spark, folder).withColumn("no_space_before", F.lit(False)), CONFIG)
+    return raw.select("document", "chunk_no", F.md5(F.col("text").cast("binary")).alias("text_md5"), "char_count", "page", "page_start", "page_end", "forced_split")
+
+
+@query("chunk_documents", CHUNKED_SQL)
 def _(spark, folder):
     return ingest.chunked(paged(spark, folder), CONFIG).select("chunk_id", "document_id", "doc_pos", "page_start", "page_end", "char_count", "content_hash", "forced_split", "document_type", "content_type", "section")
 
