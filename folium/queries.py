@@ -20,6 +20,7 @@ from .functions import rules as L
 from .functions import text as T
 from .functions.filters import where
 from .operators import chunking, clustered, dedup, knn, pages, selection, store
+from .operators.embedding import HashingEmbedder, embedded
 from .plans import index, ingest, retrieve
 from .sources.tables import backfilled, checked, chunk_lines, html_pages, point, table
 from .storage import shared_dir
@@ -267,8 +268,10 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     return L.scored(L.with_texts(L.labelled(d, keep=True)).select("*", F.inline(asked)), labels=True)
 
 
+ASKED_SQL = " UNION ALL ".join(f"SELECT {i}::BIGINT AS question_id, {lit(q)} AS question" for i, q in QUESTIONS)
+
+
 def scored_sql() -> str:
-    asked = " UNION ALL ".join(f"SELECT {i}::BIGINT AS question_id, {lit(q)} AS question" for i, q in QUESTIONS)
     step = lambda c, d: f"+ CASE WHEN {c} THEN {d} ELSE 0 END"
     covered = f"(content_type = 'adverse_event' OR {any_sql('f', V.ADVERSE_EVENT)})"
     rules = [
@@ -284,7 +287,7 @@ def scored_sql() -> str:
         ("adverse_missed", f"asks_procedure AND has_adverse_event AND NOT {covered} AND content_type = 'procedure'", "-0.04::DOUBLE"), ("adverse_source", f"asks_procedure AND has_adverse_event AND {any_sql('s', V.PENALISED_SOURCES)}", "-0.08::DOUBLE"),
     ]
     why = ", ".join(f"CASE WHEN {c} THEN {lit(V.REASONS[k])} END" for k, c, _ in [("coverage", "cov >= 0.45", None), ("consent", "document_type = 'consent_form' AND NOT asks_consent", None), *rules])
-    return f"""WITH d AS (SELECT doc_id, source, text, (1 / (1 + doc_id % 7))::DOUBLE AS sim FROM documents), {LABELS_SQL}, a AS ({asked}),
+    return f"""WITH d AS (SELECT doc_id, source, text, (1 / (1 + doc_id % 7))::DOUBLE AS sim FROM documents), {LABELS_SQL}, a AS ({ASKED_SQL}),
 b AS (SELECT *, {FLAGS_SQL} FROM (SELECT *, {norm_sql("question")} AS n FROM a)), asked AS ({tokens_sql("b", "question_id", "n")}), an AS (SELECT question_id, count(*) AS total FROM asked GROUP BY 1),
 dt AS ({tokens_sql("q", "doc_id", norm_sql("source || ' ' || text"))}), m AS (SELECT question_id, doc_id, count(*) AS k FROM asked JOIN dt USING (w) GROUP BY 1, 2),
 x AS (SELECT q.*, b.* EXCLUDE (n, question), coalesce(m.k, 0) / an.total AS cov FROM q CROSS JOIN b JOIN an USING (question_id) LEFT JOIN m USING (question_id, doc_id)),
@@ -322,7 +325,7 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("greedy_select", recursive(scored_sql()) + f""", r AS (SELECT *, {ORDERED} AS place FROM z), t AS (SELECT DISTINCT doc_id FROM r WHERE place <= 128),
+GREEDY_SQL = f""", r AS (SELECT *, {ORDERED} AS place FROM z), t AS (SELECT DISTINCT doc_id FROM r WHERE place <= 128),
 ws AS (SELECT doc_id, string_split(f, ' ') AS w FROM q JOIN t USING (doc_id) WHERE f <> ''),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM ws)),
 k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), pm AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
@@ -331,8 +334,10 @@ e AS (SELECT r.*, coalesce(twins, []) AS twins FROM r LEFT JOIN tw ON a = doc_id
 v AS (SELECT DISTINCT question_id, 0::BIGINT AS place, []::BIGINT[] AS chosen, []::VARCHAR[] AS used, NULL::VARCHAR AS why, NULL::BIGINT AS twin FROM e
 UNION ALL SELECT question_id, place, CASE WHEN why IS NULL THEN list_append(chosen, doc_id) ELSE chosen END, CASE WHEN why IS NULL THEN list_append(used, source) ELSE used END, why, CASE WHEN why = 'near_duplicate' THEN near[1] END FROM
 (SELECT *, CASE WHEN rejected THEN 'policy' WHEN adjusted_score < 0.5 THEN 'score' WHEN list_contains(used, source) THEN 'source_cap' WHEN len(near) > 0 THEN 'near_duplicate' END AS why FROM
-(SELECT e.question_id, e.place, v.chosen, v.used, e.doc_id, e.source, e.rejected, e.adjusted_score, list_filter(v.chosen, lambda x: list_contains(e.twins, x)) AS near FROM v JOIN e ON e.question_id = v.question_id AND e.place = v.place + 1 WHERE len(v.chosen) < 4)))
-SELECT question_id, doc_id::VARCHAR AS chunk_id, source, place::INT AS place, why IS NULL AS selected, why AS discard_reason, adjusted_score, twin::VARCHAR AS duplicate_of FROM v JOIN e USING (question_id, place)""")
+(SELECT e.question_id, e.place, v.chosen, v.used, e.doc_id, e.source, e.rejected, e.adjusted_score, list_filter(v.chosen, lambda x: list_contains(e.twins, x)) AS near FROM v JOIN e ON e.question_id = v.question_id AND e.place = v.place + 1 WHERE len(v.chosen) < 4)))"""
+
+
+@query("greedy_select", recursive(scored_sql()) + GREEDY_SQL + """ SELECT question_id, doc_id::VARCHAR AS chunk_id, source, place::INT AS place, why IS NULL AS selected, why AS discard_reason, adjusted_score, twin::VARCHAR AS duplicate_of FROM v JOIN e USING (question_id, place)""")
 def _(spark, folder):
     own = F.col("doc_id").cast("string")
     found = ranked(spark, folder).withColumns({"chunk_id": own, "window_ids": F.array(own), "window_text": F.col("text"), "window_score": F.col("adjusted_score"), "window_rejected": F.col("rejected")})
@@ -369,6 +374,67 @@ def _(spark, folder):
     return retrieve.evaluated(eval_cases(spark), rows).select(F.col("name").cast("long").alias("question_id"), "n", "has_expected", "has_forbidden_source", "forbidden_types_found", "passed")
 
 
+# --- retrieval end to end: passages of `benchmark` ask an index of documents, by vectors of hashed words
+
+VECTOR = 64
+
+
+def crc32_sql(c: str) -> str:
+    """CRC-32 of ASCII text, with the table crc."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({c}) + 1), lambda i: ascii({c}[i])::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+def hits_of_questions(phrases: str, floor: float) -> str:
+    """hits: of each question the best documents over its phrases (question_id, variant, phrase), with their scores z."""
+    vectors = f"""bits AS (SELECT i, 0 AS k, i AS v FROM (SELECT unnest(range(256))::BIGINT AS i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8), phrases AS ({phrases}),
+said AS (SELECT 'd' AS kind, doc_id AS id, 0::BIGINT AS variant, unnest(string_split(f, ' ')) AS w FROM q UNION ALL SELECT 'q', question_id, variant, unnest(string_split({norm_sql("phrase")}, ' ')) FROM phrases),
+known AS (SELECT w, {crc32_sql("w")} AS h FROM (SELECT DISTINCT w FROM said WHERE w <> ''), crc),
+part AS (SELECT kind, id, variant, h % {VECTOR} AS b, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END) AS v FROM said JOIN known USING (w) GROUP BY ALL),
+size AS (SELECT kind, id, variant, sqrt(sum(v * v)) AS size FROM part GROUP BY ALL),
+sims AS (SELECT a.id AS question_id, a.variant, b.id AS doc_id, round(sum(a.v * b.v) / (any_value(na.size) * any_value(nb.size)), 12)::DOUBLE AS sim FROM part a JOIN part b ON a.b = b.b AND a.kind = 'q' AND b.kind = 'd' JOIN size na ON na.kind = 'q' AND na.id = a.id AND na.variant = a.variant JOIN size nb ON nb.kind = 'd' AND nb.id = b.id WHERE na.size > 0 AND nb.size > 0 GROUP BY 1, 2, 3),
+near AS (SELECT *, row_number() OVER (PARTITION BY question_id, variant ORDER BY sim DESC, doc_id::VARCHAR) AS rank FROM sims),
+hits AS (SELECT * FROM near WHERE rank <= {CONFIG.candidates} AND sim >= {floor} QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY sim DESC, variant, rank) = 1)"""
+    sql = scored_sql().replace(", (1 / (1 + doc_id % 7))::DOUBLE AS sim", "").replace(ASKED_SQL, "SELECT item_id AS question_id, text AS question FROM benchmark")
+    sql = sql.replace("x AS (SELECT q.*, b.* EXCLUDE (n, question),", f"{vectors}, x AS (SELECT q.*, b.* EXCLUDE (n, question), sim, variant, rank,")
+    sql = sql.replace("FROM q CROSS JOIN b JOIN an USING (question_id)", "FROM hits JOIN q USING (doc_id) JOIN b USING (question_id) JOIN an USING (question_id)")
+    return recursive(sql.replace("z AS (SELECT question_id, doc_id, source, sim,", "z AS (SELECT question_id, doc_id, source, sim, variant, rank,"))
+
+
+PHRASES = variants_sql().replace(TURNS, f"WITH t AS (SELECT item_id AS question_id, text, {norm_sql('text')} AS n FROM benchmark)").replace("conv_id, turn, place, variant FROM r", "question_id, place - 1 AS variant, variant AS phrase FROM r").replace("conv_id, turn", "question_id")
+BEST_FIRST = "row_number() OVER (PARTITION BY question_id ORDER BY adjusted_score DESC, sim DESC, variant, rank, doc_id::VARCHAR)"
+
+
+def asked_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, HashingEmbedder, Callable]:
+    """Questions, the published index of documents, its model and its search."""
+    model, path = HashingEmbedder(VECTOR), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    d = L.labelled(documents(spark, folder)).withColumns({"chunk_id": F.col("doc_id").cast("string"), "document_id": F.col("source"), "doc_pos": F.col("doc_id"), "page_start": F.col("doc_id"), "page_end": F.col("doc_id")})
+    meta = index.publish(embedded(d.drop("lang", "n_chars", "doc_id"), model), path, write=clustered.write, embedding_model=model.name)
+    built = index.load(spark, path, model=model.name).drop("list", "_cosine")
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return asked, built, model, clustered.searcher(spark, path, meta, key="chunk_id", exact=True)
+
+
+@query("retrieve_plain", hits_of_questions("SELECT item_id AS question_id, 0::BIGINT AS variant, trim(text) AS phrase FROM benchmark", -1.0) + f", r AS (SELECT *, {BEST_FIRST} AS place FROM z WHERE NOT rejected) SELECT question_id, doc_id::VARCHAR AS chunk_id, place::INT AS place, rank::INT AS rank, round(sim, 6) AS similarity, adjusted_score FROM r WHERE place <= {CONFIG.top_k}")
+def _(spark, folder):
+    asked, built, model, search = asked_index(spark, folder)
+    found = retrieve.retrieve_plain(asked, built, model, CONFIG, search=search)
+    return found.select("question_id", "chunk_id", "place", "rank", F.round("similarity", 6).alias("similarity"), "adjusted_score")
+
+
+@query("retrieve_candidates", hits_of_questions(PHRASES, CONFIG.similarity_floor) + f" SELECT question_id, doc_id::VARCHAR AS chunk_id, {BEST_FIRST}::INT AS place, variant::INT AS variant, rank::INT AS rank, round(sim, 6) AS similarity, adjusted_score, lexical_coverage, rejected FROM z")
+def _(spark, folder):
+    asked, built, model, search = asked_index(spark, folder)
+    found = retrieve.candidates(asked, built, model, CONFIG, search=search)
+    return found.select("question_id", "chunk_id", "place", "variant", "rank", F.round("similarity", 6).alias("similarity"), "adjusted_score", "lexical_coverage", "rejected")
+
+
+@query("retrieve_passages", hits_of_questions(PHRASES, CONFIG.similarity_floor) + GREEDY_SQL.replace(ORDERED, BEST_FIRST) + " SELECT question_id, doc_id::VARCHAR AS chunk_id, source, place::INT AS place, round(sim, 3) AS similarity, round(adjusted_score, 3) AS score FROM v JOIN e USING (question_id, place) WHERE why IS NULL")
+def _(spark, folder):
+    asked, built, model, search = asked_index(spark, folder)
+    return retrieve.retrieve(asked, built, model, CONFIG, search=search).select("question_id", "chunk_id", "source", "place", "similarity", "score")
+
+
 @query("unused_windows", """WITH RECURSIVE c AS (SELECT doc_id // 100 AS question_id, doc_id, n_chars % 5 = 0 AS rejected, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 v AS (SELECT DISTINCT question_id, 0::BIGINT AS rank, []::BIGINT[] AS used, NULL::BIGINT AS kept FROM c UNION ALL SELECT question_id, rank, CASE WHEN ok THEN list_concat(used, w) ELSE used END, CASE WHEN ok THEN doc_id END FROM
 (SELECT c.*, used, [doc_id - 4, doc_id, doc_id + 4] AS w, NOT rejected AND NOT list_has_any(used, [doc_id - 4, doc_id, doc_id + 4]) AS ok FROM v JOIN c ON c.question_id = v.question_id AND c.rank = v.rank + 1))
