@@ -22,7 +22,7 @@ from .functions.filters import where
 from .operators import chunking, clustered, dedup, knn, pages, selection, store
 from .operators.embedding import HashingEmbedder, embedded
 from .plans import index, ingest, retrieve
-from .sources.tables import backfilled, checked, chunk_lines, html_pages, point, table
+from .sources.tables import backfilled, cases, checked, chunk_lines, html_pages, point, table
 from .storage import shared_dir
 
 CONFIG = EngineConfig()
@@ -724,6 +724,58 @@ def _(spark, folder):
     return index.load(spark, path, model="m").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")).withColumn("published", F.lit(first["rows"]).cast("long"))
 
 
+@query("index_health", "SELECT count(*) > 0 AS ready, count(*) AS rows, 'm' AS embedding_model FROM documents")
+def _(spark, folder):
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.publish(table(spark, folder, "documents").select("doc_id", "source"), path, embedding_model="m")
+    return index.health(spark, path).select("ready", "rows", "embedding_model")
+
+
+@query("jsonl_written", f"SELECT doc_id::VARCHAR AS chunk_id, source AS document_id, md5(text) AS text_md5, doc_id::INT AS page, doc_id % 2 = 0 AS forced_split FROM documents WHERE {collapse_sql('text')} <> ''")
+def _(spark, folder):
+    """Chunk records written as JSON lines and read back."""
+    path, i = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}", F.col("doc_id")
+    rows = table(spark, folder, "documents").select(i.cast("string").alias("chunk_id"), F.col("source").alias("document_id"), "text", "source", i.cast("int").alias("page"), (i % 2 == 0).alias("forced_split"))
+    ingest.write_jsonl(rows, path)
+    good, _ = checked(chunk_lines(spark, path))
+    return good.select("chunk_id", "document_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "page", "forced_split")
+
+
+@query("case_file", "SELECT item_id::VARCHAR AS name, text AS question, array_to_string(string_split(text, ' ')[1:2], '|') AS terms, 'src7' AS sources, 0 AS n_types FROM benchmark")
+def _(spark, folder):
+    """A file of cases, a JSON list, written from `benchmark` and read as a source."""
+    path = f"{shared_dir(spark)}/cases-{uuid.uuid4().hex}"
+    case = F.struct(F.col("item_id").cast("string").alias("name"), F.col("text").alias("question"), F.slice(F.split("text", " "), 1, 2).alias("expected_any_terms"), F.array(F.lit("src7")).alias("forbidden_source_terms"), F.array().cast("array<string>").alias("forbidden_content_types"))
+    table(spark, folder, "benchmark").groupBy(F.floor(F.col("item_id") / 50)).agg(F.to_json(F.collect_list(case)).alias("value")).select("value").write.text(path)
+    got = cases(spark, path)
+    return got.select("name", "question", F.array_join("expected_any_terms", "|").alias("terms"), F.array_join("forbidden_source_terms", "|").alias("sources"), F.size("forbidden_content_types").alias("n_types"))
+
+
+class Rehearsed:
+    """A model whose answers depend on the question's length: it fails, cites, or cites only when asked again."""
+
+    name = "rehearsed"
+
+    def answer(self, system: str, prompt: str) -> str:
+        n = len(prompt.split("<caso>\n", 1)[1].split("\n</caso>", 1)[0])
+        if n % 5 == 0:
+            raise RuntimeError("no answer")
+        if "<resposta_provisoria>" in prompt:
+            return "again [1]" if n % 3 else "again"
+        return "first [1]" if n % 2 else "first"
+
+
+@query("answered_turns", """WITH t AS (SELECT conv_id, turn, length(text) AS n, trim(text) = '' AS blank FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN blank THEN 'vazio' WHEN turn % 4 = 2 THEN 'sem_material' WHEN n % 5 = 0 THEN 'erro_modelo' WHEN n % 2 = 1 OR n % 3 <> 0 THEN 'ok' ELSE 'resposta_bloqueada' END AS status,
+CASE WHEN blank OR turn % 4 = 2 OR n % 5 = 0 THEN NULL WHEN n % 2 = 1 THEN 'first [1]' WHEN n % 3 <> 0 THEN 'again [1]' ELSE 'again' END AS answer FROM t""")
+def _(spark, folder):
+    """Each user turn answered from one passage; answers with problems are asked for once more."""
+    t = table(spark, folder, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"), "turn")
+    contexts = t.where("turn % 4 <> 2").select("question_id", F.col("question").alias("context"), F.array(F.lit(1)).alias("places"))
+    out = retrieve.answered(t.drop("turn"), contexts, Rehearsed())
+    return out.select(F.floor(F.col("question_id") / 1000).alias("conv_id"), (F.col("question_id") % 1000).cast("int").alias("turn"), "status", "answer")
+
+
 @query("normalize_sources", """WITH e AS (SELECT event_id, event_type, value, event_id % 5 AS m FROM events) SELECT event_id, CASE WHEN m = 1 THEN 7 ELSE (event_id % 9)::INT END AS source_number, CASE WHEN m = 0 THEN event_type WHEN m = 3 THEN 'Fonte não identificada' ELSE event_type END AS source_name, CASE m WHEN 1 THEN '1, 2' WHEN 2 THEN '5' END AS pages, CASE WHEN m = 1 THEN 0.5::DOUBLE END AS similarity, CASE m WHEN 1 THEN 'a,b' WHEN 2 THEN 'c' END AS chunk_ids FROM e""")
 def _(spark, folder):
     e = table(spark, folder, "events")
