@@ -19,8 +19,9 @@ without unions, made of elements, text slots (#), optional (?) and repeated (+)
    and texts that are the same on all pages.
 4. Each page is read along its host's wrapper. Slots that are menus, headers, footers, sidebars, notices,
    adverts, forms, scripts, styles or comments, by element, role, class or id, or that are mostly links,
-   give no text. Inside article and main elements, names that an article's own sections may have (DOUBTFUL)
-   count only where the host's wrapper confirms them: links, or the same text on all of its pages; and list
+   give no text. Inside article and main elements, names that an article's own sections may have (DOUBTFUL hints,
+   and hints beside words of other kinds: "market-share") count only where the host's wrapper confirms them: links,
+   or the same text on all of its pages; and list
    items of links stay, unless their list is the same on all pages. The wrapper's constants give no text, be
    they in the article or not. What is left becomes one line a block.
 
@@ -72,6 +73,12 @@ HINTS = frozenset(
 )
 #: Those that an article's own sections, headings and paragraphs may have too; inside articles the host's wrapper decides.
 DOUBTFUL = frozenset("banner promotion navigation aside rail header masthead topbar footer colophon copyright legal notice notices alert related recommended recommendations discussion reply respond feedback".split())
+#: Words that names of page furniture are made of besides hints; any other word may make a name an article's own ("market-share").
+FURNITURE = frozenset(
+    "area bar block body bottom box btn button buttons col column container content count desktop element entry fixed float form group head icon icons "
+    "inline inner item items js large left line link links list main mobile module new outer page panel post right row section site slot small static "
+    "sticky text thread title tool tools top unit view wrap wrapper zone".split()
+)
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 MAIN = ("article", "main")
 #: Elements of running text, which don't lead to an article; pages that make a text a constant of the host.
@@ -86,10 +93,16 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def furniture(name: str) -> bool:
+    """Whether a class or id names what is never an article's own: a hint that isn't doubtful, and nothing but hints and FURNITURE beside it."""
+    parts = {x.lower() for x in NAME_PARTS.findall(name)}
+    return bool(parts & (HINTS - DOUBTFUL)) and parts <= HINTS | FURNITURE
+
+
 class Element:
     """An element of a page: its label, whether hints set it apart, and what it holds: elements and blocks.
 
-    The label of an element inside an article that only DOUBTFUL hints set apart ends with "!"; its host's wrapper decides.
+    The label of an element inside an article whose hints an article's own parts may have ends with "!"; its host's wrapper decides.
     """
 
     __slots__ = ("label", "name", "tag", "apart", "inside", "items")
@@ -103,7 +116,7 @@ class Element:
                 if name in ("class", "id"):
                     names += f".{value}"
                     hints = HINTS.intersection(x.lower() for x in NAME_PARTS.findall(value))
-                    if inside and hints and hints <= DOUBTFUL:
+                    if inside and hints and not any(map(furniture, value.split())):
                         doubtful = True
                     else:
                         self.apart |= bool(hints)

@@ -114,6 +114,15 @@ def test_doubtful_hints_inside_articles(spark):
         assert r.text.split("\n") == [f"T {x}", f"law {x}", f"Seen {x}", f"found {x}", f"Others {x}", f"let x{x} be", f"Paper {x}"]
 
 
+def test_names_of_an_articles_own_parts(spark):
+    """Hints beside other words need the wrapper's word inside articles; those of page furniture don't."""
+    inner = '<section class="market-share"><p>Shares rose {0}.</p></section><div id="social-history"><p>A history {0}.</p></div><p class="hidden-gems">Gems {0}.</p><div class="share-buttons">Tell a friend {0}</div><ul class="comments-list"><li>Nice {0}</li></ul><div class="adSlot top">Buy {0}</div>'
+    words = ["up", "down", "slowly", "fast", "again"]
+    rows = [(i, f"http://h.example/{i}", f"<body><article><h1>Title {i}</h1>{inner.format(words[i])}</article></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nShares rose {w}.\nA history {w}.\nGems {w}." for i, w in enumerate(words)}
+
+
 def test_constants_of_the_template(spark):
     """What an article's template says on every page goes, by the host's wrapper; what copies of one article say stays."""
     page = '<article><h1>Title {0}</h1><h2>Summary</h2><p>text {0} of {0}</p><div class="x9">Subscribe now for 5 dollars</div><p>more {0}</p><p>Ask us anything</p></article>'
