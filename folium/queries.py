@@ -9,6 +9,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ from .functions.filters import where
 from .operators import chunking, clustered, dedup, knn, pages, selection, store
 from .operators.embedding import HashingEmbedder, embedded
 from .plans import index, ingest, retrieve
-from .sources.tables import backfilled, cases, checked, chunk_lines, html_pages, point, table
+from .sources.pdf import page_texts, pdf_of
+from .sources.tables import backfilled, cases, checked, chunk_lines, extracted, files, html_pages, point, table
 from .storage import shared_dir
 
 CONFIG = EngineConfig()
@@ -741,6 +743,23 @@ def _(spark, folder):
     return good.select("chunk_id", "document_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "page", "forced_split")
 
 
+PDF_PAGES = 200
+
+
+@query("pdf_pages", f"SELECT row_number() OVER (PARTITION BY doc_id // {PDF_PAGES} ORDER BY doc_id)::INT AS page, md5(text) AS text_md5 FROM documents")
+def _(spark, folder):
+    """Documents as pages of PDF files, written to the shared folder and read by the PDF source."""
+    path = f"{shared_dir(spark)}/pdf-{uuid.uuid4().hex}"
+
+    def make(table: pa.Table) -> pa.Table:
+        return pa.table({"value": [pdf_of([t or "" for t in table.sort_by("doc_id").column("text").to_pylist()])]})
+
+    made = documents(spark, folder).select("doc_id", "text", F.floor(F.col("doc_id") / PDF_PAGES).alias("file")).groupBy("file").applyInArrow(make, "value string")
+    made.write.option("maxRecordsPerFile", 1).text(path)
+    good, _ = extracted(files(spark, path, "part-*"), page_texts)
+    return good.select("page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("case_file", "SELECT item_id::VARCHAR AS name, text AS question, array_to_string(string_split(text, ' ')[1:2], '|') AS terms, 'src7' AS sources, 0 AS n_types FROM benchmark")
 def _(spark, folder):
     """A file of cases, a JSON list, written from `benchmark` and read as a source."""

@@ -41,17 +41,3 @@ class ChatModel:
         if not isinstance(content, str) or not content.strip():
             raise ValueError("the model gave no content")
         return content.strip()
-
-
-def pdf_pages(content: bytes) -> list[str]:
-    """The page texts of a PDF file, as extracted() asks for; needs the optional package pypdf. Encrypted files are errors."""
-    import io
-
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("reading PDF files needs the package pypdf") from e
-    reader = PdfReader(io.BytesIO(content))
-    if reader.is_encrypted:
-        raise ValueError("the file is encrypted")
-    return [page.extract_text() or "" for page in reader.pages]

@@ -284,3 +284,18 @@ def test_tokens_and_passwords(spark):
     assert spark.range(1).select(F.sha2(F.lit(token), 256).alias("h")).first().h == kept and tokens.new_token()[0] != token
     stored = tokens.password_hash("çãé 1")
     assert tokens.password_matches("çãé 1", stored) and not tokens.password_matches("other", stored) and not tokens.password_matches("x", "broken")
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Files of many splits: as many lines as there are, blank ones too."""
+    want = {}
+    for f in range(3):
+        lines = ["" if (i * 7 + f) % 5 == 0 else json.dumps({"chunk_id": f"{f}-{i}", "text": "é" * (i % 60), "source": "s"}) for i in range(2000 + 700 * f)]
+        (tmp_path / f"{f}.jsonl").write_text("\n".join(lines) + "\n")
+        want |= {json.loads(x)["chunk_id"]: i for i, x in enumerate(lines, 1) if x}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = tables.chunk_lines(spark, str(tmp_path)).select("chunk_id", "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.chunk_id: r.line_no for r in rows} == want and len(rows) == len(want)
