@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,31 @@ def without_repeated_lines(pages: DataFrame, repeated: DataFrame, config: Engine
     return found.groupBy("document", "page").agg(F.array_join(F.transform(kept, lambda x: x.line), "\n").alias("text"), F.count("gone").alias("n_removed"))
 
 
+def literal_of(pattern: str) -> str:
+    """What a text must hold, in lower case, for a pattern of cleaning to match; empty where nothing is that simple."""
+    plain = re.sub(r"^\(\?\w+\)", "", pattern)
+    if V.SECTION_START in plain:
+        return ":"
+    if "\\|" in plain:
+        return "|"
+    if re.match(r"\\s\+-|\(\[.*?\]\)-", plain):
+        return "-"
+    return re.match(r"[^\W\d_]?[^\[(.\\^$*+?{}|]*", plain)[0].lower() if plain[:1] not in "([^\\ \n" else ""
+
+
+def replaced(c: Column, pattern: str, to: str) -> Column:
+    """regexp_replace(), tried only where the text has what the pattern can't do without."""
+    known = literal_of(pattern)
+    if not known:
+        return F.regexp_replace(c, pattern, to)
+    # upper, then lower: letters that patterns without case take for others
+    folded = (lambda x: F.lower(F.upper(x))) if known.upper() != known else (lambda x: x)
+    return T.let(c, lambda x: F.when(F.contains(folded(x), F.lit(known)), F.regexp_replace(x, pattern, to)).otherwise(x))
+
+
 def without_boilerplate(c: Column) -> Column:
     for p in V.BOILERPLATE:
-        c = F.regexp_replace(c, f"(?siuU){p}", " ")
+        c = replaced(c, f"(?siuU){p}", " ")
     return c
 
 
@@ -42,7 +66,7 @@ def cleaned(c: Column) -> Column:
     """A page's text without licences, page numbers, broken words and narrow line ends; headings start paragraphs."""
     c = without_boilerplate(c)
     for pattern, to in V.CLEANING:
-        c = F.regexp_replace(c, pattern, to)
+        c = replaced(c, pattern, to)
     return T.strip(c)
 
 
