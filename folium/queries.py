@@ -26,6 +26,7 @@ from .plans import index, ingest, retrieve
 from .sources.pdf import page_texts, pdf_of
 from .sources.tables import backfilled, cases, checked, chunk_lines, extracted, files, html_pages, point, table
 from .storage import shared_dir
+from .streaming import flows
 
 CONFIG = EngineConfig()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -853,6 +854,26 @@ def _(spark, folder):
     return store.lockouts(e.select("event_id", "user_id", "ts", "success"), CONFIG).select("event_id", "user_id", "failures", F.col("locked_until").isNotNull().alias("locked"))
 
 
+LATE_HOURS = 3
+
+
+@query("streamed_lockouts", f"WITH a AS (SELECT event_id, user_id, ts, event_type = 'signup' AS ok FROM events WHERE event_type IN ('error', 'signup')), r AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS run FROM a), c AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS failures FROM r) SELECT event_id, user_id, failures::INT AS failures, failures >= {CONFIG.lock_after} AS locked FROM c WHERE NOT ok AND epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) FROM a) - {LATE_HOURS * 3_600_000}")
+def _(spark, folder):
+    """Attempts that arrive in files of some days each, up to two hours late and shuffled; as far as the watermark gets."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, folder, "events").where("event_type in ('error', 'signup')").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(7200))
+    e = e.select("event_id", "user_id", "ts", (F.col("event_type") == "signup").alias("success"), F.floor(arrival / (6 * 86_400)).alias("part"))
+    parts = sorted(r.part for r in e.select("part").distinct().collect())  # one every six days
+    for part in parts:
+        e.where(F.col("part") == part).drop("part").orderBy(F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("event_id long, user_id long, ts timestamp, success boolean").parquet(f"{path}/in")
+        counted = flows.lockouts(stream, CONFIG, late=f"{LATE_HOURS} hours")
+        counted.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    out = spark.read.schema(flows.LOCKS).parquet(f"{path}/out")
+    return out.select("event_id", "user_id", "failures", F.col("locked_until").isNotNull().alias("locked"))
+
+
 EXPIRY = "SELECT event_id AS id, user_id, ts + INTERVAL 8 HOURS AS expires_at, CASE WHEN event_type = 'error' THEN ts END AS revoked_at FROM events"
 
 

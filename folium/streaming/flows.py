@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..config import EngineConfig
 from ..operators.embedding import Embedder, embedded
 from ..plans.ingest import chunked
 
-LOCKS = "user_id long, ts timestamp, failures int, locked boolean"
+LOCKS = "user_id long, event_id long, ts timestamp, failures int, locked_until timestamp"
+#: A user's state: failures in a row, and attempts (microseconds, id, success) that the watermark hasn't passed.
+WAITING = "failures int, at array<long>, event_id array<long>, success array<boolean>"
 
 
 def ingest(pages: DataFrame, path: str, checkpoint: str, embedder: Embedder, config: EngineConfig = EngineConfig(), **trigger) -> StreamingQuery:
@@ -25,29 +28,42 @@ def ingest(pages: DataFrame, path: str, checkpoint: str, embedder: Embedder, con
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-class Failures(StatefulProcessor):
-    """Counts a user's failed logins since the last success."""
+def _count(lock_after: int, lock_minutes: int) -> Callable:
+    """Goes through a user's attempts in order of event time, as far as the watermark has passed them."""
 
-    def __init__(self, lock_after: int):
-        self.lock_after = lock_after
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("failures", StructType([StructField("n", IntegerType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, *waiting = state.get if state.exists else (0, [], [], [])
+        columns = [list(x) for x in waiting]
+        for b in [] if state.hasTimedOut else batches:
+            for to, values in zip(columns, (b["ts"].astype("datetime64[us]").astype("int64"), b["event_id"], b["success"]), strict=True):
+                to.extend(values.tolist())
+        seen = state.getCurrentWatermarkMs()
+        rows = sorted(zip(*columns, strict=True))
+        n = bisect_right(rows, seen, key=lambda r: r[0] // 1000)
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            n = 0 if r.success else n + 1
-            if not r.success:
-                out.append((key[0], r.ts, n, n >= self.lock_after))
-        self.count.update((n,))
-        yield pd.DataFrame(out, columns=["user_id", "ts", "failures", "locked"]).astype({"failures": "int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def lockouts(attempts: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Failures in a row of a stream of attempts (user_id, ts, event_id, success)."""
-    return attempts.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Failures(config.lock_after), outputStructType=LOCKS, outputMode="Append", timeMode="None")
+        for at, event_id, success in rows[:n]:
+            failures = 0 if success else failures + 1
+            if not success:
+                until = at + lock_minutes * 60_000_000 if failures >= lock_after else None
+                out.append((key[0], event_id, at, failures, until))
+        if failures or rows[n:]:
+            state.update((failures, *map(list, zip(*rows[n:], strict=True))) if rows[n:] else (failures, [], [], []))
+            if rows[n:]:
+                state.setTimeoutTimestamp(max(rows[n][0] // 1000, seen + 1))
+        elif state.exists:
+            state.remove()  # a user without failures needs no state
+        found = pd.DataFrame(out, columns=["user_id", "event_id", "ts", "failures", "locked_until"])
+        yield found.assign(ts=pd.to_datetime(found["ts"], unit="us"), locked_until=pd.to_datetime(found["locked_until"], unit="us"), failures=found["failures"].astype("int32"))
+
+    return run
+
+
+def lockouts(attempts: DataFrame, config: EngineConfig = EngineConfig(), *, late: str = "1 hour") -> DataFrame:
+    """store.lockouts() of a stream of attempts (user_id, ts, event_id, success), whose rows may come late and in any order.
+
+    An attempt counts once the watermark, `late` behind the newest attempt, has passed it: until then it waits in its user's
+    state, and a timer wakes the user up when none of their rows come. Rows that are later than that are dropped by
+    the engine. State is the waiting rows and one number; users without failures in a row have none.
+    """
+    rows = attempts.select("user_id", "ts", "event_id", "success").where("user_id is not null and ts is not null").withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(_count(config.lock_after, config.lock_minutes), LOCKS, WAITING, "append", "EventTimeTimeout")

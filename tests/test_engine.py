@@ -299,3 +299,24 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {r.chunk_id: r.line_no for r in rows} == want and len(rows) == len(want)
+
+
+def test_streamed_lockouts_of_late_and_shuffled_rows(spark, tmp_path):
+    """Results equal the table's, as far as the watermark gets; too late rows are dropped, idle users woken by a timer."""
+    import datetime as dt
+    import random
+
+    rng, start = random.Random(6), dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3]), start + dt.timedelta(minutes=i // 2, microseconds=rng.randrange(2)), rng.random() < 0.15) for i in range(600)]
+    rows.append((900, 4, start + dt.timedelta(minutes=20), False))  # this user comes no more
+    order = sorted(rows, key=lambda r: (r[2] + dt.timedelta(minutes=rng.randrange(50)), r[0]))
+    files = [order[:200], order[200:400], order[400:], [(999, 9, start + dt.timedelta(days=2), False)], [(1000, 1, start, False), (1001, 9, start + dt.timedelta(days=3), False)]]
+    schema, path = "event_id long, user_id long, ts timestamp, success boolean", str(tmp_path / "in")
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = flows.lockouts(spark.readStream.schema(schema).parquet(path), late="1 hour")
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {r.event_id: (r.user_id, r.ts, r.failures, r.locked_until) for r in spark.read.schema(flows.LOCKS).parquet(str(tmp_path / "out")).collect()}
+    want = {r.event_id: (r.user_id, r.ts, r.failures, r.locked_until) for r in store.lockouts(spark.createDataFrame(rows, schema)).collect()}
+    assert 900 in want and 1000 not in got
+    assert {k: v for k, v in got.items() if k != 999} == want
