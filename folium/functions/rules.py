@@ -42,7 +42,7 @@ def document_type(stem: Column, head: Column) -> Column:
 
 
 def section_rules(raw: Column) -> list[tuple[Column, str]]:
-    return [(raw.rlike(f"(?iuU){p}"), kind) for p, kind in V.SECTIONS]
+    return [(F.contains(raw, F.lit(":")) & raw.rlike(f"(?iuU){p}"), kind) for p, kind in V.SECTIONS]  # all of them end with a colon
 
 
 CLASSES = {"procedure": V.PROCEDURE, "treatment": V.TREATMENT, "assessment": V.ASSESSMENT, "diagnosis": V.DIAGNOSIS, "adverse_event": V.ADVERSE_EVENT}
@@ -71,7 +71,7 @@ def source_quality(kind: Column) -> Column:
 
 def section_title(c: Column) -> Column:
     """Of a text with its white space collapsed."""
-    rules = [(F.regexp_instr(c, F.lit(f"(?iuU){p}")).between(1, 180), kind) for p, kind in V.SECTIONS]
+    rules = [(F.contains(c, F.lit(":")) & F.regexp_instr(c, F.lit(f"(?iuU){p}")).between(1, 180), kind) for p, kind in V.SECTIONS]
     heading = F.regexp_extract(F.substring(c, 1, 160), r"^([^.!?]{3,80}):", 1)
     named = F.substring(F.replace(T.normalize(heading), F.lit(" "), F.lit("_")), 1, 60)
     return first_of(rules, F.when(heading != "", named).otherwise("general"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -14,6 +15,7 @@ from .fixed_values import NEW_CHAT_TITLE, STOP_WORDS
 
 SPACE = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
+OTHER = re.compile("[^a-z0-9]+")
 
 
 @lru_cache(1)
@@ -61,10 +63,17 @@ def normalize_answer(c: Column) -> Column:
     return strip(F.regexp_replace(fold(c), SPACE, " "))
 
 
+@lru_cache(1)
+def marks() -> re.Pattern:
+    """All combining marks."""
+    return re.compile("[" + "".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.combining(c)) + "]+")
+
+
 def normalize_py(text: str) -> str:
-    """normalize() of a driver-side string, for word lists."""
-    d = "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x)).lower()
-    return " ".join("".join(x if x.isascii() and x.isalnum() else " " for x in d).split())
+    """normalize() of a Python string."""
+    if not text.isascii():
+        text = marks().sub("", unicodedata.normalize("NFKD", text))
+    return OTHER.sub(" ", text.lower()).strip()
 
 
 def strip(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -31,9 +32,9 @@ class HashingEmbedder:
     def encode(self, texts: list[str], *, question: bool = False) -> np.ndarray:
         out = np.zeros((len(texts), self.length))
         for row, text in zip(out, texts, strict=True):
-            for w in normalize_py(text or "").split():
+            for w, n in Counter(normalize_py(text or "").split()).items():
                 h = zlib.crc32(w.encode())
-                row[h % self.length] += 1 if h >> 31 else -1
+                row[h % self.length] += n if h >> 31 else -n
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1)
 

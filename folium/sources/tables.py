@@ -13,7 +13,7 @@ from pyspark.sql import types as P
 
 from ..functions import text as T
 from ..functions.rules import labelled
-from ..storage import attach
+from ..storage import attach, checkpointed
 
 CHUNK_FIELDS = P.StructType(
     [P.StructField(n, P.StringType()) for n in ("chunk_id", "document_id", "text", "source")]
@@ -22,6 +22,8 @@ CHUNK_FIELDS = P.StructType(
     + [P.StructField(n, P.StringType()) for n in ("document_type", "content_type", "topic", "source_quality", "section", "embedding_text")]
 )
 CASE_FIELDS = "name string, question string, expected_any_terms array<string>, forbidden_source_terms array<string>, forbidden_content_types array<string>"
+#: Splits of files whose line numbers are broadcast.
+BROADCAST_SPLITS = 100_000
 #: The columns that an index keeps beside text and vector.
 METADATA = ["chunk_id", "document_id", "source", "doc_pos", "global_pos", "page_start", "page_end", "char_count", "content_hash", "forced_split", "document_type", "content_type", "topic", "source_quality", "section"]
 
@@ -64,7 +66,8 @@ def chunk_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     counts = raw.groupBy("file", "_block").agg(F.count("*").alias("_lines"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_lines").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    raw = raw.join(counts.select("file", "_block", (before - F.col("_first") + 1).alias("_add")), ["file", "_block"])
+    starts = checkpointed(counts.select("file", "_block", (before - F.col("_first") + 1).alias("_add")))
+    raw = raw.join(F.broadcast(starts) if starts.count() <= BROADCAST_SPLITS else starts, ["file", "_block"])
     raw = raw.withColumn("line_no", F.col("_at") + F.col("_add")).where(T.strip(F.col("value")) != "")
     schema = P.StructType([*CHUNK_FIELDS, P.StructField("_corrupt", P.StringType())])
     parsed = raw.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
