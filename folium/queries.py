@@ -766,7 +766,7 @@ def _(spark, folder):
     """A file of cases, a JSON list, written from `benchmark` and read as a source."""
     path = f"{shared_dir(spark)}/cases-{uuid.uuid4().hex}"
     case = F.struct(F.col("item_id").cast("string").alias("name"), F.col("text").alias("question"), F.slice(F.split("text", " "), 1, 2).alias("expected_any_terms"), F.array(F.lit("src7")).alias("forbidden_source_terms"), F.array().cast("array<string>").alias("forbidden_content_types"))
-    table(spark, folder, "benchmark").groupBy(F.floor(F.col("item_id") / 50)).agg(F.to_json(F.collect_list(case)).alias("value")).select("value").write.text(path)
+    table(spark, folder, "benchmark").groupBy(F.floor(F.col("item_id") / 50)).agg(F.to_json(F.collect_list(case)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     got = cases(spark, path)
     return got.select("name", "question", F.array_join("expected_any_terms", "|").alias("terms"), F.array_join("forbidden_source_terms", "|").alias("sources"), F.size("forbidden_content_types").alias("n_types"))
 

@@ -40,3 +40,11 @@ def test_query(spark, duck, name):
         assert sorted(names) == sorted(got.schema.names)
         rows = sorted(repr([plain(r[names.index(c)]) for c in sorted(names)]) for r in cursor.fetchall())
         assert sorted(repr([plain(r[c]) for c in sorted(names)]) for r in got.to_pylist()) == rows
+
+
+def test_case_file_of_several_lists(spark, tmp_path):
+    """Lists that one task writes are files of their own."""
+    rows = [(i, f"w{i} x y") for i in range(430)]
+    spark.createDataFrame(rows, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.QUERIES["case_file"](spark, str(tmp_path)).select("name", "question").collect()
+    assert sorted(map(tuple, got)) == sorted((str(i), t) for i, t in rows)
