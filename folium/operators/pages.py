@@ -91,9 +91,11 @@ def offsets(pages: DataFrame) -> DataFrame:
     """pages (document, page, text, no_space_before) with the start and stop of each in the document's joined text."""
     gap = F.when(F.col("no_space_before"), 0).otherwise(1)
     first = pages.groupBy(F.col("document").alias("_document")).agg(F.min_by(gap, "page").alias("_first"))
-    out = running.running_total(pages, ["document"], "page", F.length("text") + gap, "stop").join(first, F.col("document").eqNullSafe(F.col("_document")))
-    out = out.withColumn("stop", F.col("stop") - F.col("_first")).drop("_document", "_first")
-    return out.withColumn("start", F.col("stop") - F.length("text"))
+    # measured before rows move: a caller who needs places only moves no texts
+    measured = pages.withColumn("_length", F.length("text"))
+    out = running.running_total(measured, ["document"], "page", F.col("_length") + gap, "stop").join(first, F.col("document").eqNullSafe(F.col("_document")))
+    out = out.withColumn("stop", F.col("stop") - F.col("_first"))
+    return out.withColumn("start", F.col("stop") - F.col("_length")).drop("_document", "_first", "_length")
 
 
 def overlapping_pages(units: DataFrame, spans: DataFrame, *, bucket: int = 4096) -> DataFrame:
@@ -112,10 +114,7 @@ def overlapping_pages(units: DataFrame, spans: DataFrame, *, bucket: int = 4096)
     borders = s.select("document", "page", F.explode(F.array("ss", "se")).alias("at"), F.lit(None).cast("long").alias("unit"))
     places = lone.select("document", F.lit(None).cast(s.schema["page"].dataType).alias("page"), F.col("us").alias("at"), "unit").unionByName(borders)
     # of borders at one place, the smaller page; of two as near, that of the smaller page too
-    border = F.when(F.col("page").isNotNull(), F.struct("at", "page"))
-    before = F.last(border, True).over(Window.partitionBy("document").orderBy("at", F.desc_nulls_last("page")).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(border, True).over(Window.partitionBy("document").orderBy("at", F.asc_nulls_first("page")).rowsBetween(0, Window.unboundedFollowing))
-    near = places.withColumns({"_before": before, "_after": after}).where("unit is not null")
+    near = running.nearest(places, ["document"], "at", "page", "_before", "_after").where("unit is not null")
     far = lambda c: F.abs(F.col(c)["at"] - F.col("at"))
     page = F.when(F.col("_after").isNull() | (far("_before") < far("_after")), F.col("_before")["page"]).when(F.col("_before").isNull() | (far("_after") < far("_before")), F.col("_after")["page"]).otherwise(F.least(F.col("_before")["page"], F.col("_after")["page"]))
     near = near.withColumn("_page", page).where("_page is not null")

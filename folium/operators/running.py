@@ -53,3 +53,21 @@ def neighbours(df: DataFrame, by: list[str], order: str, value: Column, before:
     last = F.lead("_place").over(inside).isNull()
     out = out.withColumns({before: F.when(F.col("_place") == 1, F.col("_left")).otherwise(F.lag("_value").over(inside)), after: F.when(last, F.col("_right")).otherwise(F.lead("_value").over(inside))})
     return out.drop("_block", "_value", "_left", "_right", "_place")
+
+
+def nearest(df: DataFrame, by: list[str], order: str, value: str, before: str, after: str, *, width: int = 1 << 20) -> DataFrame:
+    """df with structs (order, value) of the last row with a value at or before each, and of the first at or after it; of
+    several at one place, that of the smallest value. They hold for rows without a value of their own.
+
+    All frames start at the first row: one that ends at the last row is gone through anew for each row, in quadratic time.
+    """
+    held = F.when(F.col(value).isNotNull(), F.struct(order, value))
+    rows = _blocks(df, order, width).withColumn("_held", held)
+    edge = lambda at: F.min_by("_held", F.when(F.col("_held").isNotNull(), F.struct(at.alias("at"), F.col(value).alias("value"))))
+    edges = rows.groupBy(*by, "_block").agg(edge(-F.col(order)).alias("_last"), edge(F.col(order)).alias("_first"))
+    so_far = lambda c, keys, orders, end: F.last(c, True).over(Window.partitionBy(*keys).orderBy(*orders).rowsBetween(Window.unboundedPreceding, end))
+    edges = edges.withColumns({"_left": so_far("_last", by, ["_block"], -1), "_right": so_far("_first", by, [F.desc("_block")], -1)}).drop("_first", "_last")
+    inside, smallest = [*by, "_block"], F.desc_nulls_last(value)
+    out = _by(rows, edges, by)
+    out = out.withColumn(before, F.coalesce(so_far("_held", inside, [order, smallest], 0), "_left"))
+    return out.withColumn(after, F.coalesce(so_far("_held", inside, [F.desc(order), smallest], 0), "_right")).drop("_block", "_held", "_left", "_right")

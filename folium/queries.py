@@ -25,7 +25,7 @@ from .operators.embedding import HashingEmbedder, embedded
 from .plans import index, ingest, retrieve
 from .sources.pdf import page_texts, pdf_of
 from .sources.tables import backfilled, cases, checked, chunk_lines, extracted, files, html_pages, point, table
-from .storage import shared_dir
+from .storage import kept, shared_dir
 from .streaming import flows
 
 CONFIG = EngineConfig()
@@ -510,7 +510,8 @@ OFFSETS = "WITH o AS (SELECT source AS document, doc_id AS page, length(text) AS
 
 
 def spans(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.offsets(paged(spark, folder).withColumn("no_space_before", F.lit(False)))
+    p = table(spark, folder, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), "text")  # only lengths leave the scan
+    return pages.offsets(p.withColumn("no_space_before", F.lit(False)))
 
 
 @query("running_offsets", OFFSETS + " SELECT document, page, start, stop FROM s")
@@ -520,7 +521,7 @@ def _(spark, folder):
 
 @query("interval_overlap", OFFSETS + ", e AS (SELECT document, max(stop) AS total FROM s GROUP BY 1), u AS (SELECT document, unnest(range(0, total + 2100, 700)) AS start FROM e), m AS (SELECT u.document, (u.start // 700)::BIGINT AS unit, min(page) AS page_start, max(page) AS page_end FROM u JOIN s ON s.document = u.document AND u.start < s.stop AND u.start + 650 > s.start GROUP BY 1, 2) SELECT u.document, (u.start // 700)::BIGINT AS unit, coalesce(m.page_start, l.page) AS page_start, coalesce(m.page_end, l.page) AS page_end FROM u LEFT JOIN m ON m.document = u.document AND m.unit = u.start // 700 JOIN (SELECT document, arg_max(page, stop) AS page FROM s GROUP BY 1) l ON l.document = u.document")
 def _(spark, folder):
-    s = spans(spark, folder)
+    s = kept(spans(spark, folder).select("document", "page", "start", "stop"))  # four steps read them
     u = s.groupBy("document").agg(F.max("stop").alias("total")).select("document", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") + 2099, F.lit(700).cast("long"))).alias("start"))
     return pages.overlapping_pages(u.select("document", F.expr("start div 700").alias("unit"), "start", (F.col("start") + 650).alias("stop")), s)
 

@@ -197,3 +197,24 @@ def test_overlapping_pages_falls_back_to_the_nearest(spark):
     units = [("d", 0, 12, 45), ("d", 1, 0, 5), ("d", 2, 22, 25), ("d", 3, 36, 38), ("d", 4, 30, 31), ("d", 5, 90, 99), ("d", 6, 60, 61), ("e", 7, 9000, 9001), ("z", 8, 0, 3)]
     got = {r.unit: (r.page_start, r.page_end) for r in pages.overlapping_pages(spark.createDataFrame(units, "document string, unit long, start long, stop long"), spans).collect()}
     assert got == {0: (1, 2), 1: (1, 1), 2: (1, 1), 3: (2, 2), 4: (1, 1), 5: (3, 3), 6: (3, 3), 7: (7, 7)}
+
+
+def test_nearest_of_many_borders(spark):
+    """Over blocks as over all, and with no frame that ends at a partition's last row."""
+    from folium.operators import running
+
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randrange(-300, 3000), rng.choice([None, rng.randrange(9)])) for _ in range(600)] + [("c", 4, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, at long, page int, i int").repartition(5)
+    got = {r.i: r for r in running.nearest(df, ["g"], "at", "page", "b", "a", width=64).collect()}
+    assert len(got) == len(rows)
+    for i, (g, at, page) in enumerate(rows):
+        if page is not None:
+            continue
+        own = [(x[1], x[2]) for x in rows if x[0] == g and x[2] is not None]
+        before, after = min(((-p, v) for p, v in own if p <= at), default=None), min((x for x in own if x[0] >= at), default=None)
+        assert (got[i].b and (-got[i].b["at"], got[i].b["page"]), got[i].a and tuple(got[i].a)) == (before, after)
+    spans = df.where("page is not null").select(F.col("g").alias("document"), "page", F.col("at").alias("start"), (F.col("at") + 3).alias("stop"))
+    units = df.select(F.col("g").alias("document"), F.col("i").alias("unit"), F.col("at").alias("start"), (F.col("at") + 1).alias("stop"))
+    plan = pages.overlapping_pages(units, spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
