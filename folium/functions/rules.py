@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import attach
 from . import fixed_values as V
 from . import text as T
 
@@ -81,7 +82,10 @@ def labelled(df: DataFrame, source: str = "source", text: str = "text", section:
     """df with document_type, content_type, topic, source_quality and section; keep: with the normalised text as _body too."""
     s, t = F.col(source), F.col(text)
     # normalised once: the rules below use these columns hundreds of times
-    own = {"_stem": T.normalize(T.stem(s)), "_head": T.normalize(F.substring(t, 1, 2500)), "_norm": T.normalize(t), "_flat": T.collapse(t)}
+    own = {"_stem": T.normalize(T.stem(s)), "_head": T.normalize_long(F.substring(t, 1, 2500)), "_norm": T.normalize_long(t)}
+    # titles end with a colon
+    own["_flat"] = F.when(F.contains(t, F.lit(":")), T.collapse(t)).otherwise(F.when(t.isNotNull(), ""))
+    attach(df.sparkSession)
     df = df.withColumns(own).withColumns({f"_{k}": hits(F.col("_norm"), terms) for k, terms in CLASSES.items()})
     given, title = F.col(section) if section else None, section_title(F.col("_flat"))
     df = df.withColumns(
@@ -150,7 +154,8 @@ def of_question(question: Column) -> dict[str, Column]:
 def with_texts(df: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """df with what scored() needs of each text: make it before texts meet questions, so that each is normalised once."""
     if "_body" not in df.columns:
-        df = df.withColumn("_body", T.normalize(F.col(text)))
+        attach(df.sparkSession)
+        df = df.withColumn("_body", T.normalize_long(F.col(text)))
     df = df.withColumn("_source", T.normalize(F.col(source)))
     every = F.trim(F.concat_ws(" ", "_source", "_body"))
     covers = {f"_covers_{k}": any_of(F.col("_body"), terms) for k, terms in COVERED.items()}

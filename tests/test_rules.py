@@ -86,3 +86,22 @@ def test_problems(spark):
     rows = [("Texto sem nada", 1, "x"), ("Como prosseguir agora: observar [1] [4]", 2, "O que fazer?"), ("Inicie 5 mg [1] porque", 1, "x")]
     got = spark.createDataFrame(rows, "a string, n int, q string").select(A.problems(F.col("a"), F.col("n"), F.col("q")).alias("p")).collect()
     assert [r.p for r in got] == [["resposta sem citações"], ["citações inexistentes: [4]"], ["linguagem prescritiva ou dose", "resposta possivelmente interrompida"]]
+
+
+def test_whole_texts_are_normalised_as_columns_are(spark):
+    """The batch form and the expression agree, and labels of whole texts don't go through the patterns."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from folium.functions import rules, text
+    from folium.storage import attach
+
+    attach(spark)
+    odd = ["", None, " ", "Ação  ÇÉdilha-12", "ȩ́x", "İstanbul ſtraße K Å ﬁn ½ ² Ⅳ", "日本 x⃝ Ж ab c", "A\U0001f600b\U0001d165c", "\tÑ\n\r-\x0bz\x00y"]
+    odd += [f"a{chr(i)}b {chr(i)}" for i in (*range(0x80, 0x600), *range(0x1E00, 0x2200), *range(0xFB00, 0xFB10))]
+    df = spark.createDataFrame([(i, "s", x) for i, x in enumerate(odd)], "i int, source string, text string")
+    both = df.select("text", text.normalize(F.col("text")).alias("a"), text.normalize_long(F.col("text")).alias("b"))
+    assert [(r.text, r.a, r.b) for r in both.collect() if r.a != r.b] == []
+    plan = rules.with_texts(rules.labelled(df, keep=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"regexp_replace\((substring\()?text#\d+[^)]*\)?, \\p\{M\}", plan)
