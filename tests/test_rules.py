@@ -105,3 +105,20 @@ def test_whole_texts_are_normalised_as_columns_are(spark):
     assert [(r.text, r.a, r.b) for r in both.collect() if r.a != r.b] == []
     plan = rules.with_texts(rules.labelled(df, keep=True))._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"regexp_replace\((substring\()?text#\d+[^)]*\)?, \\p\{M\}", plan)
+
+
+def test_streamed_lockouts_make_no_table_for_users_without_rows():
+    import types
+
+    import pandas as pd
+
+    from folium.streaming import flows
+
+    def state(seen):
+        return types.SimpleNamespace(exists=False, hasTimedOut=False, getCurrentWatermarkMs=lambda: seen, update=lambda x: None, setTimeoutTimestamp=lambda x: None)
+
+    rows = pd.DataFrame({"ts": pd.to_datetime([1, 2, 3], unit="s"), "event_id": [1, 2, 3], "success": [False] * 3})
+    run = flows._count(3, 15)
+    assert list(run((7,), iter([rows]), state(0))) == []
+    (got,) = run((7,), iter([rows]), state(9000))
+    assert got.failures.tolist() == [1, 2, 3] and got.locked_until.isna().tolist() == [True, True, False] and got.user_id.tolist() == [7] * 3
