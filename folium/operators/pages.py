@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import fixed_values as V
 from ..functions import text as T
+from ..storage import kept
 from . import running
 
 
@@ -80,19 +81,22 @@ def skipped_pages(name: Column) -> Column:
 
 def joined_hyphens(pages: DataFrame) -> DataFrame:
     """pages (document, page, text) with words broken between pages joined, and no_space_before."""
-    borders = F.struct(F.col("text").rlike("[A-Za-zÀ-ÖØ-öø-ÿ]-$").alias("breaks"), F.col("text").rlike("^[a-zà-öø-ÿ]").alias("goes_on"))
-    out = running.neighbours(pages.withColumn("_own", borders), ["document"], "page", F.col("_own"), "_prev", "_next")
-    broken = F.coalesce(F.col("_own.breaks") & F.col("_next.goes_on"), F.lit(False))
-    out = out.withColumn("no_space_before", F.coalesce(F.col("_prev.breaks") & F.col("_own.goes_on"), F.lit(False)))
-    return out.withColumn("text", F.when(broken, F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))).drop("_own", "_prev", "_next")
+    # only a text's first and last characters count, and only they go through the windows
+    borders = F.struct(F.expr("right(text, 4)").rlike("[A-Za-zÀ-ÖØ-öø-ÿ]-$").alias("breaks"), F.expr("left(text, 1)").rlike("^[a-zà-öø-ÿ]").alias("goes_on"))
+    own = kept(pages.withColumns({"_own": borders, "_row": F.monotonically_increasing_id()}))
+    near = running.neighbours(own.select("document", "page", "_row", "_own"), ["document"], "page", F.col("_own"), "_prev", "_next")
+    broken = F.coalesce(F.col("_own.breaks") & F.col("_next.goes_on"), F.lit(False)).alias("_broken")
+    near = near.select("_row", broken, F.coalesce(F.col("_prev.breaks") & F.col("_own.goes_on"), F.lit(False)).alias("no_space_before"))
+    out = own.drop("_own").join(near, "_row")
+    return out.withColumn("text", F.when(F.col("_broken"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))).drop("_row", "_broken")
 
 
 def offsets(pages: DataFrame) -> DataFrame:
-    """pages (document, page, text, no_space_before) with the start and stop of each in the document's joined text."""
+    """pages (document, page, text or its _length, no_space_before) with the start and stop of each in the document's joined text."""
     gap = F.when(F.col("no_space_before"), 0).otherwise(1)
     first = pages.groupBy(F.col("document").alias("_document")).agg(F.min_by(gap, "page").alias("_first"))
     # measured before rows move: a caller who needs places only moves no texts
-    measured = pages.withColumn("_length", F.length("text"))
+    measured = pages if "_length" in pages.columns else pages.withColumn("_length", F.length("text"))
     out = running.running_total(measured, ["document"], "page", F.col("_length") + gap, "stop").join(first, F.col("document").eqNullSafe(F.col("_document")))
     out = out.withColumn("stop", F.col("stop") - F.col("_first"))
     return out.withColumn("start", F.col("stop") - F.col("_length")).drop("_document", "_first", "_length")
