@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,6 @@ def any_of(normalized: Column, terms: Iterable[str]) -> Column:
     return out
 
 
-def hits(normalized: Column, terms: Iterable[str]) -> Column:
-    """How many of the terms the normalised text holds."""
-    return sum((normalized.contains(T.normalize_py(t)).cast("int") for t in terms), F.lit(0))
-
-
 def first_of(pairs: Iterable[tuple[Column, str]], default: Column | str) -> Column:
     chain = None
     for condition, value in pairs:
@@ -34,11 +31,48 @@ def first_of(pairs: Iterable[tuple[Column, str]], default: Column | str) -> Colu
     return chain.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
-def document_type(stem: Column, head: Column) -> Column:
-    """Of a source's normalised stem and the normalised first 2500 characters of a text."""
-    rules = [(any_of(F.concat_ws(" ", stem, head), V.ADMINISTRATIVE), "consent_form")]
+CLASSES = {"procedure": V.PROCEDURE, "treatment": V.TREATMENT, "assessment": V.ASSESSMENT, "diagnosis": V.DIAGNOSIS, "adverse_event": V.ADVERSE_EVENT}
+#: What the rules of labels look for in a text: in its first HEAD characters, how often in each class, and its topic.
+HEAD, CASE = 2500, re.compile(r"\bcaso\s+\d+\b", re.A)
+MARKS = {"administrative": pa.bool_(), "article": pa.bool_(), "case": pa.bool_(), **dict.fromkeys(CLASSES, pa.int32()), "topic": pa.string()}
+MARK_TYPES = "struct<" + ",".join(f"{k}:{'boolean' if t == pa.bool_() else 'int' if t == pa.int32() else 'string'}" for k, t in MARKS.items())
+
+
+def _marks(keep: bool) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """MARKS of texts, given with their sources' normalised stems; keep: and the normalised text."""
+    terms = lambda words: list(dict.fromkeys(map(T.normalize_py, words)))
+    administrative, article, topics = terms(V.ADMINISTRATIVE), terms(V.ARTICLE_MARKS), [(name, terms(words)) for name, words in V.TOPICS]
+    classes = [list(map(T.normalize_py, words)) for words in CLASSES.values()]
+    fields = list((MARKS | ({"body": pa.string()} if keep else {})).items())
+
+    def marks(stems: pa.Array, texts: pa.Array) -> pa.Array:
+        rows, given = [], texts.to_pylist()
+        bodies = [None if x is None else T.normalized(x) for x in given]
+        # of many terms few are in any text of a batch: the others are looked for once
+        every_body = "\n".join(filter(None, bodies))
+        present = lambda words: [t for t in words if t in every_body]
+        in_classes, in_topics = list(map(present, classes)), [(name, present(words)) for name, words in topics]
+        for stem, text, body in zip(stems.to_pylist(), given, bodies, strict=True):
+            head = body if text is None or len(text) <= HEAD else T.normalized(text[:HEAD])
+            every = " ".join(x for x in (stem, head) if x is not None)
+            row = [any(t in every for t in administrative)]
+            if body is None:
+                row += [None] * (len(fields) - 1)
+            else:
+                row += [any(t in head for t in article), bool(CASE.search(head)) or "paciente do sexo" in head, *(sum(t in body for t in words) for words in in_classes)]
+                row += [next((name for name, words in in_topics if any(t in body for t in words)), None), *([body] if keep else [])]
+            rows.append(row)
+        columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+    return marks
+
+
+def document_type(stem: Column, marks: Column) -> Column:
+    """Of a source's normalised stem and a text's marks."""
+    rules = [(marks["administrative"], "consent_form")]
     rules += [(any_of(stem, hints), kind) for kind, hints in V.SOURCE_HINTS]
-    rules += [(any_of(head, V.ARTICLE_MARKS), "scientific_article"), (head.rlike(r"\bcaso\s+\d+\b") | head.contains("paciente do sexo"), "clinical_case")]
+    rules += [(marks["article"], "scientific_article"), (marks["case"], "clinical_case")]
     return first_of(rules, "educational_material")
 
 
@@ -46,9 +80,6 @@ def section_rules(raw: Column) -> list[tuple[Column, str]]:
     return [(F.contains(raw, F.lit(":")) & raw.rlike(f"(?iuU){p}"), kind) for p, kind in V.SECTIONS]  # all of them end with a colon
 
 
-CLASSES = {"procedure": V.PROCEDURE, "treatment": V.TREATMENT, "assessment": V.ASSESSMENT, "diagnosis": V.DIAGNOSIS, "adverse_event": V.ADVERSE_EVENT}
-
-
 def content_type(text: Column, score: dict[str, Column], section: Column | None = None) -> Column:
     """Of a raw text and the hits of CLASSES in its normalised form."""
     best = F.greatest(*score.values())
@@ -61,11 +92,6 @@ def content_type(text: Column, score: dict[str, Column], section: Column | None
     return first_of(rules, "general")
 
 
-def topic(n: Column) -> Column:
-    """Of a normalised text."""
-    return first_of([(any_of(n, terms), name) for name, terms in V.TOPICS], "general_trichology")
-
-
 def source_quality(kind: Column) -> Column:
     return first_of([(kind.isin(V.HIGH_QUALITY), "high"), (kind.isin(V.MEDIUM_QUALITY), "medium")], "low")
 
@@ -81,24 +107,23 @@ def section_title(c: Column) -> Column:
 def labelled(df: DataFrame, source: str = "source", text: str = "text", section: str | None = None, *, keep: bool = False) -> DataFrame:
     """df with document_type, content_type, topic, source_quality and section; keep: with the normalised text as _body too."""
     s, t = F.col(source), F.col(text)
-    # normalised once: the rules below use these columns hundreds of times
-    own = {"_stem": T.normalize(T.stem(s)), "_head": T.normalize_long(F.substring(t, 1, 2500)), "_norm": T.normalize_long(t)}
-    # titles end with a colon
-    own["_flat"] = F.when(F.contains(t, F.lit(":")), T.collapse(t)).otherwise(F.when(t.isNotNull(), ""))
     attach(df.sparkSession)
-    df = df.withColumns(own).withColumns({f"_{k}": hits(F.col("_norm"), terms) for k, terms in CLASSES.items()})
+    df = df.withColumn("_stem", T.normalize(T.stem(s)))
+    # texts are normalised and looked through a batch at a time in Python: hundreds of rules as expressions take many times as long
+    found = F.arrow_udf(_marks(keep), MARK_TYPES + (",body:string>" if keep else ">"))
+    df = df.withColumns({"_marks": found(F.col("_stem"), t), "_flat": F.when(F.contains(t, F.lit(":")), T.collapse(t)).otherwise(F.when(t.isNotNull(), ""))})  # titles end with a colon
     given, title = F.col(section) if section else None, section_title(F.col("_flat"))
     df = df.withColumns(
         {
-            "document_type": document_type(F.col("_stem"), F.col("_head")),
-            "content_type": content_type(t, {k: F.col(f"_{k}") for k in CLASSES}, given),
-            "topic": topic(F.col("_norm")),
+            "document_type": document_type(F.col("_stem"), F.col("_marks")),
+            "content_type": content_type(t, {k: F.col("_marks")[k] for k in CLASSES}, given),
+            "topic": F.coalesce(F.col("_marks")["topic"], F.lit("general_trichology")),
             "section": title if given is None else F.coalesce(F.nullif(given, F.lit("")), title),
         }
     )
     if keep:
-        df = df.withColumn("_body", F.col("_norm"))
-    return df.withColumn("source_quality", source_quality(F.col("document_type"))).drop(*own, *(f"_{k}" for k in CLASSES))
+        df = df.withColumn("_body", F.col("_marks")["body"])
+    return df.withColumn("source_quality", source_quality(F.col("document_type"))).drop("_stem", "_marks", "_flat")
 
 
 def profile(n: Column) -> dict[str, Column]:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from .fixed_values import NEW_CHAT_TITLE, STOP_WORDS
 
 SPACE = r"(?U)\s+"
-EDGES = r"(?U)^\s+|\s+$"
+#: What \s matches in (?U).
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 OTHER = re.compile("[^a-z0-9]+")
 FOREIGN = re.compile("[^\\x00-\\x7f]+")
-PLAIN = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
+PLAIN = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
 
 
 @lru_cache(1)
@@ -82,9 +83,13 @@ def folded() -> Folded:
 def normalized(text: str) -> str:
     """normalize() of a Python string: a character after the other, as what it becomes depends on nothing else."""
     if not text.isascii():
-        table = folded()
-        text = FOREIGN.sub(lambda m: m[0].translate(table), text)
-    return " ".join(text.translate(PLAIN).split())
+        table, foreign = folded(), {c for c in set(text) if c > "\x7f"}
+        if len(foreign) > 50:
+            text = FOREIGN.sub(lambda m: m[0].translate(table), text)
+        else:
+            for c in foreign:
+                text = text.replace(c, table[ord(c)])
+    return " ".join(text.encode().translate(PLAIN).decode().split())
 
 
 def _normalized(c: pa.Array) -> pa.Array:
@@ -115,7 +120,7 @@ def normalize_py(text: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGES, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
@@ -178,6 +183,18 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(every, strip), lambda x: x != "")
 
 
+def lines_long(c: Column, border: int | None = None) -> Column:
+    """lines() of whole texts, a batch at a time in Python; border: only so many first and last ones. Not for lambdas."""
+
+    def split(c: pa.Array) -> pa.Array:
+        out = [None if x is None else [y for y in (z.strip(BLANKS) for z in x.splitlines()) if y] for x in c.to_pylist()]
+        if border is not None:
+            out = [x if x is None or len(x) <= border else x[:border] + x[-border:] for x in out]
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(split, "array<string>")(c)
+
+
 def signature(line: Column) -> Column:
     """A line's form with short numbers masked."""
     return F.regexp_replace(F.lower(collapse(line)), r"(?U)\b\d{1,4}\b", "<n>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..storage import kept
+from ..storage import attach, kept
 from . import running
 
 
@@ -19,16 +20,16 @@ def repeated_lines(pages: DataFrame, config: EngineConfig = EngineConfig()) -> D
 
     pages: document, page, text. A raw line counts once a page; two raw lines of one form count twice.
     """
-    n = config.border_lines
-    lines = T.lines(F.col("text"))
-    border = F.array_distinct(F.concat(F.slice(lines, 1, n), F.reverse(F.slice(F.reverse(lines), 1, n))))
+    attach(pages.sparkSession)
+    border = F.array_distinct(T.lines_long(F.col("text"), config.border_lines))
     rows = pages.select("document", "page", F.explode(border).alias("line")).where(F.length("line").between(config.min_line, config.max_line))
     return rows.groupBy("document", T.signature(F.col("line")).alias("signature")).agg(F.count("*").alias("pages")).where(F.col("pages") >= config.repeated_pages)
 
 
 def without_repeated_lines(pages: DataFrame, repeated: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """pages with `text` free of their document's repeated lines, and n_removed."""
-    lines = pages.select("document", "page", F.posexplode_outer(T.lines(F.col("text"))).alias("n", "line"))
+    attach(pages.sparkSession)
+    lines = pages.select("document", "page", F.posexplode_outer(T.lines_long(F.col("text"))).alias("n", "line"))
     lines = lines.withColumn("signature", F.when(F.length("line").between(config.min_line, config.max_line), T.signature(F.col("line"))))
     found = lines.join(repeated.select("document", "signature", F.lit(True).alias("gone")), ["document", "signature"], "left")
     kept = F.sort_array(F.collect_list(F.when(F.col("gone").isNull() & F.col("line").isNotNull(), F.struct("n", "line"))))
@@ -57,10 +58,25 @@ def replaced(c: Column, pattern: str, to: str) -> Column:
     return T.let(c, lambda x: F.when(F.contains(folded(x), F.lit(known)), F.regexp_replace(x, pattern, to)).otherwise(x))
 
 
+def literals_of(pattern: str) -> list[str]:
+    """What a text must hold one of, in lower case, for a pattern of boilerplate to match."""
+    first = re.match(r"\(([^()\[\\.*+?{}^$]*)\)", pattern)
+    return [x.lower() for x in first[1].split("|")] if first else [literal_of(pattern)]
+
+
 def without_boilerplate(c: Column) -> Column:
-    for p in V.BOILERPLATE:
-        c = replaced(c, f"(?siuU){p}", " ")
-    return c
+    """Patterns are tried only where a text has what one of them begins with, in any case: it is folded once for all of them."""
+    known = [x for p in V.BOILERPLATE for x in literals_of(p)]
+
+    def replaced_in(x: Column) -> Column:
+        for p in V.BOILERPLATE:
+            x = F.regexp_replace(x, f"(?siuU){p}", " ")
+        return x
+
+    def some(x: Column) -> Column:
+        return T.let(F.lower(F.upper(x)), lambda y: reduce(lambda a, b: a | b, (F.contains(y, F.lit(k)) for k in known)))
+
+    return T.let(c, lambda x: F.when(some(x), replaced_in(x)).otherwise(x)) if all(known) else replaced_in(c)
 
 
 def cleaned(c: Column) -> Column:

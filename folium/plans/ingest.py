@@ -18,7 +18,8 @@ def prepared(raw: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame
     """
     own = raw.where((F.col("page") > pages.skipped_pages(F.col("document"))) & (F.trim("text") != ""))
     clean = pages.without_repeated_lines(own, pages.repeated_lines(raw, config), config)
-    clean = clean.select("document", "page", pages.cleaned(F.col("text")).alias("text")).where("text <> ''")
+    # a filter on the cleaned text would be pushed below and clean it twice
+    clean = clean.select("document", "page", F.explode(F.filter(F.array(pages.cleaned(F.col("text"))), lambda x: x != "")).alias("text"))
     return pages.joined_hyphens(clean)
 
 
